@@ -1,0 +1,27 @@
+"""Join helpers: broadcast only behind a proven size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A dimension broadcast to every task must stay well inside executor memory.
+DEFAULT_BROADCAST_ROWS = 200_000
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    ``limit(max_rows + 1).count()`` stops scanning as soon as the bound is
+    exceeded, so the check costs at most ``max_rows + 1`` rows of work.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """``F.broadcast(df)`` when its size is checked to be small, else ``df``.
+
+    Beyond the bound the join stays a shuffle (sort-merge) join, and AQE may
+    still switch to broadcast at run time from measured sizes.
+    """
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
