@@ -9,6 +9,7 @@ from turnstile.plans.registry import ORACLES, QUERIES
 MODULES = [
     "turnstile.plans.q_ranking",
     "turnstile.plans.q_daily",
+    "turnstile.plans.q_weather",
 ]
 
 

@@ -77,3 +77,39 @@ def register(name: str, sql: str, deps: list[str] | None = None) -> None:
     CTES[name] = sql
     if deps:
         DEPS[name] = deps
+
+
+# --- derived weather (same formula as operators/weather.py) ---------------------------
+register("weather_text", """
+  SELECT strftime(t, '%Y-%m-%dT%H:%M') AS time,
+         CASE WHEN (h * 7 + k) % 97 = 0 THEN 'n/a' ELSE CAST((h * 7 + k * 3) % 45 - 8 AS VARCHAR) END AS temperature_C,
+         CAST((h * 5 + k) % 13 AS VARCHAR) AS precipitation_mm,
+         CAST(30 + (h * 3 + k) % 70 AS VARCHAR) AS "humidity_%",
+         k + 1 AS station_id, latitude, longitude
+  FROM (
+    SELECT k, latitude, longitude, t,
+           date_diff('day', DATE '2024-01-01', CAST(t AS DATE)) * 24 + hour(t) AS h
+    FROM (
+      SELECT CAST(station_complex_id AS BIGINT) AS k, latitude, longitude,
+             CAST(first_day AS TIMESTAMP) + i * INTERVAL 1 HOUR AS t
+      FROM (SELECT station_complex_id, latitude, longitude, first_day,
+                   unnest(range(0, (date_diff('day', first_day, last_day) + 1) * 24)) AS i
+            FROM (SELECT station_complex_id, latitude, longitude,
+                         min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day
+                  FROM ev GROUP BY station_complex_id, latitude, longitude) g) sd
+    ) hrs
+  ) hh
+  WHERE (h + k) % 10 <> 0""", ["ev"])
+
+register("weather_typed", """
+  SELECT strptime(time, '%Y-%m-%dT%H:%M') AS weather_ts,
+         TRY_CAST(temperature_C AS DOUBLE) AS temperature_C,
+         TRY_CAST(precipitation_mm AS DOUBLE) AS precipitation_mm,
+         TRY_CAST("humidity_%" AS DOUBLE) AS "humidity_%",
+         CAST(station_id AS BIGINT) AS station_id, latitude, longitude
+  FROM weather_text""", ["weather_text"])
+
+register("enriched", """
+  SELECT ev.*, w.temperature_C, w.precipitation_mm, w."humidity_%"
+  FROM ev LEFT JOIN weather_typed w
+    ON ev.longitude = w.longitude AND ev.latitude = w.latitude AND ev.ts = w.weather_ts""", ["ev", "weather_typed"])

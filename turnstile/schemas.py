@@ -39,9 +39,11 @@ WEATHER_TEXT = T.StructType([
 
 WEATHER_MEASURES = ["temperature_C", "precipitation_mm", "humidity_%"]
 
-# One landed hourly-weather reply: parallel arrays under "hourly".
+# One landed hourly-weather reply (with the request's station and start date):
+# parallel arrays under "hourly".
 WEATHER_REPLY = T.StructType([
     T.StructField("station_id", T.LongType()),
+    T.StructField("start_date", T.StringType()),
     T.StructField("latitude", T.DoubleType()),
     T.StructField("longitude", T.DoubleType()),
     T.StructField("status", T.IntegerType()),
