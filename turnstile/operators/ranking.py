@@ -13,10 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstile.functions.timefmt import parse_transit_ts
-from turnstile.operators.joins import broadcast_if_bounded
-
-# Upper bound of the station dimension that is broadcast for a reduction.
-MAX_STATIONS = 100_000
 
 
 def with_ts(rides: DataFrame, src: str = "transit_timestamp") -> DataFrame:
@@ -52,14 +48,31 @@ def top_per_borough(rides: DataFrame, k: int = 5, boroughs: Sequence[str] | None
     return totals.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def reduce_to_stations(rides: DataFrame, chosen: DataFrame) -> DataFrame:
+def reduce_to_stations(rides: DataFrame, chosen: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Keep fact rows of the chosen stations (B8, J7) with a left-semi join.
 
-    ``chosen`` is the output of a ranking (one row per station); its size is
-    checked before it is broadcast.
+    ``chosen`` is a ranking (one row per station).  When the caller knows its
+    size bound by construction (``k`` per listed borough, or a global top-k)
+    it passes ``max_rows`` and the list is broadcast; otherwise AQE decides
+    from the measured size.
     """
     keys = chosen.select("station_complex").distinct()
-    return rides.join(broadcast_if_bounded(keys, MAX_STATIONS), "station_complex", "left_semi")
+    if max_rows is not None:
+        keys = F.broadcast(keys)
+    return rides.join(keys, "station_complex", "left_semi")
+
+
+def set_bound(sets: dict[str, tuple[str, int, Sequence[str] | None]]) -> int | None:
+    """Rows of ``reduction_sets`` by construction, or None when a set has no borough list."""
+    total = 0
+    for kind, k, boroughs in sets.values():
+        if kind == "global":
+            total += k
+        elif boroughs is None:
+            return None
+        else:
+            total += k * len(boroughs)
+    return total
 
 
 def reduction_sets(rides: DataFrame, sets: dict[str, tuple[str, int, Sequence[str] | None]]) -> DataFrame:
@@ -77,13 +90,15 @@ def reduction_sets(rides: DataFrame, sets: dict[str, tuple[str, int, Sequence[st
     return out
 
 
-def reduction_counts(rides: DataFrame, sets: DataFrame) -> DataFrame:
+def reduction_counts(rides: DataFrame, sets: DataFrame, max_set_rows: int | None = None) -> DataFrame:
     """Row count of the fact table reduced to each station set.
 
     Rows are aggregated per station first (one shuffle, one row per station),
-    then joined to the small set table: the fact rows are never duplicated per set.
+    then joined to the set table: the fact rows are never duplicated per set.
     """
     per_station = rides.groupBy("station_complex").agg(F.count(F.lit(1)).alias("n"))
-    return (per_station.join(broadcast_if_bounded(sets, MAX_STATIONS), "station_complex")
+    if max_set_rows is not None:
+        sets = F.broadcast(sets)
+    return (per_station.join(sets, "station_complex")
             .groupBy("set_name")
             .agg(F.count(F.lit(1)).cast("long").alias("n_stations"), F.sum("n").cast("long").alias("n_rows")))

@@ -26,8 +26,6 @@ MISSING_EVERY = 10          # (h + k) % 10 == 0 -> no observation (left-join mis
 NA_EVERY = 97               # (7h + k) % 97 == 0 -> temperature text "n/a"
 FAILED_REPLY_EVERY = 11     # (day of month + station_id) % 11 == 0 -> reply status 500
 
-# A weather table above this many rows is joined by shuffle, not broadcast.
-MAX_BROADCAST_WEATHER_ROWS = 2_000_000
 
 
 def station_days(rides_ts: DataFrame) -> DataFrame:
@@ -150,21 +148,24 @@ def read_reply_files(spark, path: str) -> DataFrame:
 
 # --- enrichment (J8, C1) -------------------------------------------------------------
 
-def enrich(rides_ts: DataFrame, weather_typed: DataFrame,
-           max_broadcast_rows: int = MAX_BROADCAST_WEATHER_ROWS) -> DataFrame:
+def enrich(rides_ts: DataFrame, weather_typed: DataFrame, check_rows: int | None = None) -> DataFrame:
     """Left join the fact rows to hourly weather on coordinates and hour.
 
-    Unmatched rides keep null measures.  The weather side is broadcast only
-    when its row count is checked to be under ``max_broadcast_rows``; above it
-    the join is a shuffle join on (latitude, longitude, hour), a key that
-    spreads a busy station over all of its hours.
+    Unmatched rides keep null measures.  The weather table has stations x
+    hours rows, which grows with the span of the data, so no static broadcast
+    hint: AQE broadcasts it only when its measured size is under the adaptive
+    threshold, else the join is a shuffle join on (latitude, longitude, hour),
+    a key that spreads a busy station over all of its hours.  A landed weather
+    table that is cheap to count may pass ``check_rows`` for an explicit,
+    size-checked broadcast.
     """
     w = weather_typed.select(
         F.col("latitude").alias("weather_latitude"),
         F.col("longitude").alias("weather_longitude"),
         F.col("weather_ts"),
         *[F.col(f"`{c}`") for c in WEATHER_MEASURES])
-    w = broadcast_if_bounded(w, max_broadcast_rows)
+    if check_rows is not None:
+        w = broadcast_if_bounded(w, check_rows)
     main = rides_ts.alias("main")
     joined = main.join(
         w.alias("weather"),

@@ -10,6 +10,7 @@ MODULES = [
     "turnstile.plans.q_ranking",
     "turnstile.plans.q_daily",
     "turnstile.plans.q_weather",
+    "turnstile.plans.q_features",
 ]
 
 

@@ -60,6 +60,7 @@ WHERE year IN (1996, 1997)
 def reduced_station_rows(spark, sf_dir):
     filtered = _ranked_orders(spark, sf_dir)
     chosen = ranking.top_per_borough(filtered, PER_BOROUGH_K)
+    # No borough list: k per borough over an open set of boroughs, so AQE sizes it.
     return ranking.reduce_to_stations(filtered, chosen).drop("ts", "year")
 
 
@@ -80,4 +81,4 @@ per_station AS (SELECT station_complex, count(*) AS n FROM od WHERE year IN (199
 def reduction_counts(spark, sf_dir):
     filtered = _ranked_orders(spark, sf_dir)
     sets = ranking.reduction_sets(filtered, REDUCTION_SETS)
-    return ranking.reduction_counts(filtered, sets)
+    return ranking.reduction_counts(filtered, sets, ranking.set_bound(REDUCTION_SETS))

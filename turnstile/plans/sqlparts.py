@@ -113,3 +113,77 @@ register("enriched", """
   SELECT ev.*, w.temperature_C, w.precipitation_mm, w."humidity_%"
   FROM ev LEFT JOIN weather_typed w
     ON ev.longitude = w.longitude AND ev.latitude = w.latitude AND ev.ts = w.weather_ts""", ["ev", "weather_typed"])
+
+
+# --- holidays (same rules as functions/calendar.py) ---------------------------------------
+def holiday_ctes(source: str) -> str:
+    """``years``, ``holiday_rules``, ``holiday_actual``, ``holidays`` over the years of ``source``."""
+    from turnstile.functions.calendar import US_FEDERAL_HOLIDAYS
+
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        return str(v)
+    values = ",\n    ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in US_FEDERAL_HOLIDAYS)
+    return f"""years AS (
+  SELECT unnest(range(min(year(ts)) - 1, max(year(ts)) + 2)) AS y FROM {source}),
+holiday_rules AS (
+  SELECT * FROM (VALUES
+    {values}) r(name, month, day, wd, nth, since)),
+holiday_actual AS (
+  SELECT name, day IS NOT NULL AS fixed,
+         CASE WHEN day IS NOT NULL THEN make_date(y, month, day)
+              WHEN nth = -1 THEN CAST(last_day(make_date(y, month, 1)) - CAST((isodow(last_day(make_date(y, month, 1))) - 1 - wd + 7) % 7 AS INTEGER) AS DATE)
+              ELSE CAST(make_date(y, month, 1) + CAST((wd - (isodow(make_date(y, month, 1)) - 1) + 7) % 7 + (nth - 1) * 7 AS INTEGER) AS DATE)
+         END AS date
+  FROM years, holiday_rules WHERE y >= since),
+holidays AS (
+  SELECT date, name FROM holiday_actual
+  UNION ALL
+  SELECT CAST(CASE WHEN isodow(date) = 6 THEN date - 1 ELSE date + 1 END AS DATE) AS date, name || ' (observed)' AS name
+  FROM holiday_actual WHERE fixed AND isodow(date) IN (6, 7))"""
+
+
+def feature_ctes(source: str = "enriched") -> str:
+    """Calendar, lags, flags, fill, IQR cut and scaling over ``source`` (with holidays of it)."""
+    scaled = ",\n         ".join(
+        f'(CAST("{c}" AS DOUBLE) - m_{i}) / CASE WHEN s_{i} = 0 THEN 1 ELSE s_{i} END AS "{c}"'
+        for i, c in enumerate(SCALED))
+    stats = ", ".join(f'avg("{c}") AS m_{i}, stddev_pop("{c}") AS s_{i}' for i, c in enumerate(SCALED))
+    return holiday_ctes(source) + f""",
+feat_cal AS (
+  SELECT s.*, CAST(hour(ts) AS INTEGER) AS hour, CAST(isodow(ts) - 1 AS INTEGER) AS day_of_week,
+         CAST(month(ts) AS INTEGER) AS month,
+         CASE WHEN isodow(ts) IN (6, 7) THEN 1 ELSE 0 END AS is_weekend,
+         CASE WHEN CAST(ts AS DATE) IN (SELECT date FROM holidays) THEN 1 ELSE 0 END AS is_holiday,
+         lag(ridership, 1) OVER w AS lag1_raw, lag(ridership, 24) OVER w AS lag24_raw
+  FROM {source} s
+  WINDOW w AS (PARTITION BY station_complex ORDER BY ts ASC NULLS FIRST, fare_class_category ASC NULLS FIRST,
+               payment_method ASC NULLS FIRST, ride_id ASC NULLS FIRST)),
+feat_filled AS (
+  SELECT * EXCLUDE (lag1_raw, lag24_raw, temperature_C, precipitation_mm, "humidity_%"),
+         coalesce(lag1_raw, 0) AS ridership_lag1, coalesce(lag24_raw, 0) AS ridership_lag24,
+         CASE WHEN precipitation_mm > 10 THEN 1 ELSE 0 END AS heavy_rain,
+         CASE WHEN temperature_C > 30 THEN 1 ELSE 0 END AS high_temp,
+         coalesce(temperature_C, 0) AS temperature_C, coalesce(precipitation_mm, 0) AS precipitation_mm,
+         coalesce("humidity_%", 0) AS "humidity_%"
+  FROM feat_cal),
+fences AS (
+  SELECT q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper
+  FROM (SELECT CAST(quantile_cont(ridership, 0.25) AS DOUBLE) AS q1,
+               CAST(quantile_cont(ridership, 0.75) AS DOUBLE) AS q3 FROM feat_filled) q),
+feat_kept AS (
+  SELECT f.* FROM feat_filled f, fences
+  WHERE NOT coalesce(ridership < lower OR ridership > upper, false)),
+feat_stats AS (SELECT {stats} FROM feat_kept),
+feat_scaled AS (
+  SELECT k.* EXCLUDE ({", ".join('"' + c + '"' for c in SCALED)}),
+         {scaled},
+         ln(1 + ridership) AS label
+  FROM feat_kept k, feat_stats)"""
+
+
+SCALED = ["hour", "day_of_week", "month", "ridership_lag1", "ridership_lag24",
+          "temperature_C", "humidity_%", "precipitation_mm"]

@@ -60,3 +60,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared folder for one job's output."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/turnstile/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+
+    Used where a plan is read several times (multi-pass statistics), so the
+    upstream shuffles run once; a reliable checkpoint survives executor loss
+    (``localCheckpoint`` would not).
+    """
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
