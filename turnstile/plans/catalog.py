@@ -11,6 +11,7 @@ MODULES = [
     "turnstile.plans.q_daily",
     "turnstile.plans.q_weather",
     "turnstile.plans.q_features",
+    "turnstile.plans.q_model",
 ]
 
 
