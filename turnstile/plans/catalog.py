@@ -12,6 +12,7 @@ MODULES = [
     "turnstile.plans.q_weather",
     "turnstile.plans.q_features",
     "turnstile.plans.q_model",
+    "turnstile.plans.q_io",
 ]
 
 
