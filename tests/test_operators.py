@@ -33,7 +33,7 @@ def test_lag_is_rows_back_with_several_fares_per_hour(spark):
             rows.append((rid, _ts(h), "A", "X", fare, "omny", rid)); rid += 1
     rows += [(1000 + i, _ts(i), "B", "X", FARES[0], "omny", i) for i in range(3)]   # fewer than 24 rows
     df = ranking.with_ts(_rides(spark, rows))
-    got = {r.ride_id: (r.ridership_lag1, r.ridership_lag24) for r in features.lag_features(df, chunk_rows=25).collect()}
+    got = {r.ride_id: (r.ridership_lag1, r.ridership_lag24) for r in features.lag_features(df).collect()}
     # order within an hour is by fare name: "Metrocard..." < "OMNY..."
     assert got[1000] == (None, None) and got[1002] == (1001 - 1000, None)
     a = sorted((r for r in rows if r[2] == "A"), key=lambda r: (r[1][6:10], r[1], r[4]))
@@ -44,18 +44,19 @@ def test_lag_is_rows_back_with_several_fares_per_hour(spark):
     assert len(a) == 60
 
 
-@pytest.mark.parametrize("chunk", [24, 25, 31, 1000])
-def test_chunked_lag_equals_plain_window(spark, chunk):
-    rnd = random.Random(chunk)
-    rows = [(i, _ts(rnd.randrange(0, 24 * 5), day=1), rnd.choice(["A", "B", "C"]), "X", rnd.choice(FARES),
-             rnd.choice(["omny", "metrocard"]), rnd.randrange(0, 500)) for i in range(400)]
+@pytest.mark.parametrize("seed,n_rows,n_hours", [(1, 400, 24 * 5), (2, 60, 24 * 20), (3, 900, 24 * 2), (4, 200, 24 * 40)])
+def test_edge_lag_equals_plain_window(spark, seed, n_rows, n_hours):
+    # dense days (body + edge rows), sparse days (all rows are edges; lags reach back several days)
+    rnd = random.Random(seed)
+    rows = [(i, _ts(rnd.randrange(0, n_hours), day=1), rnd.choice(["A", "B", "C"]), "X", rnd.choice(FARES),
+             rnd.choice(["omny", "metrocard"]), rnd.randrange(0, 500)) for i in range(n_rows)]
     rows.append((999, None, "A", "X", FARES[0], "omny", 7))            # null time sorts first
     rows.append((998, _ts(3), None, "X", FARES[0], "omny", 8))          # null station is its own group
     df = ranking.with_ts(_rides(spark, rows))
     w = Window.partitionBy("station_complex").orderBy("ts", "fare_class_category", "payment_method", "ride_id")
     plain = df.select("ride_id", F.lag("ridership", 1).over(w).alias("ridership_lag1"),
                       F.lag("ridership", 24).over(w).alias("ridership_lag24"))
-    got = features.lag_features(df, chunk_rows=chunk).select("ride_id", "ridership_lag1", "ridership_lag24")
+    got = features.lag_features(df).select("ride_id", "ridership_lag1", "ridership_lag24")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect()))
 
 

@@ -18,9 +18,6 @@ from turnstile.schemas import SCALED_FEATURES, WEATHER_MEASURES
 from turnstile.session import materialize
 
 LAG_ORDER = ["ts", "fare_class_category", "payment_method", "ride_id"]
-# Rows per position chunk in the lag operator; a chunk plus its halo is what
-# one window group holds, whatever the station's size.
-LAG_CHUNK_ROWS = 1_000_000
 # Broadcast bounds (rows) for dimension-sized tables.
 IQR_WIDTH = 1.5
 
@@ -60,48 +57,41 @@ def calendar_features(rides_ts: DataFrame, holidays: DataFrame | None = None) ->
 
 def lag_features(df: DataFrame, value: str = "ridership", lags: Sequence[int] = (1, 24),
                  partition: str = "station_complex", order: Sequence[str] = tuple(LAG_ORDER),
-                 chunk_rows: int = LAG_CHUNK_ROWS, prefix: str = "ridership_lag") -> DataFrame:
+                 prefix: str = "ridership_lag") -> DataFrame:
     """``lag(value, k)`` over the rows of each station in a total order, k rows back.
 
-    Equal to ``lag(value, k) OVER (PARTITION BY station ORDER BY order)`` but
+    Equal to ``lag(value, k) OVER (PARTITION BY station ORDER BY order)``, but
     no task ever holds a whole station (a station may hold a third of all rows):
 
-    1. number rows inside (station, day) buckets (one shuffle);
-    2. turn bucket counts into running offsets per station: one row per
-       station-day, so this window is small (size-checked, broadcast);
-    3. position = offset + row number; rows are cut into chunks of
-       ``chunk_rows`` positions and the last ``max(lags)`` rows of a chunk are
-       copied into the next one as a halo;
-    4. ``lag`` runs inside (station, chunk) groups (second shuffle), halo
-       copies are dropped.
+    1. one shuffle on (station, day); inside each day the lags are exact for
+       every row after the first K = max(lags) rows ("body" rows);
+    2. the first K and last K rows of every day ("edge" rows, at most 2K per
+       station-day) go through a window per station ordered by (day, row):
+       walking back at most K rows from a head row only crosses edge rows, so
+       its lags are exact there.  That window holds at most 2K x days rows per
+       station, bounded by the calendar, not by the station's row count;
+    3. body rows and head rows are unioned; no join, and both branches read
+       the same shuffle.
     """
-    max_lag = max(lags)
-    if chunk_rows < max_lag:
-        raise ValueError("chunk_rows must be at least the largest lag")
+    K = max(lags)
     p = F.col(partition)
-    # Null-safe string key, so every step can equi-join and reuse one partitioning.
+    # Null-safe string key: null stations form their own group, as in a window.
     key = F.when(p.isNull(), F.lit("\u0000")).otherwise(F.concat(F.lit("\u0001"), p.cast("string")))
     day = F.to_date(order[0]) if order[0] == "ts" else F.lit(None).cast("date")
     x = df.withColumn("_pk", key).withColumn("_bucket", F.coalesce(day, F.lit("0001-01-01").cast("date")))
-    w_bucket = Window.partitionBy("_pk", "_bucket").orderBy(*order)
-    x = x.withColumn("_rn", F.row_number().over(w_bucket))
-
-    # One row per station-day; AQE broadcasts it when its measured size is small.
-    counts = x.groupBy("_pk", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    w_before = Window.partitionBy("_pk").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pk", "_bucket", F.coalesce(F.sum("_n").over(w_before), F.lit(0)).alias("_off"))
-    x = x.join(offsets, ["_pk", "_bucket"], "inner")
-    x = x.withColumn("_pos", F.col("_off") + F.col("_rn") - 1)
-
-    own = F.floor(F.col("_pos") / chunk_rows)
-    halo = (F.col("_pos") % chunk_rows) >= (chunk_rows - max_lag)
-    x = x.withColumn("_own", own).withColumn(
-        "_chunk", F.explode(F.when(halo, F.array(own, own + 1)).otherwise(F.array(own))))
-    w_chunk = Window.partitionBy("_pk", "_chunk").orderBy("_pos")
-    for k in lags:
-        x = x.withColumn(f"{prefix}{k}", F.lag(value, k).over(w_chunk))
-    return x.filter(F.col("_chunk") == F.col("_own")).drop(
-        "_pk", "_bucket", "_rn", "_off", "_pos", "_own", "_chunk")
+    w_day = Window.partitionBy("_pk", "_bucket").orderBy(*order)
+    x = (x.withColumn("_rn", F.row_number().over(w_day))
+          .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_pk", "_bucket"))))
+    lag_cols = [f"{prefix}{k}" for k in lags]
+    for k, c in zip(lags, lag_cols):
+        x = x.withColumn(c, F.lag(value, k).over(w_day))
+    body = x.filter(F.col("_rn") > K)
+    edge = x.filter((F.col("_rn") <= K) | (F.col("_rn") > F.col("_n") - K))
+    w_edge = Window.partitionBy("_pk").orderBy("_bucket", "_rn")
+    for k, c in zip(lags, lag_cols):
+        edge = edge.withColumn(c, F.lag(value, k).over(w_edge))
+    head = edge.filter(F.col("_rn") <= K)
+    return body.unionByName(head).drop("_pk", "_bucket", "_rn", "_n")
 
 
 # --- weather flags and fill (H13-H15) ----------------------------------------------------
@@ -239,15 +229,14 @@ def scale_columns(df: DataFrame, cols: Sequence[str] = tuple(SCALED_FEATURES), s
 
 # --- whole feature frame ------------------------------------------------------------------------
 
-def feature_frame(enriched_ts: DataFrame, holidays: DataFrame | None = None,
-                  chunk_rows: int = LAG_CHUNK_ROWS, scale: bool = True) -> DataFrame:
+def feature_frame(enriched_ts: DataFrame, holidays: DataFrame | None = None, scale: bool = True) -> DataFrame:
     """Calendar + lags + weather flags + fill + IQR cut (+ scaling), label ``log1p``.
 
     Same order as the reference: features, zero fill, outlier cut, then the
     scaler is fitted on the remaining rows.
     """
     df = calendar_features(enriched_ts, holidays)
-    df = lag_features(df, chunk_rows=chunk_rows)
+    df = lag_features(df)
     df = weather_flags(df)
     df = fill_zero(df, ["ridership_lag1", "ridership_lag24"])
     # Read three times (quantiles, scaler statistics, output): compute once.

@@ -18,10 +18,22 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+# Checked results per input (table path + bound), so a dimension is counted once per session.
+_CHECKED: dict[tuple, bool] = {}
+
+
+def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, key: str | None = None) -> DataFrame:
     """``F.broadcast(df)`` when its size is checked to be small, else ``df``.
 
     Beyond the bound the join stays a shuffle (sort-merge) join, and AQE may
-    still switch to broadcast at run time from measured sizes.
+    still switch to broadcast at run time from measured sizes.  ``key`` names
+    a read-only input (e.g. its path) whose check result may be reused.
     """
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+    if key is None:
+        small = row_count_at_most(df, max_rows)
+    else:
+        k = (id(df.sparkSession._jsparkSession), key, max_rows)
+        if k not in _CHECKED:
+            _CHECKED[k] = row_count_at_most(df, max_rows)
+        small = _CHECKED[k]
+    return F.broadcast(df) if small else df

@@ -50,14 +50,14 @@ def ridership_lags(spark, sf_dir):
     return df.select("ride_id", "station_complex", "ridership", "ridership_lag1", "ridership_lag24")
 
 
-@query("ridership_lags_small_chunks", with_ctes("""
+@query("ridership_lags_orders", with_ctes("""
 SELECT ride_id, station_complex, ridership,
        lag(ridership, 1) OVER w AS ridership_lag1, lag(ridership, 24) OVER w AS ridership_lag24
 FROM od
 WINDOW w AS (PARTITION BY station_complex ORDER BY ts, fare_class_category, payment_method, ride_id)""", "od"))
-def ridership_lags_small_chunks(spark, sf_dir):
-    """The chunked lag with tiny chunks (every halo path taken) over the orders view."""
-    df = features.lag_features(_orders(spark, sf_dir), chunk_rows=37)
+def ridership_lags_orders(spark, sf_dir):
+    """Lags over the orders view: one row per order, many stations per day."""
+    df = features.lag_features(_orders(spark, sf_dir))
     return df.select("ride_id", "station_complex", "ridership", "ridership_lag1", "ridership_lag24")
 
 
