@@ -26,8 +26,14 @@ def feature_name(column_name: str, value) -> Column:
 
 
 def file_safe(c) -> Column:
-    """Chart file stem: "/" and " " -> "_", lower case."""
-    return F.lower(F.translate(_col(c), SLUG_LITERAL_CHARS, "__"))
+    """Chart file stem of a station: "/" and " " -> "_"."""
+    return F.translate(_col(c), SLUG_LITERAL_CHARS, "__")
+
+
+def chart_file_name(station, year, month_name) -> Column:
+    """``<station stem>_<year>[_<month>]_barchart.png`` (month in lower case)."""
+    month_part = F.when(_col(month_name).isNotNull(), F.concat(F.lit("_"), F.lower(_col(month_name)))).otherwise(F.lit(""))
+    return F.concat(file_safe(station), F.lit("_"), _col(year).cast("string"), month_part, F.lit("_barchart.png"))
 
 
 def ridership_label(station, total) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstile.functions import numeric
-from turnstile.functions.text import ridership_label
+from turnstile.functions.text import chart_file_name, ridership_label, series_title
 from turnstile.functions.timefmt import format_day
 
 ALL = "All"
@@ -114,6 +114,19 @@ def chart_frame(series: DataFrame) -> DataFrame:
             .withColumn("x_tick", ((F.col("rn") - 1) % numeric.x_tick_every(F.col("n_points"))) == 0))
 
 
+def chart_titles(series: DataFrame, year: int, fare_category: str, payment_method: str,
+                 month: int | None = None) -> DataFrame:
+    """Title and file name of each station's chart (H11, H20, H21): one row per station."""
+    _month_ok(month)
+    mname = (F.date_format(F.make_date(F.lit(year), F.lit(month), F.lit(1)), "MMMM") if month is not None
+             else F.lit(None).cast("string"))
+    per_station = series.groupBy("station_complex").agg(F.count(F.lit(1)).cast("long").alias("n_days"))
+    return per_station.select(
+        "station_complex", "n_days",
+        series_title(F.col("station_complex"), F.lit(fare_category), F.lit(payment_method), mname, F.lit(year)).alias("title"),
+        chart_file_name(F.col("station_complex"), F.lit(year), mname).alias("file_name"))
+
+
 def y_ticks(series: DataFrame) -> DataFrame:
     """One row per y-axis tick per station."""
     per_station = (series.groupBy("station_complex")

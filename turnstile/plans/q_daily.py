@@ -117,3 +117,19 @@ def selector_domains(spark, sf_dir):
 SELECT DISTINCT CAST(year(ts) AS INTEGER) AS year FROM od WHERE year(ts) IS NOT NULL""", "od"))
 def year_domain(spark, sf_dir):
     return daily.distinct_years(_orders(spark, sf_dir))
+
+
+@query("chart_titles", with_ctes(f"""
+SELECT station_complex, CAST(count(*) AS BIGINT) AS n_days,
+       'Daily Ridership at ' || station_complex || chr(10) || '{SERIES_FARE}, {SERIES_PAYMENT}, '
+         || strftime(make_date({SERIES_YEAR}, {SERIES_MONTH}, 1), '%B') || ' {SERIES_YEAR}' AS title,
+       replace(replace(station_complex, ' ', '_'), '/', '_') || '_{SERIES_YEAR}_'
+         || lower(strftime(make_date({SERIES_YEAR}, {SERIES_MONTH}, 1), '%B')) || '_barchart.png' AS file_name
+FROM (SELECT DISTINCT station_complex, strftime(ts, '%Y-%m-%d') AS date FROM ev
+      WHERE year(ts) = {SERIES_YEAR} AND fare_class_category = '{SERIES_FARE}'
+        AND payment_method = '{SERIES_PAYMENT}' AND month(ts) = {SERIES_MONTH}) s
+GROUP BY station_complex""", "ev"))
+def chart_titles(spark, sf_dir):
+    """Every station's chart title and file name for one filter set (J1 over all stations)."""
+    series = daily.station_series(_events(spark, sf_dir), SERIES_YEAR, SERIES_FARE, SERIES_PAYMENT, SERIES_MONTH)
+    return daily.chart_titles(series, SERIES_YEAR, SERIES_FARE, SERIES_PAYMENT, SERIES_MONTH)
