@@ -98,3 +98,13 @@ def test_holidays_actual_and_observed(spark):
 def test_day_of_week_monday_zero(spark):
     got = _one(spark, calendar.day_of_week("d"), [(dt.date(2024, 1, 1),), (dt.date(2024, 1, 7),)], "d date")
     assert got == [0, 6]
+
+
+def test_holiday_expression_matches_holiday_table(spark):
+    years = spark.range(1990, 2031).select(F.col("id").cast("int").alias("year"))
+    table = {r.date for r in calendar.holiday_table(years).collect()}
+    days = spark.range(0, (dt.date(2030, 12, 31) - dt.date(1990, 1, 1)).days + 1).select(
+        F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    flagged = {r.d for r in days.filter(calendar.is_us_holiday("d") == 1).collect()}
+    in_range = {d for d in table if dt.date(1990, 1, 1) <= d <= dt.date(2030, 12, 31)}
+    assert flagged == in_range

@@ -1,8 +1,8 @@
 """Feature engineering.
 
-Everything is a lazy DataFrame plan; the only values that reach the driver
-are single-row statistics (quantiles, means, deviations), and those travel as
-scalar subqueries inside the plan.
+Everything is a DataFrame plan; the only values that reach the driver are
+single-row statistics (quantile fences, means, deviations), each from one
+aggregate job, and they return to the plans as literals.
 """
 
 from __future__ import annotations
@@ -36,20 +36,20 @@ def holidays_for(rides_ts: DataFrame) -> DataFrame:
 def calendar_features(rides_ts: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
     """hour, day_of_week (Mon=0), month, is_weekend, is_holiday.
 
-    Holiday membership is an equi-join to the (bounded, size-checked,
-    broadcast) holiday dates, not a per-row Python lookup.
+    Holiday membership is the federal-holiday rule evaluated per row
+    (``calendar.is_us_holiday``): no join and no extra pass over the data.
+    A custom ``holidays`` table (date column) is joined instead; it is
+    broadcast because a calendar table is bounded by its span.
     """
-    hol = (holidays if holidays is not None else holidays_for(rides_ts)).select(
-        F.col("date").alias("_hdate")).distinct().withColumn("_is_hol", F.lit(1))
     df = (rides_ts
           .withColumn("hour", F.hour("ts"))
           .withColumn("day_of_week", calendar.day_of_week("ts"))
           .withColumn("month", F.month("ts"))
-          .withColumn("is_weekend", calendar.is_weekend("ts"))
-          .withColumn("_date", F.to_date("ts")))
-    # Size bound by construction: at most 16 dates per calendar year, and
-    # years are those of valid dates, so the table never exceeds ~160k rows.
-    df = df.join(F.broadcast(hol), F.col("_date") == F.col("_hdate"), "left")
+          .withColumn("is_weekend", calendar.is_weekend("ts")))
+    if holidays is None:
+        return df.withColumn("is_holiday", F.coalesce(calendar.is_us_holiday("ts"), F.lit(0)))
+    hol = holidays.select(F.col("date").alias("_hdate")).distinct().withColumn("_is_hol", F.lit(1))
+    df = df.withColumn("_date", F.to_date("ts")).join(F.broadcast(hol), F.col("_date") == F.col("_hdate"), "left")
     return df.withColumn("is_holiday", F.coalesce(F.col("_is_hol"), F.lit(0))).drop("_date", "_hdate", "_is_hol")
 
 
@@ -132,11 +132,15 @@ def iqr_fences(df: DataFrame, col: str = "ridership", approx_accuracy: int | Non
 def drop_outliers(df: DataFrame, col: str = "ridership", approx_accuracy: int | None = None) -> DataFrame:
     """Keep rows not below lower and not above upper (fences kept).
 
-    The fences enter as a scalar subquery (one struct), not a join.
+    The fences are one aggregate job returning one row (two numbers); they
+    enter the filter as literals.  (A scalar subquery would be re-planned for
+    every reference and re-run per use.)
     """
-    f = iqr_fences(df, col, approx_accuracy).select(F.struct("lower", "upper").alias("f")).scalar()
+    f = iqr_fences(df, col, approx_accuracy).first()
     v = _q(col)
-    outside = (v < f.getField("lower")) | (v > f.getField("upper"))
+    if f is None or f["lower"] is None:
+        return df
+    outside = (v < F.lit(f["lower"])) | (v > F.lit(f["upper"]))
     return df.filter(~F.coalesce(outside, F.lit(False)))
 
 
@@ -165,18 +169,19 @@ def feature_name_expr(column: Column, category: Column) -> Column:
 def one_hot_index(df: DataFrame, dictionary: DataFrame, cols: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Per row, each categorical's index and feature name; unknown -> null.
 
-    ``dictionary`` is one row per category; AQE broadcasts it from its measured
-    size (categories are few); the flat 0/1 form is ``F.when(index == i, 1)`` per slot and
-    the vector form is ``OneHotEncoder`` in ``turnstile.ml``.
+    The dictionary (one row per category) is written once, so the joins read
+    a small table instead of re-deriving it from the fact rows per column;
+    AQE broadcasts it by measured size.  The vector form is ``OneHotEncoder``
+    in ``turnstile.ml``.
     """
+    dictionary = materialize(dictionary, "category_dictionary")
     out = df.select(*keep, *cols)
     for c in cols:
         d = dictionary.filter(F.col("column") == c).select(
             F.col("category").alias(f"_{c}_cat"),
             F.col("category_index").alias(f"{c}_index"),
             F.col("feature_name").alias(f"{c}_feature"))
-        out = out.join(d, F.col(c).cast("string") == F.col(f"_{c}_cat"), "left") \
-                 .drop(f"_{c}_cat")
+        out = out.join(d, F.col(c).cast("string") == F.col(f"_{c}_cat"), "left").drop(f"_{c}_cat")
     return out.drop(*cols)
 
 
@@ -217,13 +222,17 @@ def scaler_stats(df: DataFrame, cols: Sequence[str] = tuple(SCALED_FEATURES)) ->
 
 
 def scale_columns(df: DataFrame, cols: Sequence[str] = tuple(SCALED_FEATURES), stats: DataFrame | None = None) -> DataFrame:
-    """(x - mean) / std with std = 0 -> 1, statistics as one scalar subquery."""
-    st = scaler_stats(df, cols) if stats is None else stats
-    s = st.select(F.struct(*st.columns).alias("s")).scalar()
+    """(x - mean) / std with std = 0 -> 1.
+
+    The moments are one aggregate job returning one row (2 x len(cols)
+    numbers), applied as literals.
+    """
+    st = (scaler_stats(df, cols) if stats is None else stats).first()
     out = df
     for c in cols:
-        std = s.getField(f"std_{c}")
-        out = out.withColumn(c, (_q(c) - s.getField(f"mean_{c}")) / F.when(std == 0, F.lit(1.0)).otherwise(std))
+        mean, std = st[f"mean_{c}"], st[f"std_{c}"]
+        std = 1.0 if not std else std
+        out = out.withColumn(c, (_q(c) - F.lit(mean)) / F.lit(std))
     return out
 
 

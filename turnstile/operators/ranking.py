@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstile.functions.timefmt import parse_transit_ts
+from turnstile.session import materialize
 
 
 def with_ts(rides: DataFrame, src: str = "transit_timestamp") -> DataFrame:
@@ -75,14 +76,25 @@ def set_bound(sets: dict[str, tuple[str, int, Sequence[str] | None]]) -> int | N
     return total
 
 
-def reduction_sets(rides: DataFrame, sets: dict[str, tuple[str, int, Sequence[str] | None]]) -> DataFrame:
+def reduction_sets(rides: DataFrame, sets: dict[str, tuple[str, int, Sequence[str] | None]],
+                   totals: DataFrame | None = None) -> DataFrame:
     """Station lists for several reductions, as one (set_name, station_complex) frame.
 
-    Each set is ``("global", k, None)`` or ``("borough", k, boroughs)``.
+    Each set is ``("global", k, None)`` or ``("borough", k, boroughs)``.  All
+    rankings read one (borough, station) totals table, written once, instead
+    of aggregating the fact rows again per set.
     """
+    if totals is None:
+        totals = materialize(station_totals(rides, ("borough", "station_complex")), "station_totals")
     frames = []
     for name, (kind, k, boroughs) in sets.items():
-        ranked = top_stations(rides, k) if kind == "global" else top_per_borough(rides, k, boroughs)
+        if kind == "global":
+            g = totals.groupBy("station_complex").agg(F.sum("total_ridership").alias("total_ridership"))
+            ranked = g.orderBy(F.desc("total_ridership"), F.asc("station_complex")).limit(k)
+        else:
+            t = totals if boroughs is None else totals.filter(F.col("borough").isin(list(boroughs)))
+            w = Window.partitionBy("borough").orderBy(F.desc("total_ridership"), F.asc("station_complex"))
+            ranked = t.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
         frames.append(ranked.select(F.lit(name).alias("set_name"), "station_complex"))
     out = frames[0]
     for f in frames[1:]:
@@ -90,15 +102,20 @@ def reduction_sets(rides: DataFrame, sets: dict[str, tuple[str, int, Sequence[st
     return out
 
 
-def reduction_counts(rides: DataFrame, sets: DataFrame, max_set_rows: int | None = None) -> DataFrame:
+def reduction_counts(rides: DataFrame, sets: dict[str, tuple[str, int, Sequence[str] | None]]) -> DataFrame:
     """Row count of the fact table reduced to each station set.
 
-    Rows are aggregated per station first (one shuffle, one row per station),
-    then joined to the set table: the fact rows are never duplicated per set.
+    One pass over the fact rows: per (borough, station) totals and row counts,
+    written once (one row per station).  Rankings and counts are then joins of
+    small tables; the fact rows are never duplicated per set.
     """
-    per_station = rides.groupBy("station_complex").agg(F.count(F.lit(1)).alias("n"))
-    if max_set_rows is not None:
-        sets = F.broadcast(sets)
-    return (per_station.join(sets, "station_complex")
+    per_station = materialize(rides.groupBy("borough", "station_complex").agg(
+        F.sum("ridership").cast("long").alias("total_ridership"), F.count(F.lit(1)).alias("n")), "station_totals")
+    chosen = reduction_sets(rides, sets, per_station.select("borough", "station_complex", "total_ridership"))
+    bound = set_bound(sets)
+    if bound is not None:
+        chosen = F.broadcast(chosen)
+    n_per_station = per_station.groupBy("station_complex").agg(F.sum("n").alias("n"))
+    return (n_per_station.join(chosen, "station_complex")
             .groupBy("set_name")
             .agg(F.count(F.lit(1)).cast("long").alias("n_stations"), F.sum("n").cast("long").alias("n_rows")))

@@ -79,6 +79,4 @@ sets AS (
   UNION ALL SELECT 'top3_x4', station_complex FROM pb WHERE rn <= 3 AND borough IN ('AMERICA', 'ASIA', 'EUROPE', 'AFRICA')),
 per_station AS (SELECT station_complex, count(*) AS n FROM od WHERE year IN (1996, 1997) GROUP BY station_complex)"""))
 def reduction_counts(spark, sf_dir):
-    filtered = _ranked_orders(spark, sf_dir)
-    sets = ranking.reduction_sets(filtered, REDUCTION_SETS)
-    return ranking.reduction_counts(filtered, sets, ranking.set_bound(REDUCTION_SETS))
+    return ranking.reduction_counts(_ranked_orders(spark, sf_dir), REDUCTION_SETS)
