@@ -201,14 +201,15 @@ def slugged_names(col: str, categories: Sequence[str]) -> list[str]:
 
 
 def unique_columns(df: DataFrame) -> DataFrame:
-    """Keep the first of equally named columns."""
-    seen: list[int] = []
-    names: set[str] = set()
-    for i, c in enumerate(df.columns):
-        if c not in names:
-            names.add(c)
-            seen.append(i)
-    return df.select(*[df[i] for i in seen]) if len(seen) != len(df.columns) else df
+    """Keep the first of equally named columns (B6): positional rename, then select."""
+    names = df.columns
+    if len(set(names)) == len(names):
+        return df
+    tmp = [f"_c{i}" for i in range(len(names))]
+    first: dict[str, int] = {}
+    for i, n in enumerate(names):
+        first.setdefault(n, i)
+    return df.toDF(*tmp).select(*[F.col(tmp[i]).alias(n) for n, i in first.items()])
 
 
 # --- scaling (D15, I5) ------------------------------------------------------------------------

@@ -39,12 +39,12 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = PARTITION_CO
                       compression: str = "snappy") -> None:
     """Overwrite a Parquet dataset partitioned by ``by``.
 
-    ``repartition(*by)`` hashes rows on the partition columns: one writer task
-    per directory value.  A single hot value (one borough with a third of the
-    rows) is split by ``maxRecordsPerFile`` into several files, and AQE splits
-    the skewed shuffle partition when rebalancing.
+    The ``REBALANCE`` hint clusters rows by the directory columns (few files
+    per directory) while letting AQE split a skewed value (one borough with
+    a third of the rows) over several tasks and merge small ones;
+    ``repartition(*by)`` would pin each directory value to a single task.
     """
-    (df.repartition(*[F.col(c) for c in by])
+    (df.hint("rebalance", *by)
        .write.mode("overwrite").option("compression", compression)
        .option("maxRecordsPerFile", 5_000_000)
        .partitionBy(*by).parquet(path))
