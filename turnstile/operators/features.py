@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from turnstile.functions import calendar, numeric
 from turnstile.functions.text import feature_name
-from turnstile.schemas import SCALED_FEATURES, WEATHER_MEASURES
+from turnstile.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES, SCALED_FEATURES, WEATHER_MEASURES
 from turnstile.session import materialize
 
 LAG_ORDER = ["ts", "fare_class_category", "payment_method", "ride_id"]
@@ -33,24 +33,41 @@ def holidays_for(rides_ts: DataFrame) -> DataFrame:
     return calendar.holiday_table(calendar.years_spanned(rides_ts))
 
 
+# Calendar span of the generated holiday dimension; dates outside it use the
+# per-row rule (``calendar.is_us_holiday``).
+HOLIDAY_YEARS = (1900, 2100)
+
+
+def holiday_dimension(spark) -> DataFrame:
+    """Holiday dates for ``HOLIDAY_YEARS``: ~16 rows per year, about 3,200 rows in all."""
+    lo, hi = HOLIDAY_YEARS
+    years = spark.range(lo, hi + 1).select(F.col("id").cast("int").alias("year"))
+    return calendar.holiday_table(years)
+
+
 def calendar_features(rides_ts: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
     """hour, day_of_week (Mon=0), month, is_weekend, is_holiday.
 
-    Holiday membership is the federal-holiday rule evaluated per row
-    (``calendar.is_us_holiday``): no join and no extra pass over the data.
-    A custom ``holidays`` table (date column) is joined instead; it is
-    broadcast because a calendar table is bounded by its span.
+    Holiday membership is a broadcast hash join to the generated holiday
+    dimension (bounded by construction: a fixed calendar span, not the data),
+    so it costs one hash probe per row and no pass over the data to find its
+    years.  Dates outside the span fall back to the same rule evaluated per
+    row.  A custom ``holidays`` table (``date`` column) replaces the dimension.
     """
+    lo, hi = HOLIDAY_YEARS
+    dim = holiday_dimension(rides_ts.sparkSession) if holidays is None else holidays
+    hol = dim.select(F.col("date").alias("_hdate")).distinct().withColumn("_is_hol", F.lit(1))
     df = (rides_ts
           .withColumn("hour", F.hour("ts"))
           .withColumn("day_of_week", calendar.day_of_week("ts"))
           .withColumn("month", F.month("ts"))
-          .withColumn("is_weekend", calendar.is_weekend("ts")))
-    if holidays is None:
-        return df.withColumn("is_holiday", F.coalesce(calendar.is_us_holiday("ts"), F.lit(0)))
-    hol = holidays.select(F.col("date").alias("_hdate")).distinct().withColumn("_is_hol", F.lit(1))
-    df = df.withColumn("_date", F.to_date("ts")).join(F.broadcast(hol), F.col("_date") == F.col("_hdate"), "left")
-    return df.withColumn("is_holiday", F.coalesce(F.col("_is_hol"), F.lit(0))).drop("_date", "_hdate", "_is_hol")
+          .withColumn("is_weekend", calendar.is_weekend("ts"))
+          .withColumn("_date", F.to_date("ts")))
+    df = df.join(F.broadcast(hol), F.col("_date") == F.col("_hdate"), "left")
+    in_span = F.year("_date").between(lo, hi) | F.col("_date").isNull() | F.lit(holidays is not None)
+    flag = F.when(in_span, F.coalesce(F.col("_is_hol"), F.lit(0))).otherwise(
+        F.coalesce(calendar.is_us_holiday("_date"), F.lit(0)))
+    return df.withColumn("is_holiday", flag).drop("_date", "_hdate", "_is_hol")
 
 
 # --- lags (E1, E2) -----------------------------------------------------------------------
@@ -249,8 +266,10 @@ def feature_frame(enriched_ts: DataFrame, holidays: DataFrame | None = None, sca
     df = lag_features(df)
     df = weather_flags(df)
     df = fill_zero(df, ["ridership_lag1", "ridership_lag24"])
-    # Read three times (quantiles, scaler statistics, output): compute once.
-    df = materialize(df)
+    # Read three times (quantiles, scaler statistics, output): compute once,
+    # writing only the columns the model and the reports use.
+    keep = ["ride_id", *CATEGORICAL_FEATURES, *NUMERIC_FEATURES, "ridership"]
+    df = materialize(df.select(*[_q(c) for c in keep]), "feature_frame")
     df = drop_outliers(df)
     if scale:
         df = scale_columns(df)
