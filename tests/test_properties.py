@@ -78,3 +78,11 @@ def test_unknown_category_scores_all_zero_and_prediction_nonnegative(spark, tmp_
     assert pred >= 0
     m = stats.regression_metrics(ml.predict(back, df.filter("is_validation"))).first()
     assert math.isfinite(m.rmse) and m.n > 0
+
+
+def test_one_hot_vectors_have_one_slot_per_known_category(spark):
+    df = ml.training_frame(features.feature_frame(enriched(spark, SF_SMALL), scale=False))
+    model = ml.fit(df, ml.GBTParams(maxIter=2, maxDepth=2))
+    out = model.transform(df).select(*[f"{c}_vec" for c in CATEGORICAL_FEATURES]).collect()
+    assert all(r[i].numNonzeros() == 1 and r[i].toArray().sum() == 1.0
+               for r in out for i in range(len(CATEGORICAL_FEATURES)))

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from turnstile.functions import calendar, numeric
 from turnstile.functions.text import feature_name
 from turnstile.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES, SCALED_FEATURES, WEATHER_MEASURES
+from turnstile.operators.joins import row_count_at_most
 from turnstile.session import materialize
 
 LAG_ORDER = ["ts", "fare_class_category", "payment_method", "ride_id"]
 # Broadcast bounds (rows) for dimension-sized tables.
 IQR_WIDTH = 1.5
+MAX_DICTIONARY_ROWS = 1_000_000
 
 
 def _q(c: str) -> Column:
@@ -187,11 +189,14 @@ def one_hot_index(df: DataFrame, dictionary: DataFrame, cols: Sequence[str], kee
     """Per row, each categorical's index and feature name; unknown -> null.
 
     The dictionary (one row per category) is written once, so the joins read
-    a small table instead of re-deriving it from the fact rows per column;
-    AQE broadcasts it by measured size.  The vector form is ``OneHotEncoder``
-    in ``turnstile.ml``.
+    a small table instead of re-deriving it from the fact rows per column, and
+    is broadcast after a row-count check (beyond the bound: shuffle joins).
+    The vector form is ``OneHotEncoder`` in ``turnstile.ml``.
     """
     dictionary = materialize(dictionary, "category_dictionary")
+    # Written and small: its size is checked cheaply before it is broadcast.
+    if row_count_at_most(dictionary, MAX_DICTIONARY_ROWS):
+        dictionary = F.broadcast(dictionary)
     out = df.select(*keep, *cols)
     for c in cols:
         d = dictionary.filter(F.col("column") == c).select(
