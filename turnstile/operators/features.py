@@ -59,12 +59,9 @@ def calendar_features(rides_ts: DataFrame, holidays: DataFrame | None = None) ->
     lo, hi = HOLIDAY_YEARS
     dim = holiday_dimension(rides_ts.sparkSession) if holidays is None else holidays
     hol = dim.select(F.col("date").alias("_hdate")).distinct().withColumn("_is_hol", F.lit(1))
-    df = (rides_ts
-          .withColumn("hour", F.hour("ts"))
-          .withColumn("day_of_week", calendar.day_of_week("ts"))
-          .withColumn("month", F.month("ts"))
-          .withColumn("is_weekend", calendar.is_weekend("ts"))
-          .withColumn("_date", F.to_date("ts")))
+    df = rides_ts.withColumns({
+        "hour": F.hour("ts"), "day_of_week": calendar.day_of_week("ts"), "month": F.month("ts"),
+        "is_weekend": calendar.is_weekend("ts"), "_date": F.to_date("ts")})
     df = df.join(F.broadcast(hol), F.col("_date") == F.col("_hdate"), "left")
     in_span = F.year("_date").between(lo, hi) | F.col("_date").isNull() | F.lit(holidays is not None)
     flag = F.when(in_span, F.coalesce(F.col("_is_hol"), F.lit(0))).otherwise(
@@ -97,18 +94,17 @@ def lag_features(df: DataFrame, value: str = "ridership", lags: Sequence[int] =
     # Null-safe string key: null stations form their own group, as in a window.
     key = F.when(p.isNull(), F.lit("\u0000")).otherwise(F.concat(F.lit("\u0001"), p.cast("string")))
     day = F.to_date(order[0]) if order[0] == "ts" else F.lit(None).cast("date")
-    x = df.withColumn("_pk", key).withColumn("_bucket", F.coalesce(day, F.lit("0001-01-01").cast("date")))
+    x = df.withColumns({"_pk": key, "_bucket": F.coalesce(day, F.lit("0001-01-01").cast("date"))})
     w_day = Window.partitionBy("_pk", "_bucket").orderBy(*order)
-    x = (x.withColumn("_rn", F.row_number().over(w_day))
-          .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_pk", "_bucket"))))
     lag_cols = [f"{prefix}{k}" for k in lags]
-    for k, c in zip(lags, lag_cols):
-        x = x.withColumn(c, F.lag(value, k).over(w_day))
+    x = x.withColumns({
+        "_rn": F.row_number().over(w_day),
+        "_n": F.count(F.lit(1)).over(Window.partitionBy("_pk", "_bucket")),
+        **{c: F.lag(value, k).over(w_day) for k, c in zip(lags, lag_cols)}})
     body = x.filter(F.col("_rn") > K)
     edge = x.filter((F.col("_rn") <= K) | (F.col("_rn") > F.col("_n") - K))
     w_edge = Window.partitionBy("_pk").orderBy("_bucket", "_rn")
-    for k, c in zip(lags, lag_cols):
-        edge = edge.withColumn(c, F.lag(value, k).over(w_edge))
+    edge = edge.withColumns({c: F.lag(value, k).over(w_edge) for k, c in zip(lags, lag_cols)})
     head = edge.filter(F.col("_rn") <= K)
     return body.unionByName(head).drop("_pk", "_bucket", "_rn", "_n")
 
@@ -117,8 +113,8 @@ def lag_features(df: DataFrame, value: str = "ridership", lags: Sequence[int] =
 
 def weather_flags(df: DataFrame) -> DataFrame:
     """heavy_rain / high_temp from the raw measures (null -> 0), then measures null -> 0."""
-    df = (df.withColumn("heavy_rain", numeric.heavy_rain("precipitation_mm"))
-            .withColumn("high_temp", numeric.high_temp("temperature_C")))
+    df = df.withColumns({"heavy_rain": numeric.heavy_rain("precipitation_mm"),
+                         "high_temp": numeric.high_temp("temperature_C")})
     return fill_zero(df, WEATHER_MEASURES)
 
 
@@ -251,12 +247,11 @@ def scale_columns(df: DataFrame, cols: Sequence[str] = tuple(SCALED_FEATURES), s
     numbers), applied as literals.
     """
     st = (scaler_stats(df, cols) if stats is None else stats).first()
-    out = df
+    scaled = {}
     for c in cols:
         mean, std = st[f"mean_{c}"], st[f"std_{c}"]
-        std = 1.0 if not std else std
-        out = out.withColumn(c, (_q(c) - F.lit(mean)) / F.lit(std))
-    return out
+        scaled[c] = (_q(c) - F.lit(mean)) / F.lit(1.0 if not std else std)
+    return df.withColumns(scaled)
 
 
 # --- whole feature frame ------------------------------------------------------------------------
