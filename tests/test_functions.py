@@ -25,10 +25,14 @@ def test_24_hour_pattern_with_marker_is_not_used(spark):
 
 
 def test_bad_text_feb_30_and_clock_change(spark):
-    vals = ["not a time", "02/30/2024 01:00:00 AM", "03/10/2024 02:30:00 AM"]
-    got = _one(spark, timefmt.parse_transit_ts("s"), [(v,) for v in vals], "s string")
-    assert got[0] is None and got[1] is None
-    assert got[2] == dt.datetime(2024, 3, 10, 2, 30)   # wall clock kept in a New York session
+    vals = ["not a time", "02/30/2024 01:00:00 AM", "03/10/2024 02:30:00 AM", "1/2/2024 01:00:00 PM",
+            "02/29/2024 11:59:59 PM", "13/01/2024 01:00:00 AM"]
+    fast = _one(spark, timefmt.parse_transit_ts("s"), [(v,) for v in vals], "s string")
+    generic = _one(spark, timefmt.try_parse_ntz("s", "MM/dd/yyyy hh:mm:ss a"), [(v,) for v in vals], "s string")
+    assert fast == generic
+    assert fast[0] is None and fast[1] is None and fast[3] is None and fast[5] is None
+    assert fast[2] == dt.datetime(2024, 3, 10, 2, 30)   # wall clock kept in a New York session
+    assert fast[4] == dt.datetime(2024, 2, 29, 23, 59, 59)
 
 
 def test_text_measure_coercion(spark):
