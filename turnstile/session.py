@@ -55,19 +55,26 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+_OWN_DIRS: dict[int, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a folder of our
-    own is created and registered.  Used for reliable ``checkpoint()`` and for
-    intermediate tables that must survive executor loss.
+    Read from the session (or from a checkpoint folder already set on its
+    context).  Only when neither is set (local tests) a folder of our own is
+    created and registered with ``setCheckpointDir``; the core config itself
+    cannot be changed at run time.  Used for reliable ``checkpoint()`` and
+    for intermediate tables that must survive executor loss.
     """
-    path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+    sc = spark.sparkContext
+    path = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
+    if not path:
+        path = sc.getCheckpointDir() or _OWN_DIRS.get(id(sc))
     if not path:
-        path = tempfile.mkdtemp(prefix="turnstile-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, path)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(path)
+        path = _OWN_DIRS[id(sc)] = tempfile.mkdtemp(prefix="turnstile-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 
