@@ -3,7 +3,6 @@ reduced_station_rows, reduction_counts)."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from turnstile.operators import ranking
 from turnstile.plans.registry import query
