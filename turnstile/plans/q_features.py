@@ -119,7 +119,7 @@ def _rounded(cols):
     return [F.round(F.col(f"`{c}`").cast("double"), ROUND).alias(c) for c in cols]
 
 
-_FEATURE_SQL_COLS = ", ".join(f'round(CAST("{c}" AS DOUBLE), {ROUND}) AS "{c}"' for c in NUMERIC_FEATURES + ["label"])
+_FEATURE_SQL_COLS = ", ".join(f'(round(CAST("{c}" AS DOUBLE), {ROUND}) + 0.0) AS "{c}"' for c in NUMERIC_FEATURES + ["label"])
 
 
 @query("scaled_features", with_ctes(f"SELECT ride_id, {_FEATURE_SQL_COLS} FROM feat_scaled", "enriched",
@@ -130,11 +130,11 @@ def scaled_features(spark, sf_dir):
 
 
 @query("target_summary", with_ctes(f"""
-SELECT CAST(count(label) AS BIGINT) AS count, round(avg(label), {ROUND}) AS mean,
-       round(stddev_samp(label), {ROUND}) AS std, round(min(label), {ROUND}) AS min,
-       round(quantile_cont(label, 0.25), {ROUND}) AS q25, round(quantile_cont(label, 0.5), {ROUND}) AS q50,
-       round(quantile_cont(label, 0.75), {ROUND}) AS q75, round(max(label), {ROUND}) AS max,
-       round(avg(ridership), {ROUND}) AS mean_ridership
+SELECT CAST(count(label) AS BIGINT) AS count, (round(avg(label), {ROUND}) + 0.0) AS mean,
+       (round(stddev_samp(label), {ROUND}) + 0.0) AS std, (round(min(label), {ROUND}) + 0.0) AS min,
+       (round(quantile_cont(label, 0.25), {ROUND}) + 0.0) AS q25, (round(quantile_cont(label, 0.5), {ROUND}) + 0.0) AS q50,
+       (round(quantile_cont(label, 0.75), {ROUND}) + 0.0) AS q75, (round(max(label), {ROUND}) + 0.0) AS max,
+       (round(avg(ridership), {ROUND}) + 0.0) AS mean_ridership
 FROM feat_scaled""", "enriched", more=feature_ctes("enriched")))
 def target_summary(spark, sf_dir):
     df = features.feature_frame(enriched(spark, sf_dir), scale=False)
