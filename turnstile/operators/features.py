@@ -13,14 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnstile.functions import calendar, numeric
-from turnstile.functions.text import feature_name
+from turnstile.functions.text import slug
 from turnstile.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES, SCALED_FEATURES, WEATHER_MEASURES
 from turnstile.operators.joins import row_count_at_most
 from turnstile.session import materialize
 
 LAG_ORDER = ["ts", "fare_class_category", "payment_method", "ride_id"]
-# Broadcast bounds (rows) for dimension-sized tables.
 IQR_WIDTH = 1.5
+# A written category dictionary above this many rows is joined by shuffle.
 MAX_DICTIONARY_ROWS = 1_000_000
 
 
@@ -177,7 +177,6 @@ def category_dictionary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def feature_name_expr(column: Column, category: Column) -> Column:
-    from turnstile.functions.text import slug
     return slug(F.concat(column, F.lit("_"), category))
 
 
