@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from turnstile.schemas import RAW_RIDES, WEATHER_TEXT
 
@@ -24,6 +25,32 @@ def read_raw_csv(spark: SparkSession, path, schema=RAW_RIDES) -> DataFrame:
             .csv(path))
 
 
+# Typed columns of a ridership CSV, found by header name (any order, extra columns kept).
+RIDE_TYPES = {"ridership": "long", "latitude": "double", "longitude": "double"}
+
+
+def read_ridership_csv(spark: SparkSession, path) -> DataFrame:
+    """A ridership CSV as published, with a header naming its columns.
+
+    Columns are matched by header name (no positional schema, no inference
+    pass): text as read, ``ridership``/``latitude``/``longitude`` typed with
+    ``try_cast`` (bad text -> null), extra columns (e.g. ``Georeference``)
+    kept.  Without a ``ride_id`` column, one is derived as a hash of the
+    row's text: a deterministic tie-breaker for ordered windows (identical
+    rows share it, and their values are identical too).
+    """
+    raw = (spark.read.option("header", True).option("escape", '"').option("multiLine", False)
+           .option("mode", "DROPMALFORMED").csv(path))
+    cols = raw.columns
+    typed = raw.select(*[F.col(f"`{c}`").try_cast(RIDE_TYPES[c]).alias(c) if c in RIDE_TYPES else F.col(f"`{c}`")
+                         for c in cols])
+    if "ride_id" not in cols:
+        typed = typed.withColumn("ride_id", F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
+    else:
+        typed = typed.withColumn("ride_id", F.col("ride_id").try_cast("long"))
+    return typed
+
+
 def read_weather_csv(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """Weather CSV files, one per year (A2): all text; several paths are one union scan (G1)."""
     return spark.read.schema(WEATHER_TEXT).option("header", True).csv(paths if isinstance(paths, str) else list(paths))
