@@ -30,3 +30,17 @@ def test_partitioned_parquet_round_trip(spark, tmp_path):
     files.write_partitioned(r, path)
     back = files.read_parquet(spark, path)
     assert back.columns[-2:] == ["transit_mode", "borough"] and back.count() == r.count()
+
+
+def test_enrich_from_yearly_weather_files(spark, tmp_path):
+    from turnstile.operators import weather
+    r = with_ts(rides(spark, SF_SMALL, "events"))
+    w = weather.derive_weather(r)
+    early, late = str(tmp_path / "w1"), str(tmp_path / "w2")
+    w.filter(F.col("time") < "2024-01-16").write.option("header", True).csv(early)
+    w.filter(F.col("time") >= "2024-01-16").write.option("header", True).csv(late)
+    from_files = weather.enrich_from_files(r, [early, late])
+    direct = weather.enrich(r, weather.typed_weather(w))
+    cols = ["ride_id", "temperature_C", "precipitation_mm", "`humidity_%`"]
+    assert from_files.select(*cols).exceptAll(direct.select(*cols)).count() == 0
+    assert from_files.count() == r.count()

@@ -174,3 +174,13 @@ def enrich(rides_ts: DataFrame, weather_typed: DataFrame, check_rows: int | None
         & (F.col("main.ts") == F.col("weather.weather_ts")),
         "left")
     return joined.drop("weather_longitude", "weather_latitude", "weather_ts", "Georeference")
+
+
+def enrich_from_files(rides_ts: DataFrame, weather_paths, check_rows: int | None = None) -> DataFrame:
+    """J8 as a user runs it: ridership rows + yearly weather CSV files -> enriched rows.
+
+    The weather files are read in one scan (union of years), typed, and
+    left-joined on coordinates and hour.
+    """
+    from turnstile.sources.files import read_weather_csv
+    return enrich(rides_ts, typed_weather(read_weather_csv(rides_ts.sparkSession, weather_paths)), check_rows)
