@@ -148,3 +148,21 @@ def test_request_rejections(spark):
     got = {r.request_id: r.reject_reason for r in requests.validate(req, requests.domains(train)).collect()}
     assert got == {1: None, 2: "unknown station", 3: "unknown fare class", 4: "unknown payment method",
                    5: "invalid timestamp", 6: "temperature out of range"}
+
+
+def test_lag_with_a_hot_station_holding_a_third_of_rows(spark):
+    from conftest import SF_CHECK
+    from turnstile.sources.adapters import rides
+    r = ranking.with_ts(rides(spark, SF_CHECK, "events"))
+    # one station takes a third of all rows
+    hot = r.withColumn("station_complex", F.when(F.col("ride_id") % 3 == 0, F.lit("Hot")).otherwise(F.col("station_complex")))
+    w = Window.partitionBy("station_complex").orderBy("ts", "fare_class_category", "payment_method", "ride_id")
+    plain = hot.select("ride_id", F.lag("ridership", 1).over(w).alias("ridership_lag1"),
+                       F.lag("ridership", 24).over(w).alias("ridership_lag24"))
+    got = features.lag_features(hot).select("ride_id", "ridership_lag1", "ridership_lag24")
+    assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+    # the station-wide (edge) window holds at most 2K rows per day of the hot station
+    per_day = (hot.filter("station_complex = 'Hot'").groupBy(F.to_date("ts").alias("d")).count())
+    edge_rows = per_day.select(F.sum(F.least(F.col("count"), F.lit(48)))).first()[0]
+    n_rows, n_days = hot.filter("station_complex = 'Hot'").count(), per_day.count()
+    assert edge_rows <= 48 * n_days and edge_rows < n_rows
