@@ -37,7 +37,7 @@ def test_entry_smoke(spark):
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if n not in SLOW))
 def test_query_matches_oracle(spark, con, name):
-    r = compare(spark, con, name, QUERIES[name], ORACLES.get(name), SF_SMALL)
+    r = compare(spark, con, name, QUERIES[name], ORACLES.get(name), SF_SMALL, strict=True)
     assert r["ok"], r.get("problems")
 
 
