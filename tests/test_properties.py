@@ -86,3 +86,16 @@ def test_one_hot_vectors_have_one_slot_per_known_category(spark):
     out = model.transform(df).select(*[f"{c}_vec" for c in CATEGORICAL_FEATURES]).collect()
     assert all(r[i].numNonzeros() == 1 and r[i].toArray().sum() == 1.0
                for r in out for i in range(len(CATEGORICAL_FEATURES)))
+
+
+def test_patience_rule():
+    assert ml.best_iteration([5, 4, 3, 3.5, 3.6, 3.7], patience=2) == 3
+    assert ml.best_iteration([5, 4, 3, 3.5, 2.0], patience=5) == 5
+    assert ml.best_iteration([1.0], patience=50) == 1
+
+
+def test_fit_with_patience_keeps_best_rounds(spark):
+    df = ml.training_frame(features.feature_frame(enriched(spark, SF_SMALL), scale=False))
+    model, errors, n = ml.fit_with_patience(df, ml.GBTParams(maxIter=8, maxDepth=3), patience=2)
+    assert len(errors) == 8 and 1 <= n <= 8
+    assert model.stages[-1].getNumTrees == n
