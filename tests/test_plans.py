@@ -64,3 +64,23 @@ def test_helpers(spark):
     flat = features.one_hot_flat(spark.createDataFrame([("x y",), ("z",)], "c string"), "c", ["x y", "z", "w"])
     assert flat.columns == ["c", "c_x_y", "c_z", "c_w"]
     assert [tuple(r)[1:] for r in flat.collect()] == [(1, 0, 0), (0, 1, 0)]
+
+
+def test_weather_join_falls_back_to_shuffle_join_when_large(spark):
+    from turnstile.operators import weather
+    keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:                       # as if the weather table were too large
+            spark.conf.set(k, "-1")
+        r = with_ts(rides(spark, SF_SMALL, "events"))
+        df = weather.enrich(r, weather.typed_weather(weather.derive_weather(r)))
+        df.write.format("noop").mode("overwrite").save()
+        plan = _plan(df)
+        assert "SortMergeJoin" in plan and "LeftOuter" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
