@@ -40,11 +40,20 @@ def holidays_for(rides_ts: DataFrame) -> DataFrame:
 HOLIDAY_YEARS = (1900, 2100)
 
 
+_HOLIDAY_DIMS: dict[int, DataFrame] = {}
+
+
 def holiday_dimension(spark) -> DataFrame:
-    """Holiday dates for ``HOLIDAY_YEARS``: ~16 rows per year, about 3,200 rows in all."""
-    lo, hi = HOLIDAY_YEARS
-    years = spark.range(lo, hi + 1).select(F.col("id").cast("int").alias("year"))
-    return calendar.holiday_table(years)
+    """Holiday dates for ``HOLIDAY_YEARS``: ~16 rows per year, about 3,200 rows in all.
+
+    Static, so it is generated and written once per session, then reused.
+    """
+    key = id(spark._jsparkSession)
+    if key not in _HOLIDAY_DIMS:
+        lo, hi = HOLIDAY_YEARS
+        years = spark.range(lo, hi + 1).select(F.col("id").cast("int").alias("year"))
+        _HOLIDAY_DIMS[key] = materialize(calendar.holiday_table(years).select("date").distinct(), "holidays")
+    return _HOLIDAY_DIMS[key]
 
 
 def calendar_features(rides_ts: DataFrame, holidays: DataFrame | None = None) -> DataFrame:
