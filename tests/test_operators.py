@@ -166,3 +166,13 @@ def test_lag_with_a_hot_station_holding_a_third_of_rows(spark):
     edge_rows = per_day.select(F.sum(F.least(F.col("count"), F.lit(48)))).first()[0]
     n_rows, n_days = hot.filter("station_complex = 'Hot'").count(), per_day.count()
     assert edge_rows <= 48 * n_days and edge_rows < n_rows
+
+
+def test_value_exactly_on_upper_fence_is_kept(spark):
+    # ten values: q1 = 0, q3 = 2 (linear interpolation), iqr = 2, upper fence = 5
+    vals = [0, 0, 0, 0, 2, 2, 2, 2, 5, 6]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "ride_id long, ridership long")
+    f = features.iqr_fences(df).first()
+    assert (f.q1, f.q3, f.upper) == (0.0, 2.0, 5.0)
+    kept = sorted(r.ridership for r in features.drop_outliers(df).collect())
+    assert kept == [0, 0, 0, 0, 2, 2, 2, 2, 5]
