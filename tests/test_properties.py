@@ -99,3 +99,13 @@ def test_fit_with_patience_keeps_best_rounds(spark):
     model, errors, n = ml.fit_with_patience(df, ml.GBTParams(maxIter=8, maxDepth=3), patience=2)
     assert len(errors) == 8 and 1 <= n <= 8
     assert model.stages[-1].getNumTrees == n
+
+
+def test_pipeline_scaler_equals_checked_scaling(spark):
+    from turnstile.ml.scaler import PopulationScaler
+    from turnstile.schemas import SCALED_FEATURES
+    df = features.feature_frame(enriched(spark, SF_SMALL), scale=False)
+    by_stage = PopulationScaler(inputCols=list(SCALED_FEATURES)).fit(df).transform(df)
+    by_query = features.scale_columns(df)
+    cols = ["ride_id", *[F.round(F.col(f"`{c}`"), 9).alias(c) for c in SCALED_FEATURES]]
+    assert by_stage.select(*cols).exceptAll(by_query.select(*cols)).count() == 0
