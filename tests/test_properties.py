@@ -109,3 +109,18 @@ def test_pipeline_scaler_equals_checked_scaling(spark):
     by_query = features.scale_columns(df)
     cols = ["ride_id", *[F.round(F.col(f"`{c}`"), 9).alias(c) for c in SCALED_FEATURES]]
     assert by_stage.select(*cols).exceptAll(by_query.select(*cols)).count() == 0
+
+
+def test_scoring_features_match_training_features(spark):
+    from turnstile.operators import requests
+    from turnstile.operators.ranking import with_ts
+    r = rides(spark, SF_SMALL, "events")      # January 2024: New Year's Day and MLK Day inside
+    v = requests.validate(requests.requests_from_rides(r), requests.domains(r))
+    scored = requests.request_features(v).select(
+        F.col("request_id").alias("ride_id"), "hour", "day_of_week", "month", "is_weekend", "is_holiday")
+    trained = features.calendar_features(with_ts(r)).select(
+        "ride_id", "hour", "day_of_week", "month", "is_weekend", "is_holiday")
+    joined = scored.join(trained, "ride_id")
+    assert joined.count() == scored.count() > 0
+    assert scored.exceptAll(trained.join(scored.select("ride_id"), "ride_id")).count() == 0
+    assert trained.filter("is_holiday = 1").join(scored, "ride_id").count() > 0
