@@ -176,3 +176,14 @@ def test_value_exactly_on_upper_fence_is_kept(spark):
     assert (f.q1, f.q3, f.upper) == (0.0, 2.0, 5.0)
     kept = sorted(r.ridership for r in features.drop_outliers(df).collect())
     assert kept == [0, 0, 0, 0, 2, 2, 2, 2, 5]
+
+
+def test_chart_titles_with_and_without_month(spark):
+    rows = [(1, _ts(1), "34 St/Penn (A C)", "X", FARES[0], "omny", 3)]
+    s = daily.station_series(ranking.with_ts(_rides(spark, rows)), 2024)
+    with_month = daily.chart_titles(s, 2024, "All", "omny", 1).first()
+    no_month = daily.chart_titles(s, 2024, "All", "omny").first()
+    assert with_month.title == "Daily Ridership at 34 St/Penn (A C)\nAll, omny, January 2024"
+    assert with_month.file_name == "34_St_Penn_(A_C)_2024_january_barchart.png"
+    assert no_month.title == "Daily Ridership at 34 St/Penn (A C)\nAll, omny, 2024"
+    assert no_month.file_name == "34_St_Penn_(A_C)_2024_barchart.png"
