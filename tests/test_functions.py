@@ -112,3 +112,12 @@ def test_holiday_expression_matches_holiday_table(spark):
     flagged = {r.d for r in days.filter(calendar.is_us_holiday("d") == 1).collect()}
     in_range = {d for d in table if dt.date(1990, 1, 1) <= d <= dt.date(2030, 12, 31)}
     assert flagged == in_range
+
+
+def test_combine_date_time_and_prefix(spark):
+    df = spark.createDataFrame([("2024-01-02", "08:30:00", "station_complex_A"),
+                                ("2024-02-30", "08:30:00", "fare_class_category_B"),
+                                ("2024-01-02", "25:00:00", None)], "d string, t string, c string")
+    got = df.select(timefmt.combine_date_time("d", "t").alias("dt"), text.has_prefix("c", "station_complex_").alias("p")).collect()
+    assert got[0].dt == dt.datetime(2024, 1, 2, 8, 30) and got[1].dt is None and got[2].dt is None
+    assert [r.p for r in got] == [True, False, None]
