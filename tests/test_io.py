@@ -44,3 +44,15 @@ def test_enrich_from_yearly_weather_files(spark, tmp_path):
     cols = ["ride_id", "temperature_C", "precipitation_mm", "`humidity_%`"]
     assert from_files.select(*cols).exceptAll(direct.select(*cols)).count() == 0
     assert from_files.count() == r.count()
+
+
+def test_reply_files_read_back_and_flatten(spark, tmp_path):
+    from turnstile.operators import weather
+    r = with_ts(rides(spark, SF_SMALL, "events"))
+    replies = weather.replies_from_weather(weather.derive_weather(r))
+    path = str(tmp_path / "replies")
+    replies.write.text(path)                                    # one JSON reply per line
+    from_files = weather.flatten_replies(weather.read_reply_files(spark, path))
+    in_memory = weather.flatten_replies(weather.parse_replies(replies))
+    assert from_files.count() > 0
+    assert from_files.exceptAll(in_memory).count() == 0 and in_memory.exceptAll(from_files).count() == 0
