@@ -187,3 +187,14 @@ def test_chart_titles_with_and_without_month(spark):
     assert with_month.file_name == "34_St_Penn_(A_C)_2024_january_barchart.png"
     assert no_month.title == "Daily Ridership at 34 St/Penn (A C)\nAll, omny, 2024"
     assert no_month.file_name == "34_St_Penn_(A_C)_2024_barchart.png"
+
+
+def test_stations_in_borough_from_selector_domains(spark):
+    rows = [(1, _ts(1), "A", "North", FARES[0], "omny", 3), (2, _ts(2), "B", "South", FARES[1], "metrocard", 4),
+            (3, _ts(3), "C", "North", FARES[0], "omny", 5)]
+    dom = daily.selector_domains(ranking.with_ts(_rides(spark, rows)))
+    assert sorted(r.value for r in daily.stations_in(dom, "North").collect()) == ["A", "C"]
+    assert sorted(r.value for r in daily.stations_in(dom).collect()) == ["A", "B", "C"]
+    by_domain = {d: sorted(r.value for r in dom.filter(F.col("domain") == d).collect())
+                 for d in ["borough", "payment_method", "year"]}
+    assert by_domain == {"borough": ["North", "South"], "payment_method": ["metrocard", "omny"], "year": ["2024"]}
