@@ -121,3 +121,9 @@ def test_combine_date_time_and_prefix(spark):
     got = df.select(timefmt.combine_date_time("d", "t").alias("dt"), text.has_prefix("c", "station_complex_").alias("p")).collect()
     assert got[0].dt == dt.datetime(2024, 1, 2, 8, 30) and got[1].dt is None and got[2].dt is None
     assert [r.p for r in got] == [True, False, None]
+
+
+def test_month_name_number_round_trip(spark):
+    df = spark.createDataFrame([(dt.date(2024, m, 1),) for m in range(1, 13)], "d date")
+    got = df.select(calendar.month_number(calendar.month_name("d")).alias("m")).collect()
+    assert [r.m for r in got] == list(range(1, 13))
