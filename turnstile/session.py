@@ -55,29 +55,30 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
-_OWN_DIRS: dict[int, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder named by ``spark.checkpoint.dir``.
 
     Read from the session (or from a checkpoint folder already set on its
-    context).  Only when neither is set (local tests) a folder of our own is
-    created and registered with ``setCheckpointDir``; the core config itself
-    cannot be changed at run time.  Used for reliable ``checkpoint()`` and
-    for intermediate tables that must survive executor loss.
+    context).  Only a local master without either, as in tests, gets a folder
+    of its own; on any other master executors would not share it, so the
+    setting is required.
     """
     sc = spark.sparkContext
-    path = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
-    if not path:
-        path = sc.getCheckpointDir() or _OWN_DIRS.get(id(sc))
+    path = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not path:
-        path = _OWN_DIRS[id(sc)] = tempfile.mkdtemp(prefix="turnstile-ckpt-")
+        if not is_one_machine(sc.master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="turnstile-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
     return path
 
 
+def is_one_machine(master: str) -> bool:
+    """Whether driver and executors are one process (``local``, ``local[4]``, ...)."""
+    return master == "local" or master.startswith("local[")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-folder of the shared folder for one job's output."""
     base = shared_dir(spark).rstrip("/")
