@@ -12,8 +12,11 @@ for its own band, and for the next one if a partner may lie there.
 Sets that share a signature are compared exactly, so no link is missed or
 invented.  Identical sets are folded into one class first.  Within a
 signature's sets, the smallest is compared with the others, links merge
-classes, and only sets of different classes are compared further; a large
-group of near copies costs a pass over the group and not all its pairs.
+classes, and only sets of different classes are compared further.  Those
+comparisons start inside the join with parity sketches: bit ``h(x) mod m``
+flips for each element ``x``, so two sketches differ in at most as many bits
+as the sets differ in elements, and a larger distance rules a pair out
+without a row being made for it.
 """
 
 from __future__ import annotations
@@ -136,18 +139,37 @@ def _sign(width, num, den):
     return run
 
 
-def _elements(width):
+def _elements(width, num, den):
     def run(batches):
         for b in batches:
             for _, _, sizes, h in _sets(b, width):
                 a, _ = _set_ids(h, sizes)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                sketch, bounds = parity_sketches(h, sizes, num, den)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))],
-                    names=["id", "elements"])
+                    [pa.array(a), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64))),
+                     pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sketch.view(np.int64)))],
+                    names=["id", "elements", "sketch"])
     return run
 
 
+def parity_sketches(elements: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bits of each set, as 64-bit words end to end, and their bounds.
+
+    The number of words is a power of two of about six bits per difference
+    allowed, so that sketches of neighbouring lengths fold onto each other.
+    """
+    need = np.maximum(4, sizes * 12.0 * (den - num) / (den + num) / 64)
+    n_words = (2 ** np.ceil(np.log2(need))).astype(np.int64)
+    bounds = np.concatenate([[0], np.cumsum(n_words)])
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    place = ta.mix64(elements + np.uint64(0xB17))
+    word = (place & np.uint64(0xFFFFFFFF)).astype(np.int64) % n_words[of]
+    out = np.zeros(bounds[-1], np.uint64)
+    np.bitwise_xor.at(out, bounds[of] + word, np.uint64(1) << (place >> np.uint64(58)))
+    return out, bounds
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose sets are similar enough, compared element by element."""
     sized = (pairs.join(sets.select(F.col("id").alias("b"), F.col("elements").alias("eb")), "b")
@@ -191,15 +213,17 @@ def jaccard_classes(docs: DataFrame, width: int = 3, similarity: tuple[int, int]
     live = scratch.write(held.select("id").distinct(), "live")
     some = with_words.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(live, F.col("set_id") == F.col("id"), "left_semi")
     sets = (texts.where("text is not null").join(some.select("doc_id"), "doc_id", "left_semi")
-            .mapInArrow(_elements(width), "id long, elements array<long>"))
+            .mapInArrow(_elements(width, num, den), "id long, elements array<long>, sketch array<long>"))
     sets = scratch.write(sets.join(live, "id", "left_semi").dropDuplicates(["id"]), "sets")
 
     pairs = held.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = scratch.write(_verified(pairs, sets, num, den), "links-star")
-    for share in (64, 8, 1):
-        merged = connected_components(links)
-        links = scratch.write(links.union(_verified(_open_pairs(held, merged, share), sets, num, den)), f"links-{share}")
     merged = connected_components(links)
+    for share in (16, 1):
+        found = scratch.write(_verified(_open_pairs(held, merged, sets, share, num, den), sets, num, den), f"links-{share}")
+        if not found.isEmpty():
+            links = scratch.write(links.union(found), "links")
+            merged = connected_components(links)
 
     classes = (with_words.join(merged, F.col("set_id") == F.col("id"), "left")
                .withColumn("class", F.coalesce("component", "set_id"))
@@ -213,21 +237,33 @@ def jaccard_classes(docs: DataFrame, width: int = 3, similarity: tuple[int, int]
     return named.union(alone)
 
 
-def _open_pairs(held: DataFrame, merged: DataFrame, share: int) -> DataFrame:
-    """Pairs of sets that share a signature but not yet a class.
+def _open_pairs(held: DataFrame, merged: DataFrame, sets: DataFrame, share: int, num: int, den: int) -> DataFrame:
+    """Possible links between sets that share a signature but not yet a class.
 
     In each signature the most frequent class needs no pairs within itself,
     so every open pair has a member outside it.  Of these members, one in
-    ``share`` by hash is paired with all sets of other classes; with 1, all.
+    ``share`` by hash is tried against all sets of other classes; with 1, all.
     """
-    now = (held.join(merged, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("class")))
+    now = held.join(merged, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("class"))
     counts = now.groupBy("sig", "class").agg(F.count("*").alias("n"))
     main = counts.groupBy("sig").agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("kinds"))
     main = main.where("kinds > 1").select("sig", F.col("top.class").alias("main"))
-    mixed = now.join(main, "sig")
+    sketches = sets.select("id", F.size("elements").cast("long").alias("n"), "sketch")
+    mixed = now.join(main, "sig").join(sketches, "id")
     outside = mixed.where(F.col("class") != F.col("main"))
     if share > 1:
         outside = outside.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
-    x = outside.select("sig", F.col("id").alias("x"), F.col("class").alias("cx"))
-    return (x.join(now, "sig").where(F.col("cx") != F.col("class"))
-            .select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct())
+    x, y = outside.alias("x"), mixed.alias("y")
+    return (x.join(y, F.expr(f"""x.sig = y.sig and x.class <> y.class
+                and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}
+                and {_distance('x.sketch', 'y.sketch')} * {num + den} <= (x.n + y.n) * {den - num}"""))
+            .select(F.expr("least(x.id, y.id) a"), F.expr("greatest(x.id, y.id) b")).distinct())
+
+
+def _distance(x: str, y: str) -> str:
+    """SQL for the number of differing bits; the longer sketch is folded first."""
+    def fold(z, other):
+        half = f"cast(size({z}) / 2 as int)"
+        return (f"if(size({z}) > size({other}), zip_with(slice({z}, 1, {half}), "
+                f"slice({z}, {half} + 1, {half}), (p, q) -> p ^ q), {z})")
+    return f"aggregate(zip_with({fold(x, y)}, {fold(y, x)}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
