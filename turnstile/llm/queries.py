@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnstile.llm import bpe, packing
 from turnstile.llm.ngram_join import jaccard_classes
 
 
+def bpe_path() -> str:
+    """The public byte-level BPE vocabulary with 50,257 ids."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -17,5 +24,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"), width=3, similarity=(9, 10))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    path = bpe_path()
+    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 ids."""
+    return packing.pack(_table(spark, sf_dir, "documents"), bpe_path(), window=1024, end_id=0)
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_bpe_round_trip, op7_packing)}
 ORACLES: dict[str, str] = {}
