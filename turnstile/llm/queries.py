@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import bpe, packing
+from turnstile.llm import ann, bpe, fixity, language_id, licenses, packing, quality, topk
 from turnstile.llm.ngram_join import jaccard_classes
 
 
@@ -24,6 +24,52 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"), width=3, similarity=(9, 10))
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixity audit of the pages' WARC files against a replica with damage.
+
+    The replica is derived from the same table: some pages have a byte
+    appended or replaced, some records are lost.
+    """
+    pages = _table(spark, sf_dir, "pages")
+    records = fixity.warc_records(pages)
+    kind = F.conv(F.substring(F.md5(F.col("record_id").cast("string")), 1, 4), 16, 10).cast("long") % 97
+    damaged = F.when(kind == 3, F.concat("record", F.lit("~"))).when(kind == 11, F.translate("record", "e", "3")).otherwise(F.col("record"))
+    replica = records.withColumn("record", damaged).where(kind != 5)
+    return fixity.audit(records, replica).select("record_id", "file", "offset", "status", "left_hash", "right_hash")
+
+
+_OP2_SQL = r"""
+WITH r AS (
+  SELECT CAST(page_id // 1000 AS BIGINT) AS file, page_id AS record_id,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+         || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+         || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages),
+o AS (
+  SELECT *, CAST(sum(strlen(record)) OVER (PARTITION BY file ORDER BY record_id) - strlen(record) AS BIGINT) AS "offset"
+  FROM r)
+SELECT record_id, file, "offset",
+       CASE kind WHEN 5 THEN 'missing' ELSE 'changed' END AS status,
+       sha256(strlen(record) || '|' || record) AS left_hash,
+       CASE kind WHEN 3 THEN sha256((strlen(record) + 1) || '|' || record || '~')
+                 WHEN 11 THEN sha256(strlen(record) || '|' || replace(record, 'e', '3')) END AS right_hash
+FROM (SELECT *, CAST('0x' || substr(md5(CAST(record_id AS VARCHAR)), 1, 4) AS INTEGER) % 97 AS kind FROM o) WHERE kind IN (3, 5, 11)
+"""
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    found = language_id.identify(docs, docs.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of the common license notices in all documents."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     path = bpe_path()
@@ -37,5 +83,34 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), bpe_path(), window=1024, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op5_bpe_round_trip, op7_packing)}
-ORACLES: dict[str, str] = {}
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth vector."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def op9_quality_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products of every fiftieth vector."""
+    return topk.top_products(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256)
+
+
+_OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
+"""
+
+QUERIES = {f.__name__: f for f in (
+    op1_ngram_jaccard_join, op2_warc_fixity, op3_language_id, op5_bpe_round_trip, op6_license_scan, op7_packing,
+    op8_nearest_neighbours, op9_quality_co_training, op10_exact_top_k)}
+ORACLES: dict[str, str] = {"op2_warc_fixity": _OP2_SQL, "op10_exact_top_k": _OP10_SQL}
