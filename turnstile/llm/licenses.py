@@ -1,13 +1,13 @@
 """License scans: MinHash retrieval of templates, then exact containment.
 
 A text is read through overlapping windows.  For a template of ``m``
-shingles, windows hold two stretches of at least ``m`` shingles and advance
-by one stretch, so any occurrence lies whole in some window, of which it is
-about half.  Windows and templates meet if they agree in any of BANDS MinHash
-values (bands of one row): at a Jaccard similarity of 0.4 (an occurrence with
-a fifth of its shingles changed) a window is missed with probability
-``0.6 ** 24 < 5e-6``.  Retrieved templates are then held against the window's
-shingles exactly.
+shingles, windows hold two stretches of at least ``m`` and less than
+``1.42 m`` shingles and advance by one stretch, so any occurrence lies whole
+in some window.  Windows and templates meet if they agree in any of BANDS
+MinHash values (bands of one row).  An occurrence with a fifth of its
+shingles changed has a Jaccard similarity of at least ``0.8 / 3.04`` with its
+window, which is missed with probability ``0.737 ** 48 < 5e-7``.  Retrieved
+templates are then held against the window's shingles exactly.
 """
 
 from __future__ import annotations
@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 
 from turnstile.llm import textarrays as ta
 
-BANDS = 24
+BANDS = 48
 WIDTH = 5
-STRETCHES = (4, 32, 256)     # window steps; a template uses the first that holds it
+STRETCHES = tuple(sorted({int(2 ** (k / 2)) for k in range(40)}))    # window steps; a template uses the first that holds it
 MAX_TEMPLATES = 10_000       # bound on what tasks carry; pass more in several scans
 MAX_TEMPLATE_SHINGLES = 50_000
-_SALTS = np.random.default_rng(97).integers(1, 1 << 63, BANDS, dtype=np.uint64)
+_SALTS = np.random.default_rng(97).integers(1, 1 << 62, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORDY = np.full(256, 0x20, np.uint8)   # letters and digits, A-Z lower-cased; all other ASCII is blank
 for _b in range(256):
     if _b >= 128 or chr(_b).isalnum():
@@ -61,9 +61,14 @@ def _shingles(data: np.ndarray, offs: np.ndarray):
     return ta.shingles(ta.word_hashes(folded, s, e), rows, len(offs) - 1, WIDTH)
 
 
-def _minhashes(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(runs, BANDS) smallest hash of each run that begins at ``starts``."""
-    return np.stack([np.minimum.reduceat(ta.mix64(h ^ salt), starts) for salt in _SALTS], 1)
+def _minhashes(h: np.ndarray, starts: list[np.ndarray]) -> list[np.ndarray]:
+    """For each list of run starts, the (runs, BANDS) smallest salted hashes."""
+    out = [np.empty((len(at), BANDS), np.uint64) for at in starts]
+    for k, salt in enumerate(_SALTS):
+        salted = (h ^ (h >> np.uint64(31)) ^ salt) * salt
+        for low, at in zip(out, starts):
+            low[:, k] = np.minimum.reduceat(salted, at)
+    return out
 
 
 class Templates:
@@ -77,7 +82,7 @@ class Templates:
         for name in self.names:
             h, _ = _shingles(*ta.text_buffer(pa.array([texts[name]])))
             self.sets.append(np.unique(h))
-            self.steps.append(next((s for s in STRETCHES if s >= len(h)), len(h)))
+            self.steps.append(next(s for s in STRETCHES if s >= len(h)))
         if sum(map(len, self.sets)) > MAX_TEMPLATES * 100 or max(map(len, self.sets), default=0) > MAX_TEMPLATE_SHINGLES:
             raise ValueError("templates are too long for one scan")
         self.by_step = {}
@@ -85,25 +90,37 @@ class Templates:
             at = [i for i, s in enumerate(self.steps) if s == step]
             joined = np.concatenate([self.sets[i] for i in at])
             begin = np.cumsum([0, *[len(self.sets[i]) for i in at]])[:-1]
-            self.by_step[step] = (np.array(at), _minhashes(joined, begin))
-
-    def matches(self, h: np.ndarray, threshold: float):
-        """(template, containment, first shingle, end shingle) of retrieved windows of one text."""
-        for step, (at, bands) in self.by_step.items():
-            starts = np.arange(0, len(h), step)
-            low = _minhashes(h, starts)
-            window = np.minimum(low, np.vstack([low[1:], low[-1:]]))
+            self.by_step[step] = (np.array(at), _minhashes(joined, [begin])[0])
+
+    def matches(self, h: np.ndarray, edge: np.ndarray, threshold: float):
+        """(row, template, containment, first shingle, end shingle) of the windows that pass.
+
+        ``h`` holds the shingles of some texts end to end, ``edge`` their bounds.
+        """
+        if not len(h) or not self.names:
+            return
+        runs = {}
+        for step in self.by_step:
+            n = -(-np.diff(edge) // step)
+            row = np.repeat(np.arange(len(n)), n)
+            runs[step] = (row, edge[row] + (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * step)
+        lows = _minhashes(h, [at for _, at in runs.values()])
+        for (step, (row, begin)), low in zip(runs.items(), lows):
+            at, bands = self.by_step[step]
+            following = np.flatnonzero(row[1:] == row[:-1])
+            window = low.copy()
+            window[following] = np.minimum(low[following], low[following + 1])
             hits = set()
             for band in range(BANDS):
-                found = np.flatnonzero(np.isin(window[:, band], bands[:, band]))
-                for w in found:
+                for w in np.flatnonzero(np.isin(window[:, band], bands[:, band])):
                     hits |= {(int(w), int(t)) for t in at[bands[:, band] == window[w, band]]}
             for w, t in sorted(hits):
-                end = min(len(h), (w + 2) * step)
-                inside = np.isin(self.sets[t], h[starts[w]:end], assume_unique=False).mean()
-                if inside >= threshold:
-                    where = np.flatnonzero(np.isin(h[starts[w]:end], self.sets[t])) + starts[w]
-                    yield t, float(inside), int(where[0]), int(where[-1]) + 1
+                first, text = int(begin[w]), int(edge[row[w]])
+                inside = h[first:min(int(edge[row[w] + 1]), first + 2 * step)]
+                share = float(np.isin(self.sets[t], inside).mean())
+                if share >= threshold:
+                    where = np.flatnonzero(np.isin(inside, self.sets[t])) + first - text
+                    yield int(row[w]), t, share, int(where[0]), int(where[-1]) + 1
 
 
 def _scan(templates: Templates, threshold: float):
@@ -113,14 +130,11 @@ def _scan(templates: Templates, threshold: float):
             for i, j in ta.chunks(offs):
                 h, rows = _shingles(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
                 edge = np.searchsorted(rows, np.arange(j - i + 1))
-                out = []
-                for r in range(j - i):
-                    best = {}
-                    for t, inside, first, end in templates.matches(h[edge[r]:edge[r + 1]], threshold) if edge[r] < edge[r + 1] else ():
-                        best.setdefault(t, []).append((inside, first, end))
-                    for t, spans in sorted(best.items()):
-                        merged = _merge(spans)
-                        out += [(i + r, templates.names[t], inside, first, end + WIDTH - 1) for inside, first, end in merged]
+                spans = {}
+                for row, t, inside, first, end in templates.matches(h, edge, threshold):
+                    spans.setdefault((row, t), []).append((inside, first, end))
+                out = [(i + row, templates.names[t], inside, first, end + WIDTH - 1)
+                       for (row, t), found in sorted(spans.items()) for inside, first, end in _merge(found)]
                 cols = list(zip(*out)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()),
