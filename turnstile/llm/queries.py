@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import ann, bpe, fixity, language_id, licenses, packing, quality, topk
+from turnstile.llm import ann, bpe, fixity, katz, language_id, licenses, packing, quality, topk
 from turnstile.llm.ngram_join import jaccard_classes
 
 
@@ -65,6 +65,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz backoff scores of all documents, learned from four fifths of them."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    scored = katz.score(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of the common license notices in all documents."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
@@ -111,6 +118,6 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard_join, op2_warc_fixity, op3_language_id, op5_bpe_round_trip, op6_license_scan, op7_packing,
+    op1_ngram_jaccard_join, op2_warc_fixity, op3_language_id, op4_katz_scoring, op5_bpe_round_trip, op6_license_scan, op7_packing,
     op8_nearest_neighbours, op9_quality_co_training, op10_exact_top_k)}
 ORACLES: dict[str, str] = {"op2_warc_fixity": _OP2_SQL, "op10_exact_top_k": _OP10_SQL}
