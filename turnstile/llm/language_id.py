@@ -133,7 +133,7 @@ def _predict(model: LanguageModel):
                     known = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool)
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0).slice(a, e - a), pa.array(np.where(known, names[p.argmax(1)], "und"), pa.string()),
-                         pa.array(np.where(known, p.max(1), 0.0).astype(float))], names=["doc_id", "lang_pred", "score"])
+                         pa.array(np.where(known, p.max(1), 0.0).astype(float))], names=["row", "lang_pred", "score"])
     return run
 
 
@@ -152,21 +152,21 @@ def training_sample(docs: DataFrame, per_language: int, max_chars: int, text_col
 
 
 def identify(docs: DataFrame, train: DataFrame, per_language: int = 400, max_chars: int = 20_000,
-             landmarks_per_language: int = 64, id_col: str = "doc_id", text_col: str = "text",
-             lang_col: str = "lang") -> DataFrame:
-    """``doc_id, lang_pred, score`` of every row of ``docs``.
+             landmarks_per_language: int = 64, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``row, lang_pred, score`` of every row of ``docs``; ``row`` is a struct of all its columns.
 
     The model is fitted on a bounded sample of ``train`` (about
     ``per_language`` distinct texts of at most ``max_chars`` characters of
     each non-null language) and reads whole texts when it predicts.  A null
     text, or one without a letter, is ``und`` with score 0; so is everything
-    if there is nothing to learn from.  Repeated rows and null ids stay; other
-    columns are ignored; an empty table gives none.  Ties go to the language
-    that sorts first.  ``score`` is the predicted language's share (0 to 1).
+    if there is nothing to learn from.  Repeated rows and nulls in other
+    columns stay; columns of any name are carried in ``row``; an empty table
+    gives none.  Ties go to the language that sorts first.  ``score`` is the
+    predicted language's share (0 to 1).
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"))
     sample = training_sample(train, per_language, max_chars, text_col, lang_col)
     if not sample:
-        return texts.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select("row", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     model = fit([r["text"] for r in sample], [r["lang"] for r in sample], landmarks_per_language)
-    return texts.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(_predict(model), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")

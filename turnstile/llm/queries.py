@@ -62,7 +62,9 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     found = language_id.identify(docs, docs.where(~held_out))
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    doc_id = F.col("row.doc_id")
+    held_out = F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+    return found.select(doc_id, held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op4_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +99,8 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
-    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    scored = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("row.doc_id", "content_score", "meta_score", "score")
 
 
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
