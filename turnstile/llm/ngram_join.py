@@ -40,7 +40,8 @@ def size_bands(largest: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray
     """Smallest sizes of the bands up to ``largest``, and each band's ``k``."""
     lows = [1]
     while lows[-1] <= largest:
-        lows.append(max(lows[-1] + 1, math.ceil(lows[-1] * BAND_RATIO)))
+        # a partner is at most den/num times as large, so it lies in the same band or the next
+        lows.append(max(lows[-1] + 1, math.ceil(lows[-1] * BAND_RATIO), -(-lows[-1] * den // num)))
     lows = np.array(lows, np.int64)
     highs = lows[1:] - 1
     return lows[:-1], (2 * highs * (den - num)) // (den + num)
