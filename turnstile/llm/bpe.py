@@ -10,6 +10,7 @@ Decoding joins ids with the vocabulary's pieces, a table of fixed size.
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 
 import numpy as np
@@ -26,6 +27,7 @@ from turnstile.llm import textarrays as ta
 
 # The characters with the Unicode property White_Space, and the word pattern of byte-level BPE.
 _WS = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORDS_PER_CALL = 256
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _UNIT = regex.compile(rf"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _WS_BEFORE_BLANK = regex.compile(rf"[{_WS}] ")
@@ -53,6 +55,9 @@ def _added(path: str):
     return regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")"), {t["content"]: t["id"] for t in tokens}
 
 
+_ASCII_WS_BEFORE_BLANK = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ")
+
+
 def units(text: str) -> list[str]:
     """Cuts a text before runs of white space.
 
@@ -61,53 +66,81 @@ def units(text: str) -> list[str]:
     """
     if not text:
         return []
-    if _WS_BEFORE_BLANK.search(text) is None:
+    if text.isascii():
+        plain = not any(x in text for x in _ASCII_WS_BEFORE_BLANK)
+    else:
+        plain = _WS_BEFORE_BLANK.search(text) is None
+    if plain:
         first, *rest = text.split(" ")
         out = [" " + x for x in rest]
         return [first, *out] if first else out
     return _UNIT.findall(text)
 
 
+class _Numbers(dict):
+    """Numbers new keys in order of arrival."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
 class Block:
     """Distinct words of some documents, and the documents as word positions."""
 
     def __init__(self, path: str):
         self.added, self.added_ids = _added(path)
-        self.words: dict[str, int] = {}
-        self.units: dict[str, int] = {}
-        self.unit_words: list[int] = []
-        self.unit_ends: list[int] = [0]
+        self.words, self.units = _Numbers(), _Numbers()
+        self.unit_words: list[np.ndarray] = []      # words of the units end to end, in units' order
+        self.unit_sizes: list[np.ndarray] = []
         self.stream: list[np.ndarray] = []
         self.lengths: list[np.ndarray] = []
 
-    def _new_unit(self, unit: str) -> int:
-        at = self.units[unit] = len(self.units)
-        words = (unit,) if unit in self.added_ids else _WORD.findall(unit)
-        self.unit_words += [self.words.setdefault(w, len(self.words)) for w in words]
-        self.unit_ends.append(len(self.unit_words))
-        return at
+    def _split_units(self, fresh: list[str]) -> None:
+        """Words of new units: those that stand between white space are split as one text."""
+        plain = [u[0] == " " and u not in self.added_ids and not u[-1].isspace() for u in fresh]
+        joined = [u for u, p in zip(fresh, plain) if p]
+        words = _WORD.findall("".join(joined))
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        edges = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
+        size = np.diff(np.searchsorted(ends, edges, "right"), prepend=0)
+        number = self.words
+        flat = np.fromiter((number[w] for w in words), np.int32, len(words))
+        if len(joined) < len(fresh):
+            others = [[u] if u in self.added_ids else _WORD.findall(u) for u, p in zip(fresh, plain) if not p]
+            other_flat = np.array([number[w] for x in others for w in x], np.int32)
+            other_size = np.array([len(x) for x in others], np.int64)
+            mask = np.array(plain)
+            sizes = np.empty(len(fresh), np.int64)
+            sizes[mask], sizes[~mask] = size, other_size
+            whose = np.repeat(mask, sizes)
+            merged = np.empty(len(whose), np.int32)
+            merged[whose], merged[~whose] = flat, other_flat
+            flat, size = merged, sizes
+        self.unit_words.append(flat)
+        self.unit_sizes.append(size)
 
     def add(self, texts: list[str]) -> None:
         known, flat, lengths = self.units, [], []
+        done = len(known)
         for text in texts:
-            if self.added is not None and self.added.search(text):
+            if self.added is not None and any(x in text for x in self.added_ids):
                 parts = [u for x in self.added.split(text) for u in ([x] if x in self.added_ids else units(x))]
             else:
                 parts = units(text)
-            try:
-                flat += [known[u] for u in parts]
-            except KeyError:
-                flat += [known[u] if u in known else self._new_unit(u) for u in parts]
+            flat += [known[u] for u in parts]
             lengths.append(len(parts))
         self.stream.append(np.array(flat, np.int32))
         self.lengths.append(np.array(lengths, np.int64))
+        self._split_units(list(itertools.islice(reversed(known), len(known) - done))[::-1])
 
     def positions(self) -> tuple[np.ndarray, np.ndarray]:
         """Word positions of all documents end to end, and words per document."""
         flat = np.concatenate(self.stream) if self.stream else np.zeros(0, np.int32)
         n_units = np.concatenate(self.lengths) if self.lengths else np.zeros(0, np.int64)
-        ends, words = np.array(self.unit_ends), np.array(self.unit_words, np.int32)
-        flat, size = spread(words, ends[flat], ends[flat + 1] - ends[flat])
+        sizes = np.concatenate(self.unit_sizes) if self.unit_sizes else np.zeros(0, np.int64)
+        words = np.concatenate(self.unit_words) if self.unit_words else np.zeros(0, np.int32)
+        flat, size = spread(words, (np.cumsum(sizes) - sizes)[flat], sizes[flat])
         total = np.concatenate([[0], np.cumsum(size)])
         edge = np.concatenate([[0], np.cumsum(n_units)])
         return flat, total[edge[1:]] - total[edge[:-1]]
@@ -166,11 +199,14 @@ def _documents_of(path):
     return run
 
 
-def encode_words(words: list[str], path: str) -> list[list[int]]:
-    """Ids of single words, each encoded on its own."""
-    if not words:
-        return []
-    return [x.ids for x in _tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
+def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of single words end to end, and ids per word; each is encoded on its own."""
+    ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    groups = [words[i:i + WORDS_PER_CALL] for i in range(0, len(words), WORDS_PER_CALL)]
+    for group, x in zip(groups, _tokenizer(path).encode_batch(groups, is_pretokenized=True, add_special_tokens=False)):
+        ids.append(np.array(x.ids, np.int64))
+        sizes.append(np.bincount(np.array(x.word_ids, np.int64), minlength=len(group)))
+    return np.concatenate(ids), np.concatenate(sizes)
 
 
 def _encode_sorted(path):
@@ -181,7 +217,9 @@ def _encode_sorted(path):
             coded = b.column(0).dictionary_encode()
             distinct = coded.dictionary.to_pylist()
             new = [w for w in distinct if w != last]
-            table = {w: np.array(x, "<u4").tobytes() for w, x in zip(new, encode_words(new, path))}
+            ids, sizes = encode_words(new, path)
+            raw, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes) * 4
+            table = {w: raw[e - 4 * n:e] for w, e, n in zip(new, ends.tolist(), sizes.tolist())}
             if last is not None:
                 table[last] = last_ids
             packed = pa.array([table[w] for w in distinct], pa.binary())

@@ -10,6 +10,7 @@ packed greedily.  Pieces find their place by their rank within their length.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -37,13 +38,12 @@ def _pieces(path, window, end_id, keep_ids):
                 block.add([t or "" for t in b.column(1).slice(i, j - i).to_pylist()])
                 pos, n_words = block.positions()
                 block.stream, block.lengths = [], []
-                fresh = list(block.words)[done:]
+                fresh = list(itertools.islice(reversed(block.words), len(block.words) - done))[::-1]
                 done += len(fresh)
-                coded = bpe.encode_words(fresh, path)
-                n = np.array([len(x) for x in coded], np.int64)
+                coded, n = bpe.encode_words(fresh, path)
                 start = np.concatenate([start, len(values) + np.cumsum(n) - n])
                 size = np.concatenate([size, n])
-                values = np.concatenate([values, np.array([t for x in coded for t in x], np.int64)])
+                values = np.concatenate([values, coded])
                 yield _cut(ids.slice(i, j - i), pos, n_words, start, size, values, window, end_id, keep_ids)
     return run
 
