@@ -209,17 +209,24 @@ def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(sizes)
 
 
+def _id_type(path: str) -> np.dtype:
+    """The narrowest type that holds every id, for ids on their way through a shuffle."""
+    return np.dtype("<u2" if _tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+
+
 def _encode_sorted(path):
     """Rows sorted by word: each distinct word is encoded once."""
     def run(batches):
+        kind = _id_type(path)
         last, last_ids = None, b""
         for b in batches:
             coded = b.column(0).dictionary_encode()
             distinct = coded.dictionary.to_pylist()
             new = [w for w in distinct if w != last]
             ids, sizes = encode_words(new, path)
-            raw, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes) * 4
-            table = {w: raw[e - 4 * n:e] for w, e, n in zip(new, ends.tolist(), sizes.tolist())}
+            width = kind.itemsize
+            raw, ends = ids.astype(kind).tobytes(), np.cumsum(sizes) * width
+            table = {w: raw[e - width * n:e] for w, e, n in zip(new, ends.tolist(), sizes.tolist())}
             if last is not None:
                 table[last] = last_ids
             packed = pa.array([table[w] for w in distinct], pa.binary())
@@ -230,8 +237,14 @@ def _encode_sorted(path):
     return run
 
 
-def _join_back(coded: pa.Table, docs: pa.Table) -> pa.Table:
+def _join_back(path):
     """Ids of a block's documents from the ids of its words."""
+    def run(coded: pa.Table, docs: pa.Table) -> pa.Table:
+        return _documents(coded, docs, _id_type(path))
+    return run
+
+
+def _documents(coded: pa.Table, docs: pa.Table, kind: np.dtype) -> pa.Table:
     out = []
     if docs.num_rows != 1:
         raise RuntimeError("a block was cut differently on a second read; write the documents to a table first")
@@ -239,8 +252,8 @@ def _join_back(coded: pa.Table, docs: pa.Table) -> pa.Table:
     raw = coded.column("ids").combine_chunks()
     raw = raw.chunk(0) if isinstance(raw, pa.ChunkedArray) else raw
     _, offsets, data = raw.cast(pa.large_binary()).buffers() if len(raw) else (None, None, None)
-    offs = np.frombuffer(offsets, np.int64)[:len(raw) + 1] // 4 if len(raw) else np.zeros(1, np.int64)
-    values = np.frombuffer(data, "<u4") if len(raw) and data is not None else np.zeros(0, "<u4")
+    offs = np.frombuffer(offsets, np.int64)[:len(raw) + 1] // kind.itemsize if len(raw) else np.zeros(1, np.int64)
+    values = np.frombuffer(data, kind) if len(raw) and data is not None else np.zeros(0, kind)
     start, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     start[at], size[at] = offs[:-1], np.diff(offs)
     ids = docs.column("doc_ids").combine_chunks().flatten()
@@ -273,7 +286,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
              .mapInArrow(_encode_sorted(path), "block long, at int, ids binary"))
     blobs = texts.mapInArrow(_documents_of(path), "block long, doc_ids array<long>, sizes binary, positions binary")
     return (coded.groupBy("block").cogroup(blobs.groupBy("block"))
-            .applyInArrow(_join_back, "doc_id long, n_tokens long, ids binary"))
+            .applyInArrow(_join_back(path), "doc_id long, n_tokens long, ids binary"))
 
 
 @functools.lru_cache(maxsize=4)
