@@ -198,3 +198,56 @@ def test_stations_in_borough_from_selector_domains(spark):
     by_domain = {d: sorted(r.value for r in dom.filter(F.col("domain") == d).collect())
                  for d in ["borough", "payment_method", "year"]}
     assert by_domain == {"borough": ["North", "South"], "payment_method": ["metrocard", "omny"], "year": ["2024"]}
+
+
+def test_negative_ids_split_like_others(spark):
+    from turnstile.operators import stats
+    df = spark.range(100_000).select(F.xxhash64("id").alias("ride_id"))
+    share = df.select(F.avg(stats.is_validation("ride_id").cast("double"))).first()[0]
+    assert 0.18 < share < 0.22
+
+
+def test_exact_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    from turnstile.operators import stats
+    rng = np.random.default_rng(0)
+    for values in (rng.integers(0, 5, 300), rng.normal(size=1001), np.array([3.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        probs = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+        assert np.allclose(stats.exact_quantiles(df, "v", probs), np.quantile(values, probs))
+    assert stats.exact_quantiles(df.where("v > 9"), "v", [0.5]) == [None]
+
+
+def test_replies_without_status_are_on_one_side(spark):
+    df = spark.createDataFrame([('{"station_id":1,"hourly":{"time":["2024-01-01T00:00"]}}',), ('{"station_id":2}',),
+                                ('{"station_id":3,"status":500}',)], "reply string")
+    replies = weather.parse_replies(df)
+    assert replies.filter(weather.accepted(replies)).count() == 1
+    assert replies.filter(~weather.accepted(replies)).count() == 2
+
+
+def test_last_day_of_the_holiday_span(spark):
+    df = spark.sql("select timestamp_ntz'2100-12-31 05:00:00' ts union all select timestamp_ntz'2100-12-30 05:00:00'")
+    assert [r.is_holiday for r in features.calendar_features(df).orderBy("ts").collect()] == [0, 1]
+
+
+def test_series_by_id_covers_the_whole_station(spark):
+    rows = [("1", "A", 5), ("2", "A", 7), ("3", "B", 9)]
+    df = spark.createDataFrame(rows, "station_complex_id string, station_complex string, ridership long")
+    df = df.withColumns({"ts": F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), "fare_class_category": F.lit("x"), "payment_method": F.lit("y")})
+    assert [r.total_ridership for r in daily.station_series(df, 2024, station="1").collect()] == [12]
+    assert [r.total_ridership for r in daily.station_series(df, 2024, station="A").collect()] == [12]
+
+
+def test_validation_rows_do_not_move_the_scaler(spark):
+    from turnstile.ml import model as ml
+    from turnstile.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+    base = spark.range(100).withColumn("is_validation", F.col("id") >= 50).withColumn("label", F.rand(1)).withColumn("ride_id", F.col("id"))
+    df = base.withColumns({c: F.col("id").cast("double") for c in NUMERIC_FEATURES} | {c: F.lit("a") for c in CATEGORICAL_FEATURES})
+    moved = base.withColumns({c: F.when(F.col("id") >= 50, 1e6).otherwise(F.col("id")).cast("double") for c in NUMERIC_FEATURES}
+                             | {c: F.lit("a") for c in CATEGORICAL_FEATURES})
+    params = ml.GBTParams(maxIter=1, maxDepth=1)
+    row = df.limit(1)
+    scaled = [ml.fit(x, params).stages[0].transform(row).select(*[f"`{c}`" for c in NUMERIC_FEATURES]).first() for x in (df, moved)]
+    assert scaled[0] == scaled[1]

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from turnstile import session
 
 
@@ -15,7 +17,7 @@ class _Conf:
 
 class _SC:
     def __init__(self, conf_value=None):
-        self._conf, self.dir = _Conf(conf_value), None
+        self._conf, self.dir, self.master = _Conf(conf_value), None, "local[2]"
 
     def getConf(self):
         return self._conf
@@ -38,9 +40,17 @@ def test_setting_from_session_is_used():
     assert s.sparkContext.dir == "/shared/ckpt"
 
 
-def test_unset_creates_own_folder_once():
+def test_local_master_gets_its_own_folder_once():
     s = _Spark(None)
     p = session.shared_dir(s)
     assert os.path.isdir(p) and s.sparkContext.dir == p
     assert session.shared_dir(s) == p
     assert session.scratch_path(s, "x").startswith(p.rstrip("/") + "/turnstile/x-")
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "k8s://https://host", "local-cluster[2,1,1024]"])
+def test_other_masters_need_the_setting(master):
+    s = _Spark(None)
+    s.sparkContext.master = master
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(s)

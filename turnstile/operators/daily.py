@@ -8,7 +8,6 @@ per station and day.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,7 +74,9 @@ def station_series(rides_ts: DataFrame, year: int, fare_category: str = ALL, pay
     """
     df = rides_ts.filter(series_predicate(F.col("ts"), year, fare_category, payment_method, month))
     if station is not None:
-        df = df.filter(station_match(station))
+        # an id stands for its whole station, which may have several ids
+        names = rides_ts.filter(station_match(station)).select("station_complex").distinct()
+        df = df.join(names, "station_complex", "left_semi")
     return (df.groupBy("station_complex", format_day("ts").alias("date"))
             .agg(F.sum("ridership").cast("long").alias("total_ridership"))
             .orderBy("station_complex", "date"))
@@ -151,14 +152,15 @@ SELECTOR_GROUPS = {
 
 
 def selector_domains(rides_ts: DataFrame) -> DataFrame:
-    """Every selector domain in one scan and one shuffle.
+    """Every selector domain in one scan and one scan.
 
     ``GROUPING SETS`` replaces one distinct job per domain: rows
     (domain, borough, value), stations carry their borough.
     """
     cols = ["borough", "station_complex", "fare_class_category", "payment_method", "year"]
     sets = [[F.col(c) for c in g] for g in SELECTOR_GROUPS.values()]
-    g = rides_ts.groupingSets(sets, *cols).agg(
+    # combinations first: the grouping sets then expand those and not the fact rows
+    g = rides_ts.select(*cols).distinct().groupingSets(sets, *cols).agg(
         *[F.grouping(c).alias(f"g_{c}") for c in cols])
     domain = (F.when(F.col("g_station_complex") == 0, F.lit("station"))
               .when(F.col("g_borough") == 0, F.lit("borough"))
@@ -189,7 +191,3 @@ def stations_in(domains: DataFrame, borough: str = ALL) -> DataFrame:
 def is_empty(df: DataFrame) -> bool:
     """Empty-result guard (B17): one row is enough to decide."""
     return df.isEmpty()
-
-
-def keep_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*cols)

@@ -16,6 +16,7 @@ from turnstile.functions import calendar, numeric
 from turnstile.functions.text import slug
 from turnstile.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES, SCALED_FEATURES, WEATHER_MEASURES
 from turnstile.operators.joins import row_count_at_most
+from turnstile.operators.stats import exact_quantiles
 from turnstile.session import materialize
 
 LAG_ORDER = ["ts", "fare_class_category", "payment_method", "ride_id"]
@@ -40,18 +41,20 @@ def holidays_for(rides_ts: DataFrame) -> DataFrame:
 HOLIDAY_YEARS = (1900, 2100)
 
 
-_HOLIDAY_DIMS: dict[int, DataFrame] = {}
+_HOLIDAY_DIMS: dict[str, DataFrame] = {}
 
 
 def holiday_dimension(spark) -> DataFrame:
     """Holiday dates for ``HOLIDAY_YEARS``: ~16 rows per year, about 3,200 rows in all.
 
-    Static, so it is generated and written once per session, then reused.
+    Static, so it is generated and written once per application, then reused.
+    The year after the span is generated too: its New Year may be observed
+    on the span's last day.
     """
-    key = id(spark._jsparkSession)
+    key = spark.sparkContext.applicationId
     if key not in _HOLIDAY_DIMS:
         lo, hi = HOLIDAY_YEARS
-        years = spark.range(lo, hi + 1).select(F.col("id").cast("int").alias("year"))
+        years = spark.range(lo, hi + 2).select(F.col("id").cast("int").alias("year"))
         _HOLIDAY_DIMS[key] = materialize(calendar.holiday_table(years).select("date").distinct(), "holidays")
     return _HOLIDAY_DIMS[key]
 
@@ -134,33 +137,24 @@ def fill_zero(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 # --- outliers (D11, B14) -----------------------------------------------------------------
 
-def iqr_fences(df: DataFrame, col: str = "ridership", approx_accuracy: int | None = None) -> DataFrame:
-    """One row: q1, q3, iqr, lower, upper (linear-interpolated quantiles).
-
-    Exact ``percentile`` keeps a value -> count map per task (small for a
-    count column); pass ``approx_accuracy`` to use ``percentile_approx`` on a
-    wide-valued column.
-    """
-    if approx_accuracy is None:
-        q = F.percentile(_q(col), F.array(F.lit(0.25), F.lit(0.75)))
-    else:
-        q = F.percentile_approx(_q(col), [0.25, 0.75], approx_accuracy)
-    s = df.agg(q.alias("q"))
-    s = s.select(F.col("q")[0].cast("double").alias("q1"), F.col("q")[1].cast("double").alias("q3"))
+def iqr_fences(df: DataFrame, col: str = "ridership") -> DataFrame:
+    """One row: q1, q3, iqr, lower, upper (exact linear-interpolated quantiles)."""
+    q1, q3 = exact_quantiles(df, col, [0.25, 0.75])
+    s = df.sparkSession.range(1).select(F.lit(q1).cast("double").alias("q1"), F.lit(q3).cast("double").alias("q3"))
     s = s.withColumn("iqr", F.col("q3") - F.col("q1"))
     return s.select("q1", "q3", "iqr",
                     (F.col("q1") - IQR_WIDTH * F.col("iqr")).alias("lower"),
                     (F.col("q3") + IQR_WIDTH * F.col("iqr")).alias("upper"))
 
 
-def drop_outliers(df: DataFrame, col: str = "ridership", approx_accuracy: int | None = None) -> DataFrame:
+def drop_outliers(df: DataFrame, col: str = "ridership") -> DataFrame:
     """Keep rows not below lower and not above upper (fences kept).
 
     The fences are one aggregate job returning one row (two numbers); they
     enter the filter as literals.  (A scalar subquery would be re-planned for
     every reference and re-run per use.)
     """
-    f = iqr_fences(df, col, approx_accuracy).first()
+    f = iqr_fences(df, col).first()
     v = _q(col)
     if f is None or f["lower"] is None:
         return df

@@ -10,7 +10,6 @@ stations x hours, which grows with the data's span, never with a fixed list.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,13 +74,6 @@ def typed_weather(weather_text: DataFrame) -> DataFrame:
     )
 
 
-def union_weather(frames: Sequence[DataFrame]) -> DataFrame:
-    """Union of per-year weather tables by column name, duplicates kept (G1)."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
 
 # --- landed API replies (A5, A7) ------------------------------------------------
 
@@ -119,7 +111,11 @@ def parse_replies(reply_text: DataFrame, col: str = "reply") -> DataFrame:
 
 
 def accepted(replies: DataFrame) -> Column:
-    return (F.col("status") == 200) & F.col("hourly").isNotNull() & F.col("hourly.time").isNotNull()
+    """Whether a reply is usable: never null, so each reply is accepted or rejected.
+
+    The status is metadata of the landing; a body without one is judged by its data.
+    """
+    return ((F.coalesce(F.col("status"), F.lit(200)) == 200) & F.col("hourly").isNotNull() & F.col("hourly.time").isNotNull())
 
 
 def flatten_replies(replies: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from turnstile.functions import numeric
-from turnstile.operators import features
+from turnstile.operators import stats, features
 from turnstile.operators.ranking import with_ts
 from turnstile.plans.q_weather import enriched
 from turnstile.plans.registry import query
@@ -122,6 +122,15 @@ def _rounded(cols):
 _FEATURE_SQL_COLS = ", ".join(f'(round(CAST("{c}" AS DOUBLE), {ROUND}) + 0.0) AS "{c}"' for c in NUMERIC_FEATURES + ["label"])
 
 
+@query("iqr_fences_orders", with_ctes("""
+SELECT q1, q3, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper
+FROM (SELECT quantile_cont(CAST(ridership AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(ridership AS DOUBLE), 0.75) AS q3
+      FROM rides_orders) s""", "rides_orders"))
+def iqr_fences_orders(spark, sf_dir):
+    """Exact fences of a column with nearly as many values as rows."""
+    return features.iqr_fences(rides(spark, sf_dir, "orders"))
+
+
 @query("scaled_features", with_ctes(f"SELECT ride_id, {_FEATURE_SQL_COLS} FROM feat_scaled", "enriched",
                                     more=feature_ctes("enriched")))
 def scaled_features(spark, sf_dir):
@@ -138,7 +147,7 @@ SELECT CAST(count(label) AS BIGINT) AS count, (round(avg(label), {ROUND}) + 0.0)
 FROM feat_scaled""", "enriched", more=feature_ctes("enriched")))
 def target_summary(spark, sf_dir):
     df = features.feature_frame(enriched(spark, sf_dir), scale=False)
-    q = F.percentile("label", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = [F.lit(x).cast("double") for x in stats.exact_quantiles(df, "label", [0.25, 0.5, 0.75])]
     return df.agg(
         F.count("label").cast("long").alias("count"), F.round(F.avg("label"), ROUND).alias("mean"),
         F.round(F.stddev_samp("label"), ROUND).alias("std"), F.round(F.min("label"), ROUND).alias("min"),

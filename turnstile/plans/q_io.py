@@ -45,10 +45,31 @@ def csv_ingest_top_stations(spark, sf_dir):
     """Raw CSV with header -> fixed-schema scan -> ranking."""
     path = scratch_path(spark, "rides_csv")
     files.write_csv(rides(spark, sf_dir, "orders"), path)
-    raw = files.read_raw_csv(spark, path)
+    raw = files.read_ridership_csv(spark, path)
     return ranking.top_stations(ranking.in_years(ranking.with_ts(raw), RANK_YEARS), TOP_K)
 
 
+# Column order of the published ridership files.
+PUBLISHED_LAYOUT = ["transit_timestamp", "transit_mode", "station_complex_id", "station_complex", "borough",
+                    "payment_method", "fare_class_category", "ridership", "latitude", "longitude", "Georeference"]
+
+
+@query("csv_published_layout", with_ctes("""
+SELECT station_complex_id, station_complex, borough, CAST(count(*) AS BIGINT) AS n_rows,
+       CAST(sum(ridership) AS BIGINT) AS total_ridership, min(latitude) AS latitude, min(longitude) AS longitude,
+       min(transit_timestamp) AS first_timestamp
+FROM rides_events GROUP BY station_complex_id, station_complex, borough""", "rides_events"))
+def csv_published_layout(spark, sf_dir):
+    """Every row of a CSV in the published layout (other order, Georeference, no id) is read (A1)."""
+    path = scratch_path(spark, "rides_published")
+    point = F.format_string("POINT (%s %s)", F.col("longitude").cast("string"), F.col("latitude").cast("string"))
+    files.write_csv(rides(spark, sf_dir, "events").withColumn("Georeference", point).select(*PUBLISHED_LAYOUT), path)
+    back = files.read_ridership_csv(spark, path)
+    return back.groupBy("station_complex_id", "station_complex", "borough").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("ridership").alias("total_ridership"), F.min("latitude").alias("latitude"),
+        F.min("longitude").alias("longitude"), F.min("transit_timestamp").alias("first_timestamp"))
+
+
 EXPORT_SCHEMA = T.StructType([
     T.StructField("station_complex", T.StringType()),
     T.StructField("total_ridership", T.LongType()),

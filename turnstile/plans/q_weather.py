@@ -55,6 +55,19 @@ def weather_rejected_replies(spark, sf_dir):
     return weather.rejected_replies(replies)
 
 
+@query("weather_reply_sides", with_ctes("""
+SELECT CAST(count(*) AS BIGINT) AS n_replies, CAST(count(*) FILTER (WHERE ok) AS BIGINT) AS n_accepted,
+       CAST(count(*) FILTER (WHERE NOT ok) AS BIGINT) AS n_rejected
+FROM (SELECT DISTINCT station_id, CAST(weather_ts AS DATE) AS day, (day(weather_ts) + station_id) % 11 <> 0 AS ok
+      FROM weather_typed) x""", "weather_typed"))
+def weather_reply_sides(spark, sf_dir):
+    """Replies whose body has no status: each is on exactly one side."""
+    replies = weather.parse_replies(weather.replies_from_weather(weather_text(spark, sf_dir)))
+    bare = replies.withColumn("status", F.lit(None).cast("int"))
+    ok = weather.accepted(bare)
+    return bare.agg(F.count(F.lit(1)).alias("n_replies"), F.count_if(ok).alias("n_accepted"), F.count_if(~ok).alias("n_rejected"))
+
+
 @query("weather_enriched", with_ctes(f"SELECT {_ENRICHED_SQL_COLS} FROM enriched", "enriched"))
 def weather_enriched(spark, sf_dir):
     return enriched(spark, sf_dir).select(*[F.col(f"`{c}`") for c in ENRICHED_COLUMNS])

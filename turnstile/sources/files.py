@@ -12,19 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.schemas import RAW_RIDES, WEATHER_TEXT
+from turnstile.schemas import WEATHER_TEXT
 
 PARTITION_COLUMNS = ["transit_mode", "borough"]
 
 
-def read_raw_csv(spark: SparkSession, path, schema=RAW_RIDES) -> DataFrame:
-    """Raw ridership CSV (A1): header, ``"`` escape, single-line, malformed rows dropped."""
-    return (spark.read.schema(schema)
-            .option("header", True).option("escape", '"').option("multiLine", False)
-            .option("mode", "DROPMALFORMED")
-            .csv(path))
-
-
 # Typed columns of a ridership CSV, found by header name (any order, extra columns kept).
 RIDE_TYPES = {"ridership": "long", "latitude": "double", "longitude": "double"}
 
@@ -76,18 +68,9 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = PARTITION_CO
        .partitionBy(*by).parquet(path))
 
 
-def write_parquet(df: DataFrame, path: str, compression: str = "snappy") -> None:
-    """Overwrite a Parquet dataset."""
-    df.write.mode("overwrite").option("compression", compression).parquet(path)
-
-
 def write_csv(df: DataFrame, path: str, by: Sequence[str] | None = None) -> None:
     """Overwrite CSV with a header (A10); ``by`` gives one sub-folder per value."""
     w = df.write.mode("overwrite").option("header", True)
     if by:
         w = w.partitionBy(*by)
     w.csv(path)
-
-
-def read_csv_export(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)

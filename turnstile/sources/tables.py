@@ -13,14 +13,14 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-# Per-session memo of scanned tables: the file listing and footer read happen
+# Per-application memo of scanned tables: the file listing and footer read happen
 # once per table, not once per query.  Tables are read-only inputs.
-_SCANS: dict[tuple[int, str], DataFrame] = {}
+_SCANS: dict[tuple[str, str], DataFrame] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     path = table_path(sf_dir, name)
-    key = (id(spark._jsparkSession), path)
+    key = (spark.sparkContext.applicationId, path)
     df = _SCANS.get(key)
     if df is None:
         df = _SCANS[key] = spark.read.parquet(path)
