@@ -160,7 +160,7 @@ def _blocks(batches, path):
         ids = b.column(0).cast(pa.int64())
         block = Block(path)
         _, offs = ta.text_buffer(b.column(1))
-        for i, j in ta.chunks(offs):
+        for i, j in ta.chunks(offs, 4 << 20):
             block.add([t or "" for t in b.column(1).slice(i, j - i).to_pylist()])
         seen = ids.fill_null(-1).to_numpy(zero_copy_only=False).tobytes()
         yield xxhash.xxh64_intdigest(seen, seed=(task << 20) + k) - (1 << 63), ids, block

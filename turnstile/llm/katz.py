@@ -9,8 +9,8 @@ unknown word exactly 1:
              = a(h) P(w),   a(h) = (1 - sum seen P(. | h)) / (1 - sum seen P(.))
     P(w)     = d(c(w)) c(w) / N,   P(unknown) = 1 - sum P(w)
 
-Counting and scoring share one data flow.  A batch of documents is a block
-and sends each distinct word once to the partition of the word (unigram
+Counting and scoring share one data flow.  Documents of a batch form blocks; a block
+sends each distinct word once to the partition of the word (unigram
 table), and each distinct pair of words once to the partition of its history
 (bigram table), as packed arrays; the counts return to the block, which
 scores its documents.  Histories with more than 1/10,000 of all tokens are
@@ -35,6 +35,7 @@ from turnstile.llm.scratch import Scratch
 GT_K = 5                     # counts above it lose TAIL each, so that every history keeps some mass
 TAIL = 0.1
 HOT_SHARE = 10_000
+BLOCK_BYTES = 12 << 20       # text of a block; a longer document is a block of its own
 PART_TOKENS = 2_000_000      # training tokens of a history partition
 END = np.uint64(0x5F656E645F)
 START = -1
@@ -106,9 +107,17 @@ class Block:
         self.name = xxhash.xxh64_intdigest(seen, seed=place) - (1 << 63)
 
 
+def _blocks(batches):
+    ordinal = 0
+    for b in batches:
+        _, offs = ta.text_buffer(b.column(1))
+        for i, j in ta.chunks(offs, BLOCK_BYTES):
+            yield Block(b.slice(i, j - i), ordinal)
+            ordinal += 1
+
+
 def _word_rows(batches):
-    for k, b in enumerate(batches):
-        x = Block(b, k)
+    for x in _blocks(batches):
         n = np.bincount(x.flat, weights=np.repeat(x.train, x.sizes), minlength=len(x.words)).astype(np.int64)
         for a in range(0, len(n), 1 << 17):
             part = slice(a, a + (1 << 17))
@@ -118,8 +127,7 @@ def _word_rows(batches):
 
 
 def _doc_rows(batches):
-    for k, b in enumerate(batches):
-        x = Block(b, k)
+    for x in _blocks(batches):
         yield pa.RecordBatch.from_arrays(
             [pa.array([x.name]), pa.ListArray.from_arrays(pa.array([0, len(x.ids)], pa.int32()), x.ids),
              pa.array([dump(x.sizes.astype("<u4"), x.train.astype("<u1"), x.flat.astype("<u4"))])],

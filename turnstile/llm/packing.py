@@ -34,7 +34,7 @@ def _pieces(path, window, end_id, keep_ids):
             block = bpe.Block(path)
             done = 0
             start = size = values = np.zeros(0, np.int64)
-            for i, j in ta.chunks(offs):
+            for i, j in ta.chunks(offs, 4 << 20):
                 block.add([t or "" for t in b.column(1).slice(i, j - i).to_pylist()])
                 pos, n_words = block.positions()
                 block.stream, block.lengths = [], []
