@@ -36,7 +36,7 @@ GT_K = 5                     # counts above it lose TAIL each, so that every his
 TAIL = 0.1
 HOT_SHARE = 10_000
 BLOCK_BYTES = 12 << 20       # text of a block; a longer document is a block of its own
-PART_TOKENS = 2_000_000      # training tokens of a history partition
+PART_TOKENS = 1_000_000      # training tokens of a history partition
 END = np.uint64(0x5F656E645F)
 START = -1
 
@@ -157,11 +157,12 @@ def _pairs(flat, sizes, train, ids, c, n_total, parts):
     """
     n_words = len(ids)
     starts = np.cumsum(sizes) - sizes
-    history = np.concatenate([[n_words], flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
+    history = np.empty_like(flat)
+    history[1:] = flat[:-1]
     history[starts] = n_words                                   # the start of a document
     known = np.append(c > 0, True)
     use = known[history]
-    code, token = np.unique(history[use] * (n_words + 1) + flat[use], return_inverse=True)
+    code, token = np.unique(history[use].astype(np.int64) * (n_words + 1) + flat[use], return_inverse=True)
     n_train = np.bincount(token, weights=np.repeat(train, sizes)[use], minlength=len(code)).astype(np.int64)
     h, w = code // (n_words + 1), code % (n_words + 1)
     h_id = np.append(ids, START)
@@ -170,13 +171,19 @@ def _pairs(flat, sizes, train, ids, c, n_total, parts):
     salt = np.where(splits > 1, ids[w] % splits, 0) if len(w) else w
     part = (ta.mix64((h_id[h].astype(np.uint64) << np.uint64(20)) + salt.astype(np.uint64)) >> np.uint64(11)).astype(np.int64) % parts
     order = np.lexsort((code, part))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    token_pair = np.full(len(flat), -1)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    token_pair = np.full(len(flat), -1, np.int32)
     token_pair[use] = place[token]
     return part[order], h[order], w[order], n_train[order], (splits > 1)[order], token_pair, history
 
 
+def _read_documents(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens per document, whether it trains, and the tokens as 32-bit positions (a block has few enough)."""
+    sizes, train, flat = load(raw)
+    return sizes.astype(np.int64), train.astype(bool), flat.view(np.int32)
+
+
 def _emit_pairs(n_total: int, parts: int):
     def run(words: pa.Table, docs: pa.Table) -> pa.Table:
         if docs.num_rows != 1:
@@ -185,7 +192,7 @@ def _emit_pairs(n_total: int, parts: int):
         ids, c = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         ids[at], c[at] = words.column("id").to_numpy(), words.column("c").to_numpy()
         raw = docs.column("body")[0].as_py()
-        sizes, train, flat = (x.astype(np.int64) for x in load(raw))
+        sizes, train, flat = _read_documents(raw)
         part, h, w, n, hot, _, _ = _pairs(flat, sizes, train, ids, c, n_total, parts)
         name = docs.column("block")[0].as_py()
         rows = {"block": [name], "part": [-1], "body": [dump(ids, c.astype("<u4") if c.max(initial=0) < 1 << 32 else c)],
@@ -270,7 +277,7 @@ _ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("body", pa.bi
 def _score_block(n_total: int, n_types: int, parts: int, d1, d2, unknown: float, hot: dict[int, list[float]]):
     def run(questions: pa.Table, answers: pa.Table) -> pa.Table:
         ids, c = (x.astype(np.int64) for x in load(questions.column("body")[0].as_py()))
-        sizes, train, flat = (x.astype(np.int64) for x in load(questions.column("docs")[0].as_py()))
+        sizes, train, flat = _read_documents(questions.column("docs")[0].as_py())
         part, h, w, _, _, token_pair, history = _pairs(flat, sizes, train, ids, c, n_total, parts)
         cut = np.searchsorted(part, np.arange(parts + 1))
         count = np.zeros(len(part), np.int64)
@@ -297,19 +304,14 @@ def _score_block(n_total: int, n_types: int, parts: int, d1, d2, unknown: float,
         seen[seen] = count[token_pair[seen]] > 0
         there = token_pair[seen]
         p[seen] = discounted(count[there], d2) / c_h[h[there]]
-        ends = np.cumsum(sizes)
-
-        def total(x):
-            run_ = np.concatenate([[0], np.cumsum(x)])
-            return run_[ends] - run_[ends - sizes]
-
-        starts = ends - sizes
-        base = np.log10((c[flat] + 0.5) / (n_total + 0.5 * (n_types + 1)))
-        score = np.log10(p)
+        del token_pair, history, seen, there
+        np.log10(p, out=p)
+        starts = np.cumsum(sizes) - sizes
+        base = np.log10((c + 0.5) / (n_total + 0.5 * (n_types + 1)))[flat]
         return pa.table({"doc_id": questions.column("doc_ids").combine_chunks().flatten(), "n_tokens": pa.array(sizes),
-                         "n_known": pa.array(total(known[flat].astype(np.int64))),
+                         "n_known": pa.array(np.add.reduceat(known[flat], starts, dtype=np.int64) if len(flat) else sizes),
                          "base_score": pa.array(np.add.reduceat(base, starts) if len(flat) else base),
-                         "score": pa.array(np.add.reduceat(score, starts) if len(flat) else score)})
+                         "score": pa.array(np.add.reduceat(p, starts) if len(flat) else p)})
     return run
 
 
