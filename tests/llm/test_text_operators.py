@@ -91,6 +91,7 @@ def test_bpe_round_trip_and_edges(edge_docs, no_docs):
     tok = Tokenizer.from_file(PATH)
     texts = {r.doc_id: r.text or "" for r in edge_docs.collect()}
     rows = bpe.decode(bpe.encode(edge_docs, PATH), PATH).collect()
+    assert sorted(bpe.encode(edge_docs, PATH, decoded=True).collect(), key=str) == sorted(rows, key=str)
     assert len(rows) == edge_docs.count()
     for r in rows:
         ids = tok.encode(texts[r.doc_id], add_special_tokens=False).ids

@@ -237,14 +237,15 @@ def _encode_sorted(path):
     return run
 
 
-def _join_back(path):
-    """Ids of a block's documents from the ids of its words."""
+def _join_back(path, decoded):
+    """Ids of a block's documents from the ids of its words; with their texts if asked for."""
     def run(coded: pa.Table, docs: pa.Table) -> pa.Table:
-        return _documents(coded, docs, _id_type(path))
+        return _documents(coded, docs, path, decoded)
     return run
 
 
-def _documents(coded: pa.Table, docs: pa.Table, kind: np.dtype) -> pa.Table:
+def _documents(coded: pa.Table, docs: pa.Table, path: str, decoded: bool) -> pa.Table:
+    kind = _id_type(path)
     out = []
     if docs.num_rows != 1:
         raise RuntimeError("a block was cut differently on a second read; write the documents to a table first")
@@ -258,7 +259,7 @@ def _documents(coded: pa.Table, docs: pa.Table, kind: np.dtype) -> pa.Table:
     start[at], size[at] = offs[:-1], np.diff(offs)
     ids = docs.column("doc_ids").combine_chunks().flatten()
     sizes = _unplanes(docs.column("sizes")[0].as_py()).astype(np.int64)
-    flat = _unplanes(docs.column("positions")[0].as_py()).astype(np.int64)
+    flat = _unplanes(docs.column("positions")[0].as_py())
     edge = np.concatenate([[0], np.cumsum(sizes)])
     for i, j in ta.chunks(edge, 1 << 20):
         pos = flat[edge[i]:edge[j]]
@@ -266,13 +267,20 @@ def _documents(coded: pa.Table, docs: pa.Table, kind: np.dtype) -> pa.Table:
         total = np.concatenate([[0], np.cumsum(n)])
         ends = total[edge[i:j + 1] - edge[i]]
         body = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends * 4), pa.py_buffer(tokens.astype("<u4"))])
-        out.append(pa.table({"doc_id": ids.slice(i, j - i), "n_tokens": pa.array(np.diff(ends)), "ids": body.cast(pa.binary())}))
-    return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary())})
+        rows = {"doc_id": ids.slice(i, j - i), "n_tokens": pa.array(np.diff(ends)), "ids": body.cast(pa.binary())}
+        if decoded:
+            rows["decoded"] = pa.array(_texts(tokens, ends, path), pa.string())
+        out.append(pa.table(rows))
+    names = ["doc_id", "n_tokens", "ids"] + ["decoded"] * decoded
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string()]
+    return pa.concat_tables(out) if out else pa.table([pa.array([], k) for _, k in zip(names, kinds)], names=names)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids`` (little-endian unsigned 32-bit) of every row.
 
+    With ``decoded``, the text decoded from the ids is added as :func:`decode` does.
+
     ``path`` names the tokenizer's JSON file, present on every machine.  A
     null text counts as empty and has no ids; repeated rows and ids (null
     too) stay; other columns are ignored; an empty table gives none.  An
@@ -286,7 +294,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
              .mapInArrow(_encode_sorted(path), "block long, at int, ids binary"))
     blobs = texts.mapInArrow(_documents_of(path), "block long, doc_ids array<long>, sizes binary, positions binary")
     return (coded.groupBy("block").cogroup(blobs.groupBy("block"))
-            .applyInArrow(_join_back(path), "doc_id long, n_tokens long, ids binary"))
+            .applyInArrow(_join_back(path, decoded), "doc_id long, n_tokens long, ids binary" + ", decoded string" * decoded))
 
 
 @functools.lru_cache(maxsize=4)
@@ -308,19 +316,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+def _texts(ids: np.ndarray, ends: np.ndarray, path: str) -> list[str]:
+    """Texts of documents whose ids stand end to end: ids joined with their pieces."""
+    data, start, size = _pieces(path)
+    body, n = spread(data, start[ids], size[ids])
+    at = np.concatenate([[0], np.cumsum(n)])[ends].tolist()
+    whole = body.tobytes()
+    return [whole[p:q].decode("utf-8", "replace") for p, q in zip(at[:-1], at[1:])]
+
+
 def _decode(path):
     def run(batches):
-        data, start, size = _pieces(path)
         for b in batches:
             raw, offs = _binary(b.column(2))
             edge = offs // 4
             for i, j in ta.chunks(edge, 1 << 20):
                 ids = np.frombuffer(raw[offs[i]:offs[j]].tobytes(), "<u4").astype(np.int64)
-                body, n = spread(data, start[ids], size[ids])
-                total = np.concatenate([[0], np.cumsum(n)])
-                ends = total[edge[i:j + 1] - edge[i]]
-                whole = body.tobytes()
-                texts = [whole[p:q].decode("utf-8", "replace") for p, q in zip(ends[:-1], ends[1:])]
+                texts = _texts(ids, edge[i:j + 1] - edge[i], path)
                 yield pa.RecordBatch.from_arrays(
                     [c.slice(i, j - i) for c in b.columns] + [pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
     return run

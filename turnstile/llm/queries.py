@@ -82,7 +82,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     path = bpe_path()
-    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
+    coded = bpe.encode(_table(spark, sf_dir, "documents"), path, decoded=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                         F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 
