@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -75,6 +76,20 @@ def test_similar_sets_share_a_signature(size, dropped, added, similarity, seed):
     assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 3)), max_size=40), st.lists(st.integers(0, 40), max_size=4))
+def test_shared_signatures_are_found_across_batches(pairs, cuts):
+    pairs = sorted(pairs)
+    bounds = [0, *sorted(min(c, len(pairs)) for c in cuts), len(pairs)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs[i:j]], pa.int64()) for k in (0, 1)], names=["sig", "id"])
+               for i, j in zip(bounds, bounds[1:])]
+    holders = defaultdict(set)
+    for sig, x in pairs:
+        holders[sig].add(x)
+    got = [tuple(r.values()) for b in ngram_join._shared(iter(batches)) for r in b.to_pylist()]
+    assert got == sorted((sig, x, min(ids)) for sig, ids in holders.items() if len(ids) > 1 for x in ids)
+
+
 def test_jaccard_edge_rows(edge_docs, no_docs):
     rows = ngram_join.jaccard_classes(edge_docs).collect()
     assert len(rows) == edge_docs.count()

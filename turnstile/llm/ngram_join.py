@@ -136,10 +136,41 @@ def _sign(width, num, den):
             for _, _, sizes, h in _sets(b, width):
                 a, _ = _set_ids(h, sizes)
                 sig, of = signatures(h, sizes, num, den)
+                once = np.zeros(len(a), bool)
+                once[np.unique(a, return_index=True)[1]] = True         # copies in a chunk sign once
+                sig, of = sig[once[of]], of[once[of]]
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(a[of])], names=["sig", "id"])
     return run
 
 
+def _shared(batches):
+    """From rows sorted by (sig, id), the distinct ones of signatures with two ids or more, and each one's smallest id.
+
+    Only the last signature's smallest and last id are kept from batch to batch.
+    """
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sig, ids = b.column("sig").to_numpy(), b.column("id").to_numpy()
+        told = 0                                            # rows in front that were given before
+        if last is not None:
+            sig = np.concatenate([[last[0], last[0]], sig])
+            ids = np.concatenate([[last[1], last[2]], ids])
+            told = 2 if last[1] != last[2] else 0
+        change = np.concatenate([[True], sig[1:] != sig[:-1]])
+        keep = change.copy()
+        keep[1:] |= ids[1:] != ids[:-1]
+        sig, ids, change = sig[keep], ids[keep], change[keep]
+        start = np.flatnonzero(change)
+        size = np.diff(np.append(start, len(sig)))
+        first = np.repeat(ids[start], size)
+        give = np.repeat(size > 1, size)
+        give[:told] = False
+        last = sig[-1], first[-1], ids[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x[give]) for x in (sig, ids, first)], names=["sig", "id", "first"])
+
+
 def _elements(width, num, den):
     def run(batches):
         for b in batches:
@@ -204,12 +235,10 @@ def jaccard_classes(docs: DataFrame, width: int = 3, similarity: tuple[int, int]
         texts.mapInArrow(_describe(width), "doc_id long, n_shingles long, set_id long, set_check long"), "rows")
     with_words = rows.where("n_shingles > 0")
 
-    # signatures held by at least two different sets, and their holders; copies fall together in the partial sums
+    # signatures held by at least two different sets, and their holders: one sorted shuffle, read as a stream
     signed = texts.select("doc_id", "text").mapInArrow(_sign(width, num, den), "sig long, id long")
-    signed = scratch.write(signed, "signed")
-    shared = signed.groupBy("sig").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    held = scratch.write(signed.join(shared.select("sig", "first"), "sig").distinct(), "held")
-    scratch.drop(signed)
+    held = signed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_shared, "sig long, id long, first long")
+    held = scratch.write(held, "held")
 
     live = scratch.write(held.select("id").distinct(), "live")
     some = with_words.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(live, F.col("set_id") == F.col("id"), "left_semi")
