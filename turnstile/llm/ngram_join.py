@@ -11,9 +11,10 @@ for its own band, and for the next one if a partner may lie there.
 
 Sets that share a signature are compared exactly, so no link is missed or
 invented.  Identical sets are folded into one class first.  Within a
-signature's sets, the smallest is compared with the others, links merge
-classes, and only sets of different classes are compared further.  Those
-comparisons start inside the join with parity sketches: bit ``h(x) mod m``
+signature's sets, the one with the smallest id is tried with the others (each
+set with the nearest of those), links merge classes, and only sets of
+different classes are compared further.  All comparisons start with parity
+sketches, the later ones inside the join: bit ``h(x) mod m``
 flips for each element ``x``, so two sketches differ in at most as many bits
 as the sets differ in elements, and a larger distance rules a pair out
 without a row being made for it.
@@ -246,8 +247,7 @@ def jaccard_classes(docs: DataFrame, width: int = 3, similarity: tuple[int, int]
             .mapInArrow(_elements(width, num, den), "id long, elements array<long>, sketch array<long>"))
     sets = scratch.write(sets.join(live, "id", "left_semi").dropDuplicates(["id"]), "sets")
 
-    pairs = held.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = scratch.write(_verified(pairs, sets, num, den), "links-star")
+    links = scratch.write(_verified(_star_pairs(held, sets, num, den), sets, num, den), "links-star")
     merged = connected_components(links)
     for share in (16, 1):
         found = scratch.write(_verified(_open_pairs(held, merged, sets, share, num, den), sets, num, den), f"links-{share}")
@@ -267,6 +267,21 @@ def jaccard_classes(docs: DataFrame, width: int = 3, similarity: tuple[int, int]
     return named.union(alone)
 
 
+def _star_pairs(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """For each set, the one of its signatures' smallest sets that is nearest by sketch and not ruled out by it.
+
+    Sets that this leaves unlinked meet again in the open pairs, which miss none.
+    """
+    small = sets.select("id", F.size("elements").cast("long").alias("n"), "sketch")
+    pairs = held.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    both = (pairs.join(small.withColumnsRenamed({"id": "a", "n": "na", "sketch": "sa"}), "a")
+            .join(small.withColumnsRenamed({"id": "b", "n": "nb", "sketch": "sb"}), "b")
+            .where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+            .withColumn("apart", F.expr(_distance("sa", "sb"))))
+    near = both.where(F.col("apart") * (num + den) <= (F.col("na") + F.col("nb")) * (den - num))
+    return near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b")
+
+
 def _open_pairs(held: DataFrame, merged: DataFrame, sets: DataFrame, share: int, num: int, den: int) -> DataFrame:
     """Possible links between sets that share a signature but not yet a class.
 
