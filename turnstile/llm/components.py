@@ -37,8 +37,9 @@ def connected_components(links: DataFrame) -> DataFrame:
                               .union(least.select("u", F.col("m").alias("v"))).distinct(), "small")
         scratch.drop(edges, large)
         edges = small
-        inner = small.select(F.col("u").alias("v")).distinct()
-        if small.join(inner, "v", "left_semi").isEmpty():     # every node points straight at a root
+        # done when every node points straight at one root: a target that is a source, or a source of two targets, goes on
+        inner = small.groupBy("u").agg(F.count("*").alias("n"))
+        if inner.where("n > 1").isEmpty() and small.join(inner.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
     return (edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
             .union(edges.select("v", "v").distinct()))
