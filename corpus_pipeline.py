@@ -31,9 +31,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the co-trained classifier holds for bad; without labels all have the prior and stay."""
+    """Drops documents that the co-trained classifier holds for bad; where it tells none apart (no labels, or of one class), all stay."""
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
-    return quality.classify(docs, labels).where(F.col("score") >= MIN_QUALITY).select("row.*")
+    model = quality.fit(docs, labels)
+    if not model.informed:
+        return docs
+    return quality.score(docs, model).where(F.col("score") >= MIN_QUALITY).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

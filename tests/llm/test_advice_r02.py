@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+import corpus_pipeline
+from turnstile.llm import quality
 from turnstile.llm.components import connected_components
 
 
@@ -22,3 +24,32 @@ def test_one_group_is_one_component(spark, links):
     got = sorted((r.id, r.component) for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect())
     ids = sorted({x for link in links for x in link})
     assert got == [(i, ids[0]) for i in ids]
+
+
+def quality_docs(n_good, n_bad):
+    """Prose of common words, then noise of digits and marks."""
+    rng = np.random.default_rng(5)
+    words = ["river", "stone", "winter", "market", "little", "garden", "evening", "people", "walked", "across", "the", "and", "of", "a"]
+    good = [" ".join(rng.choice(words, 60)) for _ in range(n_good)]
+    bad = [" ".join(f"{x}#$" for x in rng.integers(0, 10 ** 6, 60)) for _ in range(n_bad)]
+    return [(i, t, "en", "web", len(t)) for i, t in enumerate(good + bad)]
+
+
+@pytest.mark.parametrize("labels,kept", [
+    ([(60, 0)], set(range(66))),                                            # one class: nothing to tell apart
+    ([(i, 0) for i in range(60, 66)] * 5, set(range(66))),
+    ([(60, 0), (61, 0), (62, 0), (63, 0), (0, 1)], None),                    # few labels, still both kinds
+])
+def test_quality_stage_keeps_clean_documents(spark, tmp_path, labels, kept):
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(quality_docs(60, 6), "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.filter_quality(spark, docs, str(tmp_path)).collect()}
+    assert got == (set(range(60)) if kept is None else kept)
+
+
+def test_rare_bad_labels_reject_bad_documents(spark):
+    rows = quality_docs(600, 40)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1) for i in range(500)] + [(i, 0) for i in range(600, 608)], "doc_id long, quality int")
+    scores = {r.row.doc_id: r.score for r in quality.classify(docs, labels, n_labelled=40).collect()}
+    assert min(scores[i] for i in range(600)) >= 0.5 > max(scores[i] for i in range(600, 640))
