@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from turnstile.llm import quality
+from turnstile.llm import ann, quality
 from turnstile.llm.components import connected_components
 
 
@@ -53,3 +54,25 @@ def test_rare_bad_labels_reject_bad_documents(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(500)] + [(i, 0) for i in range(600, 608)], "doc_id long, quality int")
     scores = {r.row.doc_id: r.score for r in quality.classify(docs, labels, n_labelled=40).collect()}
     assert min(scores[i] for i in range(600)) >= 0.5 > max(scores[i] for i in range(600, 640))
+
+
+def recall(spark, m, every):
+    """Share of the 20 nearest of each ``every``-th vector that are found."""
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in ann.nearest(df, F.col("id") % every == 0, k=20).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(m), every):
+        near = m.astype(float) @ m[q].astype(float)
+        near[q] = -np.inf
+        hits += len(found[q] & set(np.argsort(-near, kind="stable")[:20].tolist()))
+    return hits / (20 * len(range(0, len(m), every)))
+
+
+def test_one_long_vector_does_not_spoil_the_graph(spark):
+    rng = np.random.default_rng(4)
+    m = rng.standard_normal((16000, 16))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    m[5] *= 100
+    assert recall(spark, m.astype(np.float32), 400) >= 0.9

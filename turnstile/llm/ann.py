@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: NN-descent graph and greedy graph search.
 
-Nearness is the inner product.  A vector ``x`` is extended by
+Nearness is the inner product.  A vector ``x`` counts as extended by
 ``sqrt(M^2 - |x|^2)`` (``M`` the largest length), which makes nearness among
 the extended vectors a distance; a query is extended by 0 and keeps its inner
-products.  Equal vectors form one node, so that copies neither fill a
+products.  That distance is computed from the vectors themselves, so that one
+long vector takes no precision from the others.  Equal vectors form one node, so that copies neither fill a
 neighbour list nor a task.
 
 The graph starts from vectors that are close in a few random orders, and
@@ -35,21 +36,6 @@ STEPS = 4
 _EDGE = "u long, v long, near double"
 
 
-def _extend(largest: float):
-    def run(batches):
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            m = matrix(b.column("vector")).astype(float)
-            rest = np.sqrt(np.maximum(0, largest ** 2 - (m ** 2).sum(1)))
-            full = np.hstack([m, rest[:, None]]).astype(np.float32)
-            values = pa.array(full.ravel())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.FixedSizeListArray.from_arrays(values, full.shape[1]).cast(pa.list_(pa.float32()))],
-                names=["id", "x"])
-    return run
-
-
 def _orders(dim: int, seed: int):
     """Sort keys of each vector: signs at random hyperplanes, then a projection."""
     def run(batches):
@@ -59,6 +45,7 @@ def _orders(dim: int, seed: int):
             if b.num_rows == 0:
                 continue
             m = matrix(b.column("x"))
+            m = m / np.maximum(np.abs(m).max(1, keepdims=True), np.float32(1e-30))   # an order is one of directions
             for t in range(TREES):
                 p = m @ planes[t]
                 code = (p[:, :BITS] > 0) @ (1 << np.arange(BITS, dtype=np.int64))
@@ -68,38 +55,47 @@ def _orders(dim: int, seed: int):
     return run
 
 
-def _leaf_edges(batches):
+def _leaf_edges(largest: float):
     """Each LEAF consecutive vectors of a partition: the DEGREE nearest of each."""
-    ids, xs, tree = [], [], None
+    def run(batches):
+        ids, xs, tree = [], [], None
 
-    def edges():
-        v, m = np.concatenate(ids), np.concatenate(xs)
-        return _nearest_among(v, m, DEGREE)
+        def edges():
+            v, m = np.concatenate(ids), np.concatenate(xs)
+            return _nearest_among(v, m, DEGREE, largest)
 
-    for b in batches:
-        trees = b.column("tree").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(trees)) + 1), len(trees)] if len(trees) else []
-        for i, j in zip(cuts[:-1], cuts[1:]):
-            while i < j:
-                if ids and (tree != trees[i] or sum(map(len, ids)) >= LEAF):
-                    yield edges()
-                    ids, xs = [], []
-                tree = trees[i]
-                n = min(j - i, LEAF - sum(map(len, ids)))
-                ids.append(b.column("id").slice(i, n).to_numpy())
-                xs.append(matrix(b.column("x").slice(i, n)))
-                i += n
-    if ids:
-        yield edges()
-
-
-def _nearest_among(v: np.ndarray, m: np.ndarray, k: int, least: np.ndarray | None = None) -> pa.RecordBatch:
-    """Edges from each of some vectors to its nearest others (nearer than ``least``)."""
+        for b in batches:
+            trees = b.column("tree").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(trees)) + 1), len(trees)] if len(trees) else []
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                while i < j:
+                    if ids and (tree != trees[i] or sum(map(len, ids)) >= LEAF):
+                        yield edges()
+                        ids, xs = [], []
+                    tree = trees[i]
+                    n = min(j - i, LEAF - sum(map(len, ids)))
+                    ids.append(b.column("id").slice(i, n).to_numpy())
+                    xs.append(matrix(b.column("x").slice(i, n)))
+                    i += n
+        if ids:
+            yield edges()
+    return run
+
+
+def _nearest_among(v: np.ndarray, m: np.ndarray, k: int, largest: float, least: np.ndarray | None = None) -> pa.RecordBatch:
+    """Edges from each of some vectors to its nearest others (nearer than ``least``).
+
+    ``near`` is minus half the squared distance of the extended vectors.
+    """
     k = min(k, len(v))
+    m = m.astype(float)
+    square = (m ** 2).sum(1)
+    rest = np.sqrt(np.maximum(0, largest ** 2 - square))
     out = [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
     for i in range(0, len(v), 512):
         own = v[i:i + 512]
-        near = m[i:i + 512] @ m.T
+        a, r = square[i:i + 512, None], rest[i:i + 512, None]
+        near = m[i:i + 512] @ m.T - (a + square) / 2 - ((a - square) / np.maximum(r + rest, 1e-30)) ** 2 / 2
         near[own[:, None] == v[None, :]] = -np.inf
         if least is not None:
             near[near <= least[i:i + 512, None]] = -np.inf
@@ -111,21 +107,21 @@ def _nearest_among(v: np.ndarray, m: np.ndarray, k: int, least: np.ndarray | Non
     return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["u", "v", "near"])
 
 
-def _small(scale: float):
-    """Components as 8-bit numbers: a quarter of the bytes, close enough to build a graph on."""
-    def run(batches):
-        for b in batches:
-            m = np.rint(matrix(b.column("x")) * scale).astype(np.int8) if b.num_rows else np.zeros((0, 1), np.int8)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([r.tobytes() for r in m], pa.binary())], names=["id", "x"])
-    return run
+def _packed(batches):
+    """Vectors as bytes."""
+    for b in batches:
+        rows = [r.tobytes() for r in matrix(b.column("x"))] if b.num_rows else []
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(rows, pa.binary())], names=["id", "x"])
 
 
-def _introduce(group: pa.Table) -> pa.Table:
+def _introduce(largest: float):
     """The nodes around one node, compared with each other."""
-    v = group.column("v").to_numpy()
-    raw = b"".join(group.column("x").to_pylist())
-    m = np.frombuffer(raw, np.int8).reshape(len(v), -1).astype(np.float32)
-    return pa.Table.from_batches([_nearest_among(v, m, DEGREE, group.column("least").to_numpy())])
+    def run(group: pa.Table) -> pa.Table:
+        v = group.column("v").to_numpy()
+        raw = b"".join(group.column("x").to_pylist())
+        m = np.frombuffer(raw, np.float32).reshape(len(v), -1)
+        return pa.Table.from_batches([_nearest_among(v, m, DEGREE, largest, group.column("least").to_numpy())])
+    return run
 
 
 def _strongest(edges: DataFrame, per: str, k: int) -> DataFrame:
@@ -133,19 +129,16 @@ def _strongest(edges: DataFrame, per: str, k: int) -> DataFrame:
     return edges.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
 
 
-def build(nodes: DataFrame, scratch: Scratch, seed: int = 7) -> DataFrame:
-    """Neighbour graph ``u, v, near`` of ``nodes(id, x)`` (``x`` extended)."""
+def build(nodes: DataFrame, largest: float, scratch: Scratch, seed: int = 7) -> DataFrame:
+    """Neighbour graph ``u, v, near`` of ``nodes(id, x)``; ``largest`` is the largest length."""
     one = nodes.select(F.size("x").alias("n")).first()
     if one is None:
         return nodes.sparkSession.createDataFrame([], _EDGE)
     keyed = nodes.mapInArrow(_orders(one["n"], seed), "tree int, code long, along double, id long, x array<float>")
     sorted_rows = keyed.repartitionByRange("tree", "code", "along", "id").sortWithinPartitions("tree", "code", "along", "id")
-    first = sorted_rows.mapInArrow(_leaf_edges, _EDGE).distinct()
-    # from here on, nearness is in the units of the 8-bit components
-    biggest = nodes.agg(F.max(F.array_max(F.transform("x", F.abs)))).first()[0]
-    scale = 127 / max(biggest, 1e-30)
-    small = scratch.write(nodes.mapInArrow(_small(scale), "id long, x binary"), "small")
-    first = first.withColumn("near", F.col("near") * F.lit(scale * scale))
+    first = sorted_rows.mapInArrow(_leaf_edges(largest), _EDGE)
+    packed = scratch.write(nodes.mapInArrow(_packed, "id long, x binary"), "packed")
+    first = first.groupBy("u", "v").agg(F.max("near").alias("near"))      # orders may differ in the last bits
     graph = scratch.write(_strongest(first, "u", DEGREE), "graph")
     size = graph.count()
     fresh = graph
@@ -156,8 +149,8 @@ def build(nodes: DataFrame, scratch: Scratch, seed: int = 7) -> DataFrame:
         around = forward.union(back).distinct().join(changed.withColumnRenamed("of", "u"), "u", "left_semi")
         least = graph.groupBy("u").agg(F.min("near").alias("least"), F.count("*").alias("n")).select(
             F.col("u").alias("id"), F.when(F.col("n") == DEGREE, F.col("least")).alias("least"))
-        known = small.join(least, "id", "left").select(F.col("id").alias("v"), "x", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
-        met = around.join(known, "v").select("u", "v", "x", "least").groupBy("u").applyInArrow(_introduce, _EDGE)
+        known = packed.join(least, "id", "left").select(F.col("id").alias("v"), "x", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+        met = around.join(known, "v").select("u", "v", "x", "least").groupBy("u").applyInArrow(_introduce(largest), _EDGE)
         best = met.groupBy("u", "v").agg(F.max("near").alias("near"))
         best = scratch.write(best.join(graph, ["u", "v"], "left_anti"), "met")
         better = scratch.write(_strongest(graph.withColumn("new", F.lit(False)).union(best.withColumn("new", F.lit(True))), "u", DEGREE), "graph")
@@ -234,8 +227,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     nodes = scratch.write(classes.select(F.col("node").alias("id"), "vector"), "nodes")
     members = scratch.write(firsts.join(classes, "vector").select("node", "id"), "members")
     largest = nodes.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0] ** 0.5
-    extended = scratch.write(nodes.mapInArrow(_extend(largest), "id long, x array<float>"), "extended")
-    graph = build(extended, scratch)
+    graph = build(nodes.select("id", F.col("vector").alias("x")), largest, scratch)
 
     # queries with equal vectors walk together; they enter at their own node
     asked = rows.where(is_query).join(classes, "vector").select(F.col("id").alias("query_id"), F.col("node").alias("query"))
