@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from turnstile.llm import ann, quality
 from turnstile.llm.components import connected_components
+from turnstile.llm.scratch import Scratch
 
 
 def random_groups():
@@ -76,3 +77,12 @@ def test_one_long_vector_does_not_spoil_the_graph(spark):
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     m[5] *= 100
     assert recall(spark, m.astype(np.float32), 400) >= 0.9
+
+
+def test_walk_goes_on_while_a_beam_node_is_not_expanded(spark):
+    nodes = spark.createDataFrame([(i, [float(i)]) for i in range(9)], "id long, vector array<float>")
+    graph = spark.createDataFrame([(i, i + 1, 0.0) for i in range(8)], "u long, v long, near double")
+    queries = spark.createDataFrame([(0, [1.0])], "query long, q array<float>")
+    entries = spark.createDataFrame([(0, 0)], "query long, node long")
+    found = ann.search(graph, nodes, queries, entries, Scratch(spark, "walk"), k=3).collect()
+    assert sorted(r.node for r in found) == [6, 7, 8]

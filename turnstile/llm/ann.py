@@ -28,11 +28,9 @@ INTRODUCED = 24        # forward and as many reverse neighbours that a node intr
 TREES = 8              # random orders
 LEAF = 4096            # vectors compared with each other in an order
 BITS = 20              # hyperplanes of an order
-ROUNDS = 6             # NN-descent rounds at most
 SETTLED = 0.01         # stop when a smaller share of the graph's edges is new
 BEAM = 96              # best nodes a query keeps
 EXPAND = 32            # nodes a query expands in a step
-STEPS = 4
 _EDGE = "u long, v long, near double"
 
 
@@ -142,7 +140,7 @@ def build(nodes: DataFrame, largest: float, scratch: Scratch, seed: int = 7) ->
     graph = scratch.write(_strongest(first, "u", DEGREE), "graph")
     size = graph.count()
     fresh = graph
-    for _ in range(ROUNDS):
+    while True:            # edges only get nearer, so the rounds end
         changed = fresh.select(F.col("u").alias("of")).union(fresh.select(F.col("v").alias("of"))).distinct()
         forward = _strongest(graph, "u", INTRODUCED).select("u", "v")
         back = _strongest(graph, "v", INTRODUCED).select(F.col("v").alias("u"), F.col("u").alias("v"))
@@ -184,7 +182,7 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, entries: Data
 
     best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     beam = scratch.write(scored(entries.distinct()).withColumn("expanded", F.lit(False)), "beam")
-    for _ in range(STEPS):
+    while True:            # a beam only gets better, so the walk ends
         top = beam.withColumn("place", F.row_number().over(best)).where(F.col("place") <= max(BEAM, k)).drop("place")
         todo = top.where(~F.col("expanded"))
         todo = todo.withColumn("place", F.row_number().over(best)).where(F.col("place") <= EXPAND).select("query", "node")
