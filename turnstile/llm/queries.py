@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import ann, bpe, fixity, katz, language_id, licenses, packing, quality, topk
+from turnstile.llm import (ann, bpe, divergence, fixity, html_text, katz, language_id, licenses, manifest, packing, quality, topk)
 from turnstile.llm.ngram_join import jaccard_classes
 
 
@@ -120,7 +120,103 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5
 """
 
+
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_text.extract(_table(spark, sf_dir, "pages"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents, and whether each row still proves its place after some were tampered with."""
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    now = F.when(tampered, manifest.leaf_digest("doc_id", "source", "lang", F.col("n_chars") + 1, "text"))
+    made = manifest.manifest(_table(spark, sf_dir, "documents"), also={"now": now})
+    made = made.withColumn("now", F.coalesce("now", "leaf"))
+    return made.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"),
+                       manifest.fold("now").alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+_OP12_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS grp, n_chars,
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS c,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(text) || ':' || text, '-') AS tail
+  FROM documents),
+h AS (
+  SELECT doc_id, grp, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+         CASE WHEN xor(c, 4294967295) % 7 = 0 THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail)
+              ELSE sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) END AS now
+  FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM h),
+t AS (
+  SELECT grp, 0 AS level, place, leaf AS digest, count(*) OVER (PARTITION BY grp) AS n FROM l
+  UNION ALL
+  SELECT grp, level, place, sha256(string_agg(digest, '' ORDER BY seat)) AS digest, any_value((n + 1) // 2) AS n
+  FROM (SELECT grp, level + 1 AS level, place // 2 AS place, digest, place AS seat, n FROM t WHERE n > 1) x GROUP BY grp, level, place),
+s AS (SELECT grp, digest AS subroot, row_number() OVER (ORDER BY grp) - 1 AS place FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS level, place, subroot AS digest, count(*) OVER () AS n FROM s
+  UNION ALL
+  SELECT level, place, sha256(string_agg(digest, '' ORDER BY seat)) AS digest, any_value((n + 1) // 2) AS n
+  FROM (SELECT level + 1 AS level, place // 2 AS place, digest, place AS seat, n FROM u WHERE n > 1) x GROUP BY level, place),
+heights AS (SELECT grp, max(level) AS h FROM t GROUP BY grp),
+low AS (
+  SELECT l.grp, l.place, list(CASE WHEN b.digest IS NULL THEN '-' WHEN b.place % 2 = 1 THEN 'R' || b.digest ELSE 'L' || b.digest END ORDER BY k) AS path
+  FROM (SELECT l.grp, l.place, unnest(range(0, h)) AS k FROM l JOIN heights USING (grp)) l
+  LEFT JOIN t b ON b.grp = l.grp AND b.level = l.k AND b.place = xor(l.place >> l.k, 1) GROUP BY l.grp, l.place),
+high AS (
+  SELECT l.grp, list(CASE WHEN b.digest IS NULL THEN '-' WHEN b.place % 2 = 1 THEN 'R' || b.digest ELSE 'L' || b.digest END ORDER BY k) AS path
+  FROM (SELECT grp, place, unnest(range(0, (SELECT max(level) FROM u))) AS k FROM s) l
+  LEFT JOIN u b ON b.level = l.k AND b.place = xor(l.place >> l.k, 1) GROUP BY l.grp),
+p AS (
+  SELECT l.doc_id, l.leaf, l.now, s.subroot, list_concat(coalesce(low.path, []), coalesce(high.path, [])) AS path
+  FROM l JOIN s USING (grp) LEFT JOIN low ON low.grp = l.grp AND low.place = l.place LEFT JOIN high ON high.grp = l.grp)
+SELECT *, folded_root = root AS verified FROM (
+  SELECT doc_id, leaf, subroot, (SELECT digest FROM u WHERE n = 1) AS root,
+         sha256(list_aggregate(list_prepend('', list_transform(path, lambda x: substr(x, 2))), 'string_agg', '')) AS proof_sha256,
+         list_reduce(list_prepend(now, path),
+           lambda a, x: sha256(CASE x[1] WHEN 'L' THEN substr(x, 2) || a WHEN 'R' THEN a || substr(x, 2) ELSE a END)) AS folded_root
+  FROM p)
+"""
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ in their use of terms, over all documents."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+_OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+o AS (SELECT i, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT i) >= 3),
+c AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN k ON o.lang = k.lang AND o.term = k.term GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY lang),
+t AS (SELECT g.lang, g.source, coalesce(v.v, 0) AS v, coalesce(v.n, 0) AS lang_n, coalesce(sum(c.n), 0) AS n
+      FROM g LEFT JOIN v ON g.lang = v.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+s AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+             (1 + (1000000000 * (coalesce(c.n, 0) + 1)::HUGEINT) // (t.n + t.v))::BIGINT AS p,
+             (1 + (1000000000 * (k.n + 1)::HUGEINT) // (t.lang_n + t.v))::BIGINT AS q
+      FROM t JOIN k ON t.lang = k.lang LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+w AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM s WHERE n > 0 AND p > q),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+      FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+y AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source)
+SELECT lang, source, part, item, value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM w UNION ALL SELECT * FROM y) QUALIFY part = 'pair' OR rank <= 200
+"""
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_warc_fixity, op3_language_id, op4_katz_scoring, op5_bpe_round_trip, op6_license_scan, op7_packing,
-    op8_nearest_neighbours, op9_quality_co_training, op10_exact_top_k)}
-ORACLES: dict[str, str] = {"op2_warc_fixity": _OP2_SQL, "op10_exact_top_k": _OP10_SQL}
+    op8_nearest_neighbours, op9_quality_co_training, op10_exact_top_k, op11_html_extraction, op12_merkle_manifest, op13_source_divergence)}
+ORACLES: dict[str, str] = {"op2_warc_fixity": _OP2_SQL, "op10_exact_top_k": _OP10_SQL, "op12_merkle_manifest": _OP12_SQL,
+                           "op13_source_divergence": _OP13_SQL}
