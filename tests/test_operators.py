@@ -161,11 +161,25 @@ def test_lag_with_a_hot_station_holding_a_third_of_rows(spark):
                        F.lag("ridership", 24).over(w).alias("ridership_lag24"))
     got = features.lag_features(hot).select("ride_id", "ridership_lag1", "ridership_lag24")
     assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
-    # the station-wide (edge) window holds at most 2K rows per day of the hot station
-    per_day = (hot.filter("station_complex = 'Hot'").groupBy(F.to_date("ts").alias("d")).count())
-    edge_rows = per_day.select(F.sum(F.least(F.col("count"), F.lit(48)))).first()[0]
-    n_rows, n_days = hot.filter("station_complex = 'Hot'").count(), per_day.count()
-    assert edge_rows <= 48 * n_days and edge_rows < n_rows
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_lags_over_many_ranges(spark, parts):
+    """Ranges of a few rows, smaller than the longest lag, and stations that span many of them."""
+    rnd = random.Random(parts)
+    rows = [(i, _ts(rnd.randrange(0, 300), day=1), rnd.choice("AAAAAAB"), "X", rnd.choice(FARES), "omny", rnd.randrange(0, 500)) for i in range(300)]
+    df = ranking.with_ts(_rides(spark, rows))
+    w = Window.partitionBy("station_complex").orderBy("ts", "fare_class_category", "payment_method", "ride_id")
+    plain = df.select("ride_id", F.lag("ridership", 1).over(w).alias("l1"), F.lag("ridership", 24).over(w).alias("l24"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = features.lag_features(df).select("ride_id", "ridership_lag1", "ridership_lag24").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain.collect()))
 
 
 def test_value_exactly_on_upper_fence_is_kept(spark):

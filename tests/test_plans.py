@@ -47,12 +47,32 @@ def test_top_k_is_not_a_full_sort(spark):
     assert "TakeOrderedAndProject" in plan
 
 
-def test_lag_has_no_station_wide_group_over_fact_rows(spark):
-    plan = _plan(features.lag_features(with_ts(rides(spark, SF_SMALL, "events"))))
-    windows = re.findall(r"Window \[.*?\], \[([^\]]*)\]", plan)
-    # the fact-row window is partitioned by (station, day); the station-only
-    # window runs over edge rows (filtered) only
-    assert any("_bucket" in w for w in windows)
+def test_lag_windows_over_fact_rows_are_keyed_by_range_alone(spark):
+    lagged = features.lag_features(with_ts(rides(spark, SF_SMALL, "events")))
+    plan = lagged._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    windows = [i for i, x in enumerate(lines) if "Window [" in x]
+    keys = {i: re.search(r"\], \[(_range|_pk)#\d+L?\], \[_at#", lines[i])[1] for i in windows}
+    assert sorted(set(keys.values())) == ["_pk", "_range"]
+    for i, key in keys.items():
+        if key == "_pk":              # only edge rows come here: the next step below keeps first and last rows
+            below = [x for x in lines[i + 1:next((j for j in windows if j > i), len(lines))] if "Filter" in x]
+            assert below and "OR" in below[0]
+    # and the range layout is a shuffle by (station, order), so a hot station has many ranges
+    layout = laid_out(spark)
+    assert "rangepartitioning(_pk" in layout and "ts#" in layout
+
+
+def laid_out(spark):
+    """Plan of the write below the lags."""
+    from turnstile.operators import features as module
+    seen = []
+    keep, module.materialize = module.materialize, lambda df, name="x": seen.append(_plan(df)) or keep(df, name)
+    try:
+        module.lag_features(with_ts(rides(spark, SF_SMALL, "events")))
+    finally:
+        module.materialize = keep
+    return seen[0]
 
 
 def test_helpers(spark):
@@ -61,9 +81,18 @@ def test_helpers(spark):
     assert features.unique_columns(dup).columns == ["a", "b"]
     assert daily.is_empty(df.filter("a > 5")) and not daily.is_empty(df)
     assert profile.preview(df, 1).count() == 1
-    flat = features.one_hot_flat(spark.createDataFrame([("x y",), ("z",)], "c string"), "c", ["x y", "z", "w"])
-    assert flat.columns == ["c", "c_x_y", "c_z", "c_w"]
-    assert [tuple(r)[1:] for r in flat.collect()] == [(1, 0, 0), (0, 1, 0)]
+
+
+def test_dense_columns_come_from_the_data_and_clashes_are_told_apart(spark):
+    df = spark.createDataFrame([(1, "x y", "p"), (2, "x/y", None), (3, None, "q")], "id int, c string, d string")
+    flat = features.one_hot_dense(df, ["c", "d"])
+    assert flat.columns == ["id", "c_x_y", "c_x_y__2", "d_p", "d_q"]
+    assert sorted(tuple(r) for r in flat.collect()) == [(1, 1, 0, 1, 0), (2, 0, 1, 0, 0), (3, 0, 0, 0, 1)]
+    new = spark.createDataFrame([(4, "unseen", "q")], "id int, c string, d string")
+    scored = features.one_hot_dense(new, ["c", "d"], features.category_dictionary(df, ["c", "d"]))
+    assert scored.columns == flat.columns and [tuple(r) for r in scored.collect()] == [(4, 0, 0, 0, 1)]
+    with pytest.raises(ValueError):
+        features.dense_columns(features.category_dictionary(df, ["c", "d"]), most=3)
 
 
 def test_weather_join_falls_back_to_shuffle_join_when_large(spark):

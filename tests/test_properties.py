@@ -94,13 +94,6 @@ def test_patience_rule():
     assert ml.best_iteration([1.0], patience=50) == 1
 
 
-def test_fit_with_patience_keeps_best_rounds(spark):
-    df = ml.training_frame(features.feature_frame(enriched(spark, SF_SMALL), scale=False))
-    model, errors, n = ml.fit_with_patience(df, ml.GBTParams(maxIter=8, maxDepth=3), patience=2)
-    assert len(errors) == 8 and 1 <= n <= 8
-    assert model.stages[-1].getNumTrees == n
-
-
 def test_pipeline_scaler_equals_checked_scaling(spark):
     from turnstile.ml.scaler import PopulationScaler
     from turnstile.schemas import SCALED_FEATURES

@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 from turnstile.functions import calendar, numeric
 from turnstile.functions.text import slug
 from turnstile.schemas import CATEGORICAL_FEATURES, NUMERIC_FEATURES, SCALED_FEATURES, WEATHER_MEASURES
-from turnstile.operators.joins import row_count_at_most
 from turnstile.operators.stats import exact_quantiles
 from turnstile.session import materialize
 
 LAG_ORDER = ["ts", "fare_class_category", "payment_method", "ride_id"]
 IQR_WIDTH = 1.5
-# A written category dictionary above this many rows is joined by shuffle.
-MAX_DICTIONARY_ROWS = 1_000_000
+# Categories that may become columns of one plan.
+MAX_DENSE_COLUMNS = 5_000
 
 
 def _q(c: str) -> Column:
@@ -89,36 +88,39 @@ def lag_features(df: DataFrame, value: str = "ridership", lags: Sequence[int] =
     """``lag(value, k)`` over the rows of each station in a total order, k rows back.
 
     Equal to ``lag(value, k) OVER (PARTITION BY station ORDER BY order)``, but
-    no task ever holds a whole station (a station may hold a third of all rows):
-
-    1. one shuffle on (station, day); inside each day the lags are exact for
-       every row after the first K = max(lags) rows ("body" rows);
-    2. the first K and last K rows of every day ("edge" rows, at most 2K per
-       station-day) go through a window per station ordered by (day, row):
-       walking back at most K rows from a head row only crosses edge rows, so
-       its lags are exact there.  That window holds at most 2K x days rows per
-       station, bounded by the calendar, not by the station's row count;
-    3. body rows and head rows are unioned; no join, and both branches read
-       the same shuffle.
+    no task is keyed by a station, which may hold a third of all rows:
+
+    1. the rows are laid out by range of (station, order) and written with
+       their range and their place in the whole order; a range is a bounded
+       share of all rows, whatever their stations;
+    2. inside a range, a row's lag is the value k rows before if that row is
+       of the same station;
+    3. each station's last K = max(lags) rows of a range are carried over to
+       its first K rows of later ranges: these two kinds of rows alone go
+       through one more window, at most 2K per station and range.
+
+    The written layout fixes ranges and places, so both kinds of rows agree
+    on them and a lost executor only reads it again.
     """
     K = max(lags)
     p = F.col(partition)
     # Null-safe string key: null stations form their own group, as in a window.
     key = F.when(p.isNull(), F.lit("\u0000")).otherwise(F.concat(F.lit("\u0001"), p.cast("string")))
-    day = F.to_date(order[0]) if order[0] == "ts" else F.lit(None).cast("date")
-    x = df.withColumns({"_pk": key, "_bucket": F.coalesce(day, F.lit("0001-01-01").cast("date"))})
-    w_day = Window.partitionBy("_pk", "_bucket").orderBy(*order)
+    laid = df.withColumn("_pk", key).repartitionByRange("_pk", *order).sortWithinPartitions("_pk", *order)
+    laid = laid.withColumn("_at", F.monotonically_increasing_id())
+    laid = materialize(laid.withColumn("_range", F.shiftright("_at", 33)), "lag_ranges")
+    by_range = Window.partitionBy("_range").orderBy("_at")
     lag_cols = [f"{prefix}{k}" for k in lags]
-    x = x.withColumns({
-        "_rn": F.row_number().over(w_day),
-        "_n": F.count(F.lit(1)).over(Window.partitionBy("_pk", "_bucket")),
-        **{c: F.lag(value, k).over(w_day) for k, c in zip(lags, lag_cols)}})
-    body = x.filter(F.col("_rn") > K)
-    edge = x.filter((F.col("_rn") <= K) | (F.col("_rn") > F.col("_n") - K))
-    w_edge = Window.partitionBy("_pk").orderBy("_bucket", "_rn")
-    edge = edge.withColumns({c: F.lag(value, k).over(w_edge) for k, c in zip(lags, lag_cols)})
-    head = edge.filter(F.col("_rn") <= K)
-    return body.unionByName(head).drop("_pk", "_bucket", "_rn", "_n")
+    same = {k: F.lag("_pk", k).over(by_range).eqNullSafe(F.col("_pk")) for k in {*lags, K}}
+    x = laid.withColumns({
+        "_first": ~same[K],
+        "_last": ~F.lead("_pk", K).over(by_range).eqNullSafe(F.col("_pk")),
+        **{c: F.when(same[k], F.lag(value, k).over(by_range)) for k, c in zip(lags, lag_cols)}})
+    body = x.filter(~F.col("_first"))
+    edge = x.filter(F.col("_first") | F.col("_last"))
+    carried = Window.partitionBy("_pk").orderBy("_at")
+    edge = edge.withColumns({c: F.lag(value, k).over(carried) for k, c in zip(lags, lag_cols)})
+    return body.unionByName(edge.filter("_first")).drop("_pk", "_at", "_range", "_first", "_last")
 
 
 # --- weather flags and fill (H13-H15) ----------------------------------------------------
@@ -167,13 +169,12 @@ def drop_outliers(df: DataFrame, col: str = "ridership") -> DataFrame:
 def category_dictionary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, category, category_index, feature_name) with categories sorted ascending.
 
-    One scan: grouping sets give the distinct values of every column; the
-    window runs over distinct values only.
+    One scan: the distinct tuples of the columns come first, so that the
+    per-column lists are cut from the few tuples and not from the fact rows.
     """
-    g = df.groupingSets([[F.col(c)] for c in cols], *cols).agg(*[F.grouping(c).alias(f"g_{c}") for c in cols])
-    col_name = F.coalesce(*[F.when(F.col(f"g_{c}") == 0, F.lit(c)) for c in cols])
-    value = F.coalesce(*[F.when(F.col(f"g_{c}") == 0, F.col(c).cast("string")) for c in cols])
-    d = g.select(col_name.alias("column"), value.alias("category")).filter(F.col("category").isNotNull())
+    tuples = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).distinct()
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("category")) for c in cols])
+    d = tuples.select(F.inline(pairs)).filter(F.col("category").isNotNull()).distinct()
     w = Window.partitionBy("column").orderBy("category")
     d = d.withColumn("category_index", (F.row_number().over(w) - 1).cast("double"))
     return d.withColumn("feature_name", feature_name_expr(F.col("column"), F.col("category")))
@@ -187,14 +188,11 @@ def one_hot_index(df: DataFrame, dictionary: DataFrame, cols: Sequence[str], kee
     """Per row, each categorical's index and feature name; unknown -> null.
 
     The dictionary (one row per category) is written once, so the joins read
-    a small table instead of re-deriving it from the fact rows per column, and
-    is broadcast after a row-count check (beyond the bound: shuffle joins).
-    The vector form is ``OneHotEncoder`` in ``turnstile.ml``.
+    a small table instead of re-deriving it from the fact rows per column;
+    Spark picks the join from the written table's size.  The vector form is
+    ``OneHotEncoder`` in ``turnstile.ml``, the dense form ``one_hot_dense``.
     """
     dictionary = materialize(dictionary, "category_dictionary")
-    # Written and small: its size is checked cheaply before it is broadcast.
-    if row_count_at_most(dictionary, MAX_DICTIONARY_ROWS):
-        dictionary = F.broadcast(dictionary)
     out = df.select(*keep, *cols)
     for c in cols:
         d = dictionary.filter(F.col("column") == c).select(
@@ -205,19 +203,36 @@ def one_hot_index(df: DataFrame, dictionary: DataFrame, cols: Sequence[str], kee
     return out.drop(*cols)
 
 
-def one_hot_flat(df: DataFrame, col: str, categories: Sequence[str]) -> DataFrame:
-    """Dense 0/1 columns ``<col>_<slug(category)>`` for a known category list (I4)."""
-    names = list(categories)
-    exprs = [F.when(F.col(col) == F.lit(v), 1).otherwise(0).alias(f"{col}_{v}") for v in names]
-    out = df.select("*", *exprs)
-    renamed = {f"{col}_{v}": n for v, n in zip(names, slugged_names(col, names))}
-    return out.withColumnsRenamed(renamed)
+def dense_columns(dictionary: DataFrame, most: int = MAX_DENSE_COLUMNS) -> list[tuple[str, str, str]]:
+    """(column, category, name) of every dense 0/1 column, in column and category order.
 
-
-def slugged_names(col: str, categories: Sequence[str]) -> list[str]:
-    """Python twin of ``functions.text.slug`` for building column names."""
-    import re
-    return [re.sub(r"[^A-Za-z0-9_]+", "_", f"{col}_{v}".replace(" ", "_").replace("/", "_")) for v in categories]
+    The names become the schema of a plan, so the dictionary is read to the
+    driver; one of more than ``most`` categories is refused (the vector form
+    has no such bound).  Categories whose names clash after slugging are told
+    apart by ``__2``, ``__3``, ... in category order.
+    """
+    rows = dictionary.select("column", "category", "feature_name").orderBy("column", "category").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} categories; use the assembled vectors instead")
+    seen: dict[str, int] = {}
+    out = []
+    for r in rows:
+        seen[r["feature_name"]] = n = seen.get(r["feature_name"], 0) + 1
+        out.append((r["column"], r["category"], r["feature_name"] if n == 1 else f"{r['feature_name']}__{n}"))
+    return out
+
+
+def one_hot_dense(df: DataFrame, cols: Sequence[str], dictionary: DataFrame | None = None) -> DataFrame:
+    """``df`` without ``cols``, with one 0/1 column per category of the data.
+
+    Two steps: the dictionary of ``df`` (or the given one, for scoring rows
+    with the training rows' columns) names the columns, then one projection
+    fills them.  Null and unknown categories are 0 everywhere.
+    """
+    dictionary = materialize(category_dictionary(df, cols) if dictionary is None else dictionary, "category_dictionary")
+    flags = [(F.coalesce(F.col(f"`{c}`").cast("string") == F.lit(v), F.lit(False))).cast("int").alias(n)
+             for c, v, n in dense_columns(dictionary) if c in cols]
+    return df.select(*[_q(c) for c in df.columns if c not in cols], *flags)
 
 
 def unique_columns(df: DataFrame) -> DataFrame:

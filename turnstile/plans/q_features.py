@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from turnstile.functions import numeric
@@ -115,6 +117,23 @@ def one_hot_columns(spark, sf_dir):
     return features.one_hot_index(r, d, CATEGORICAL_FEATURES, ["ride_id"])
 
 
+# Categories of the orders view whose columns SQL has to name.
+_DENSE = ([("station_complex_id", str(k)) for k in range(25)] + [("payment_method", p) for p in "FOP"]
+          + [("fare_class_category", p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")])
+
+
+def _dense_name(column: str, category: str) -> str:
+    return re.sub("[^A-Za-z0-9_]+", "_", re.sub("[ /]", "_", f"{column}_{category}"))
+
+
+@query("one_hot_dense", with_ctes("SELECT ride_id, ridership, " + ", ".join(
+    f"""CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS "{_dense_name(c, v)}" """ for c, v in _DENSE) + " FROM rides_orders", "rides_orders"))
+def one_hot_dense(spark, sf_dir):
+    """One 0/1 column per category found in the data."""
+    cols = ["station_complex_id", "payment_method", "fare_class_category"]
+    return features.one_hot_dense(rides(spark, sf_dir, "orders").select("ride_id", "ridership", *cols), cols)
+
+
 def _rounded(cols):
     return [F.round(F.col(f"`{c}`").cast("double"), ROUND).alias(c) for c in cols]
 
