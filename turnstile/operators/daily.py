@@ -8,6 +8,7 @@ per station and day.
 
 from __future__ import annotations
 
+import datetime as dt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,20 +41,24 @@ def station_map(rides: DataFrame) -> DataFrame:
 
 def _month_ok(month: int | None) -> None:
     if month is not None and not 1 <= month <= 12:
-        raise ValueError("Month must be between 1 and 12.")
+        raise ValueError(f"month {month} is not one of 1..12")
 
 
 def series_predicate(ts: Column, year: int, fare_category: str | None = ALL, payment_method: str | None = ALL,
-                     month: int | None = None) -> Column:
-    """Conjunctive filter (B9) with optional parts: "All" / None skips a condition."""
+                     month: int | None = None, year_col: Column | None = None, month_col: Column | None = None) -> Column:
+    """Conjunctive filter (B9) with optional parts: "All" / None skips a condition.
+
+    ``year_col`` and ``month_col`` name partition columns that hold the same
+    values, so that only the folders asked for are read.
+    """
     _month_ok(month)
-    conds = [F.year(ts) == F.lit(year)]
+    conds = [(F.year(ts) if year_col is None else year_col) == F.lit(year)]
     if fare_category not in (None, ALL):
         conds.append(F.col("fare_class_category") == F.lit(fare_category))
     if payment_method not in (None, ALL):
         conds.append(F.col("payment_method") == F.lit(payment_method))
     if month is not None:
-        conds.append(F.month(ts) == F.lit(month))
+        conds.append((F.month(ts) if month_col is None else month_col) == F.lit(month))
     pred = conds[0]
     for c in conds[1:]:
         pred = pred & c
@@ -66,37 +71,42 @@ def station_match(identifier: str) -> Column:
 
 
 def station_series(rides_ts: DataFrame, year: int, fare_category: str = ALL, payment_method: str = ALL,
-                   month: int | None = None, station: str | None = None) -> DataFrame:
+                   month: int | None = None, station: str | None = None, stations: DataFrame | None = None) -> DataFrame:
     """Daily series per station from the fact rows.
 
     ``station=None`` gives every station.  Result: station_complex, date (text
-    ``yyyy-MM-dd``), total_ridership, ordered by station and date.
+    ``yyyy-MM-dd``), total_ridership, ordered by station and date.  Over the
+    typed sink (``files.write_typed``) the year and month prune folders;
+    ``stations`` (id and name of every station) spares a scan to look an id up.
     """
-    df = rides_ts.filter(series_predicate(F.col("ts"), year, fare_category, payment_method, month))
+    year_col, month_col = (F.col(c) if c in rides_ts.columns else None for c in ("year", "month"))
+    df = rides_ts.filter(series_predicate(F.col("ts"), year, fare_category, payment_method, month, year_col, month_col))
     if station is not None:
         # an id stands for its whole station, which may have several ids
-        names = rides_ts.filter(station_match(station)).select("station_complex").distinct()
+        known = rides_ts if stations is None else stations
+        names = known.filter(station_match(station)).select("station_complex").distinct()
         df = df.join(names, "station_complex", "left_semi")
-    return (df.groupBy("station_complex", format_day("ts").alias("date"))
-            .agg(F.sum("ridership").cast("long").alias("total_ridership"))
-            .orderBy("station_complex", "date"))
+    per_day = df.groupBy("station_complex", F.to_date("ts").alias("date")).agg(F.sum("ridership").cast("long").alias("total_ridership"))
+    return per_day.withColumn("date", format_day("date")).orderBy("station_complex", "date")
 
 
 def series_from_daily(daily: DataFrame, station: str, year: int, fare_category: str = ALL,
                       payment_method: str = ALL, month: int | None = None) -> DataFrame:
-    """One station's daily series over the daily pre-aggregate."""
+    """One station's daily series over the daily pre-aggregate.
+
+    The year and month are asked for as a range of dates, which prunes the
+    folders of the stored table (``daily_table``).
+    """
     _month_ok(month)
-    conds = (F.col("station_complex") == F.lit(station)) & (F.col("year") == F.lit(year))
+    first = dt.date(year, month or 1, 1)
+    end = dt.date(year + 1, 1, 1) if month in (None, 12) else dt.date(year, month + 1, 1)
+    conds = (F.col("station_complex") == F.lit(station)) & (F.col("date") >= F.lit(first)) & (F.col("date") < F.lit(end))
     if fare_category not in (None, ALL):
         conds = conds & (F.col("fare_class_category") == F.lit(fare_category))
     if payment_method not in (None, ALL):
         conds = conds & (F.col("payment_method") == F.lit(payment_method))
-    if month is not None:
-        conds = conds & (F.month("date") == F.lit(month))
-    return (daily.filter(conds)
-            .groupBy("station_complex", format_day("date").alias("date"))
-            .agg(F.sum("daily_ridership").cast("long").alias("total_ridership"))
-            .orderBy("date"))
+    per_day = daily.filter(conds).groupBy("station_complex", "date").agg(F.sum("daily_ridership").cast("long").alias("total_ridership"))
+    return per_day.withColumn("date", format_day("date")).orderBy("date")
 
 
 def chart_frame(series: DataFrame) -> DataFrame:
@@ -152,7 +162,7 @@ SELECTOR_GROUPS = {
 
 
 def selector_domains(rides_ts: DataFrame) -> DataFrame:
-    """Every selector domain in one scan and one scan.
+    """Every selector domain in one scan.
 
     ``GROUPING SETS`` replaces one distinct job per domain: rows
     (domain, borough, value), stations carry their borough.

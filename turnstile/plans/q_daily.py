@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from turnstile.operators import daily
+from pyspark.sql import functions as F
+
+from turnstile.operators import daily, daily_table
 from turnstile.operators.ranking import with_ts
 from turnstile.plans.registry import query
 from turnstile.plans.sqlparts import with_ctes
-from turnstile.sources.adapters import rides
+from turnstile.session import scratch_path
+from turnstile.sources import files
+from turnstile.sources.adapters import rides, typed_rides
 
 # Parameters of the registered series queries.
 SERIES_YEAR = 2024
@@ -18,6 +22,7 @@ ALL_SERIES_STATION = "Stop 3 (3)"
 ALL_SERIES_PAYMENT = "metrocard"
 CHART_YEAR = 1996
 CHART_PAYMENT = "F"
+NAMED_STATION = "NATION_7"
 
 
 def _events(spark, sf_dir):
@@ -58,8 +63,52 @@ WHERE year(ts) = {SERIES_YEAR} AND fare_class_category = '{SERIES_FARE}' AND pay
   AND (station_complex = '{SERIES_STATION_ID}' OR station_complex_id = '{SERIES_STATION_ID}')
 GROUP BY station_complex, strftime(ts, '%Y-%m-%d')""", "ev"))
 def station_daily_series(spark, sf_dir):
-    return daily.station_series(_events(spark, sf_dir), SERIES_YEAR, SERIES_FARE, SERIES_PAYMENT,
-                                SERIES_MONTH, SERIES_STATION_ID)
+    """One station by id over the typed sink: the year and month prune folders."""
+    typed, stations = typed_rides(spark, sf_dir, "events")
+    return daily.station_series(typed, SERIES_YEAR, SERIES_FARE, SERIES_PAYMENT, SERIES_MONTH, SERIES_STATION_ID, stations)
+
+
+@query("station_daily_series_by_name", with_ctes(f"""
+SELECT station_complex, strftime(ts, '%Y-%m-%d') AS date, CAST(sum(ridership) AS BIGINT) AS total_ridership
+FROM od WHERE year(ts) = {CHART_YEAR} AND station_complex = '{NAMED_STATION}'
+GROUP BY station_complex, strftime(ts, '%Y-%m-%d')""", "od"))
+def station_daily_series_by_name(spark, sf_dir):
+    """One station by name, all fares and methods, over the typed sink."""
+    typed, stations = typed_rides(spark, sf_dir, "orders")
+    return daily.station_series(typed, CHART_YEAR, station=NAMED_STATION, stations=stations)
+
+
+_DAILY: dict[tuple[str, str], str] = {}
+
+
+def _daily_table(spark, sf_dir):
+    """The stored daily table of the events view, written once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _DAILY:
+        path = scratch_path(spark, "daily")
+        daily_table.write(typed_rides(spark, sf_dir, "events")[0], path)
+        _DAILY[key] = path
+    return daily_table.read(spark, _DAILY[key])
+
+
+@query("daily_table_refresh", with_ctes(DAILY_SQL, "ev"))
+def daily_table_refresh(spark, sf_dir):
+    """A stored daily table without its last day and some late rows of the first one, then brought up to date (D3).
+
+    Only the two changed days are recomputed, from the typed sink, and only
+    their folders are overwritten; the result equals the full aggregate.
+    """
+    rides_ts, _ = typed_rides(spark, sf_dir, "events")
+    first, last = rides_ts.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    day = F.to_date("ts")
+    late = F.coalesce((day == F.lit(last)) | ((day == F.lit(first)) & (F.col("ride_id") % 5 == 0)), F.lit(False))
+    sink, table = scratch_path(spark, "facts"), scratch_path(spark, "daily_kept")
+    files.write_typed(rides_ts.filter(~late), sink)
+    daily_table.write(files.read_typed(spark, sink), table)
+    new = rides_ts.filter(late)
+    files.write_typed(new, sink, mode="append")
+    daily_table.refresh(files.read_typed(spark, sink), table, daily_table.changed_days(new))
+    return daily_table.read(spark, table)
 
 
 @query("station_daily_series_all", with_ctes(f"""
@@ -68,7 +117,8 @@ FROM daily
 WHERE station_complex = '{ALL_SERIES_STATION}' AND year = {SERIES_YEAR} AND payment_method = '{ALL_SERIES_PAYMENT}'
 GROUP BY station_complex, strftime(date, '%Y-%m-%d')""", "ev", more=f"daily AS ({DAILY_SQL})"))
 def station_daily_series_all(spark, sf_dir):
-    d = daily.daily_ridership(_events(spark, sf_dir))
+    """One station over the stored daily table: the dates prune its folders."""
+    d = _daily_table(spark, sf_dir)
     return daily.series_from_daily(d, ALL_SERIES_STATION, SERIES_YEAR, daily.ALL, ALL_SERIES_PAYMENT, None)
 
 
@@ -79,7 +129,7 @@ CHART_SERIES_SQL = f"""series AS (
 
 
 def _chart_series(spark, sf_dir):
-    return daily.station_series(_orders(spark, sf_dir), CHART_YEAR, daily.ALL, CHART_PAYMENT)
+    return daily.station_series(typed_rides(spark, sf_dir, "orders")[0], CHART_YEAR, daily.ALL, CHART_PAYMENT)
 
 
 @query("series_y_ticks", with_ctes("""
@@ -131,5 +181,5 @@ FROM (SELECT DISTINCT station_complex, strftime(ts, '%Y-%m-%d') AS date FROM ev
 GROUP BY station_complex""", "ev"))
 def chart_titles(spark, sf_dir):
     """Every station's chart title and file name for one filter set (J1 over all stations)."""
-    series = daily.station_series(_events(spark, sf_dir), SERIES_YEAR, SERIES_FARE, SERIES_PAYMENT, SERIES_MONTH)
+    series = daily.station_series(typed_rides(spark, sf_dir, "events")[0], SERIES_YEAR, SERIES_FARE, SERIES_PAYMENT, SERIES_MONTH)
     return daily.chart_titles(series, SERIES_YEAR, SERIES_FARE, SERIES_PAYMENT, SERIES_MONTH)

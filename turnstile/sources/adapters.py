@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from turnstile.functions.timefmt import format_transit_ts, hour_floor
 from turnstile.operators.joins import broadcast_if_bounded
 from turnstile.schemas import RIDE_COLUMNS
+from turnstile.session import materialize, scratch_path
+from turnstile.sources import files
 from turnstile.sources.tables import read_table, table_path
 
 # Adapter constants.
@@ -94,3 +96,18 @@ def rides(spark: SparkSession, sf_dir: str, view: str = "events") -> DataFrame:
     df = VIEWS[view](spark, sf_dir)
     assert df.columns == RIDE_COLUMNS
     return df
+
+
+# Typed sinks and station lists by application, folder and view: landed once, read by every series query.
+_TYPED: dict[tuple[str, str, str], tuple[DataFrame, DataFrame]] = {}
+
+
+def typed_rides(spark: SparkSession, sf_dir: str, view: str = "events") -> tuple[DataFrame, DataFrame]:
+    """The view landed in the typed sink, and the ids and names of its stations."""
+    key = (spark.sparkContext.applicationId, sf_dir, view)
+    if key not in _TYPED:
+        path = scratch_path(spark, f"typed_{view}")
+        files.write_typed(rides(spark, sf_dir, view), path)
+        typed = files.read_typed(spark, path)
+        _TYPED[key] = typed, materialize(typed.select("station_complex_id", "station_complex").distinct(), "stations")
+    return _TYPED[key]
