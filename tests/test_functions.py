@@ -70,8 +70,6 @@ def test_slug_one_rule(spark):
     assert got == ["fare_class_category_OMNY___Seniors___Disability",
                    "fare_class_category_34_St_Penn_Station__A_C_E_",
                    "fare_class_category_a_b_c"]
-    from turnstile.operators.features import slugged_names
-    assert slugged_names("fare_class_category", cats) == got
 
 
 def test_label_and_units(spark):
@@ -127,3 +125,21 @@ def test_month_name_number_round_trip(spark):
     df = spark.createDataFrame([(dt.date(2024, m, 1),) for m in range(1, 13)], "d date")
     got = df.select(calendar.month_number(calendar.month_name("d")).alias("m")).collect()
     assert [r.m for r in got] == list(range(1, 13))
+
+
+def test_holiday_rules_hold_in_their_years(spark):
+    days = {dt.date(1965, 5, 30): 1, dt.date(1965, 5, 31): 1, dt.date(1975, 10, 27): 1, dt.date(1975, 11, 11): 0, dt.date(1970, 2, 22): 1,
+            dt.date(1970, 2, 16): 0, dt.date(1971, 2, 15): 1, dt.date(1971, 2, 22): 0, dt.date(1971, 5, 31): 1, dt.date(1978, 11, 11): 1,
+            dt.date(1977, 11, 11): 0, dt.date(1941, 11, 20): 1, dt.date(1941, 11, 27): 0, dt.date(1939, 11, 23): 1, dt.date(1938, 11, 24): 1,
+            dt.date(1985, 1, 21): 0, dt.date(1986, 1, 20): 1, dt.date(1950, 11, 11): 1, dt.date(1970, 10, 12): 0, dt.date(1971, 10, 11): 1}
+    df = spark.createDataFrame([(d,) for d in days], "d date")
+    assert {r.d: r.h for r in df.select("d", calendar.is_us_holiday("d").alias("h")).collect()} == days
+
+
+def test_holiday_expression_matches_holiday_table_in_the_past(spark):
+    years = spark.range(1870, 1990).select(F.col("id").cast("int").alias("year"))
+    table = {r.date for r in calendar.holiday_table(years).collect()}
+    days = spark.range((dt.date(1989, 12, 30) - dt.date(1871, 1, 2)).days).select(
+        F.date_add(F.lit("1871-01-02").cast("date"), F.col("id").cast("int")).alias("d"))
+    flagged = {r.d for r in days.filter(calendar.is_us_holiday("d") == 1).collect()}
+    assert flagged == {d for d in table if dt.date(1871, 1, 2) <= d < dt.date(1989, 12, 30)}

@@ -96,20 +96,6 @@ def test_ride_without_weather_keeps_nulls(spark):
     assert len(out) == 1 and out[0].temperature_C is None
 
 
-def test_empty_or_failed_reply_is_rejected(spark):
-    import json
-    rep = [json.dumps({"station_id": 1, "start_date": "2024-01-01", "latitude": 40.5, "longitude": -74.0,
-                       "status": 200, "hourly": {"time": ["2024-01-01T00:00"], "temperature_2m": [1.5],
-                                                 "precipitation": [None], "relative_humidity_2m": [40.0]}}),
-           json.dumps({"station_id": 2, "start_date": "2024-01-01", "latitude": 40.6, "longitude": -74.1,
-                       "status": 200, "hourly": None}),
-           json.dumps({"station_id": 3, "start_date": "2024-01-01", "status": 500})]
-    replies = weather.parse_replies(spark.createDataFrame([(r,) for r in rep], "reply string"))
-    rows = weather.flatten_replies(replies).collect()
-    assert len(rows) == 1 and rows[0].precipitation_mm is None and rows[0].temperature_C == 1.5
-    assert sorted(r.station_id for r in weather.rejected_replies(replies).collect()) == [2, 3]
-
-
 def test_month_out_of_range_rejected(spark):
     with pytest.raises(ValueError):
         daily.series_predicate(F.col("ts"), 2024, month=13)
@@ -233,14 +219,6 @@ def test_exact_quantiles_equal_numpy(spark):
     assert stats.exact_quantiles(df.where("v > 9"), "v", [0.5]) == [None]
 
 
-def test_replies_without_status_are_on_one_side(spark):
-    df = spark.createDataFrame([('{"station_id":1,"hourly":{"time":["2024-01-01T00:00"]}}',), ('{"station_id":2}',),
-                                ('{"station_id":3,"status":500}',)], "reply string")
-    replies = weather.parse_replies(df)
-    assert replies.filter(weather.accepted(replies)).count() == 1
-    assert replies.filter(~weather.accepted(replies)).count() == 2
-
-
 def test_last_day_of_the_holiday_span(spark):
     df = spark.sql("select timestamp_ntz'2100-12-31 05:00:00' ts union all select timestamp_ntz'2100-12-30 05:00:00'")
     assert [r.is_holiday for r in features.calendar_features(df).orderBy("ts").collect()] == [0, 1]

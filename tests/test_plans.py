@@ -96,6 +96,7 @@ def test_dense_columns_come_from_the_data_and_clashes_are_told_apart(spark):
 
 
 def test_weather_join_falls_back_to_shuffle_join_when_large(spark):
+    from turnstile import fixtures
     from turnstile.operators import weather
     keys = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
     old = {k: spark.conf.get(k, None) for k in keys}
@@ -103,7 +104,7 @@ def test_weather_join_falls_back_to_shuffle_join_when_large(spark):
         for k in keys:                       # as if the weather table were too large
             spark.conf.set(k, "-1")
         r = with_ts(rides(spark, SF_SMALL, "events"))
-        df = weather.enrich(r, weather.typed_weather(weather.derive_weather(r)))
+        df = weather.enrich(r, weather.typed_weather(fixtures.derive_weather(r)))
         df.write.format("noop").mode("overwrite").save()
         plan = _plan(df)
         assert "SortMergeJoin" in plan and "LeftOuter" in plan and "BroadcastHashJoin" not in plan

@@ -5,8 +5,9 @@ import math
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from turnstile import fixtures
 from turnstile.ml import model as ml
-from turnstile.operators import daily, features, ranking, stats, weather
+from turnstile.operators import daily, features, ranking, stats
 from turnstile.plans.q_weather import enriched
 from turnstile.schemas import CATEGORICAL_FEATURES
 from turnstile.sources.adapters import rides
@@ -59,7 +60,7 @@ def test_log_round_trip(spark):
 
 def test_weather_grid_covers_every_station_hour(spark):
     r = ranking.with_ts(rides(spark, SF_SMALL, "events"))
-    w = weather.derive_weather(r)
+    w = fixtures.derive_weather(r)
     n_st = r.select("station_complex_id").distinct().count()
     assert w.select("station_id").distinct().count() == n_st
     assert w.filter(F.col("temperature_C") == "n/a").count() > 0
@@ -108,7 +109,7 @@ def test_scoring_features_match_training_features(spark):
     from turnstile.operators import requests
     from turnstile.operators.ranking import with_ts
     r = rides(spark, SF_SMALL, "events")      # January 2024: New Year's Day and MLK Day inside
-    v = requests.validate(requests.requests_from_rides(r), requests.domains(r))
+    v = requests.validate(fixtures.requests_from_rides(r), requests.domains(r))
     scored = requests.request_features(v).select(
         F.col("request_id").alias("ride_id"), "hour", "day_of_week", "month", "is_weekend", "is_holiday")
     trained = features.calendar_features(with_ts(r)).select(

@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from turnstile import fixtures
 from turnstile.operators import daily
 from turnstile.operators.ranking import with_ts
 from turnstile.sources.adapters import rides
@@ -14,7 +15,7 @@ from turnstile.streaming import daily as sd
 def test_watermarked_stream_emits_closed_days_once(spark, tmp_path):
     landing, out, ckpt = (str(tmp_path / n) for n in ("landing", "out", "ckpt"))
     r = rides(spark, SF_SMALL, "events")
-    sd.land_files(r, landing, n_files=3)
+    fixtures.land_files(r, landing, n_files=3)
     q = (sd.daily_with_watermark(sd.ride_stream(spark, landing))
          .writeStream.outputMode("append").format("parquet")
          .option("path", out).option("checkpointLocation", ckpt)
@@ -34,7 +35,7 @@ def test_watermarked_stream_emits_closed_days_once(spark, tmp_path):
 def test_complete_stream_equals_batch(spark, tmp_path):
     landing, out, ckpt = (str(tmp_path / n) for n in ("landing", "out", "ckpt"))
     r = rides(spark, SF_SMALL, "events")
-    sd.land_files(r, landing, n_files=3)
+    fixtures.land_files(r, landing, n_files=3)
     sd.run_daily(spark, landing, out, ckpt, files_per_trigger=1)
     got = spark.read.parquet(out).select(*daily.DAILY_KEYS, "daily_ridership")
     batch = daily.daily_ridership(with_ts(r)).select(*daily.DAILY_KEYS, "daily_ridership")

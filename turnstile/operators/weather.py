@@ -1,66 +1,22 @@
-"""Hourly weather: derivation, landed replies, typing and the fact join
+"""Hourly weather: landed replies, typing and the fact join
 (A2, A5, A6, A7, B3, B4, B5, C1, G1, H3, H4, H13, J8).
 
-The reference downloads hourly weather for each station coordinate.  Here the
-observation table is derived by Spark from the ridership data itself: one row
-per station coordinate and hour of the days the station has rides, with the
-measures given by the fixed formula of FIXTURES.md section 2.  Its size is
-stations x hours, which grows with the data's span, never with a fixed list.
+Downloads land one reply file per request.  A reply's body knows neither its
+station nor its status; both come from the folders it was landed in, and the
+station's coordinates from the table the requests were made from.
 """
 
 from __future__ import annotations
 
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile.functions.numeric import to_double
 from turnstile.functions.timefmt import parse_weather_time
-from turnstile.operators.joins import broadcast_if_bounded
-from turnstile.schemas import WEATHER_MEASURES, WEATHER_REPLY, WEATHER_TS_FORMAT
-
-# The derived-weather formula (FIXTURES.md section 2).
-WEATHER_EPOCH = "2024-01-01"
-MISSING_EVERY = 10          # (h + k) % 10 == 0 -> no observation (left-join miss)
-NA_EVERY = 97               # (7h + k) % 97 == 0 -> temperature text "n/a"
-FAILED_REPLY_EVERY = 11     # (day of month + station_id) % 11 == 0 -> reply status 500
-
-
-
-def station_days(rides_ts: DataFrame) -> DataFrame:
-    """First and last ride day per station coordinate (one row per station)."""
-    return (rides_ts.groupBy("station_complex_id", "latitude", "longitude")
-            .agg(F.min(F.to_date("ts")).alias("first_day"), F.max(F.to_date("ts")).alias("last_day")))
+from turnstile.schemas import WEATHER_MEASURES, WEATHER_REPLY_BODY
+from turnstile.sources.files import read_weather_csv
 
-
-def derive_weather(rides_ts: DataFrame) -> DataFrame:
-    """Weather CSV rows (all measures as text) for every station hour of the data.
-
-    Per station: ``explode(sequence(0, hours-1))`` over its day span. No cross
-    join; the station table is one row per station.
-    """
-    days = station_days(rides_ts).filter(F.col("first_day").isNotNull())
-    k = F.col("station_complex_id").cast("long")
-    start = F.make_timestamp_ntz(F.year("first_day"), F.month("first_day"), F.dayofmonth("first_day"),
-                                 F.lit(0), F.lit(0), F.lit(0))
-    n_hours = (F.datediff("last_day", "first_day") + 1) * 24
-    hours = days.select(k.alias("k"), "latitude", "longitude", start.alias("start"),
-                        F.explode(F.sequence(F.lit(0), n_hours - 1)).alias("i"))
-    t = F.timestamp_add("HOUR", F.col("i"), F.col("start"))
-    hours = hours.select("k", "latitude", "longitude", t.alias("t"))
-    h = F.datediff(F.to_date("t"), F.lit(WEATHER_EPOCH)).cast("long") * 24 + F.hour("t")
-    hours = hours.withColumn("h", h)
-    hk = F.col("h") + F.col("k")
-    temp = F.when((F.col("h") * 7 + F.col("k")) % NA_EVERY == 0, F.lit("n/a")).otherwise(
-        ((F.col("h") * 7 + F.col("k") * 3) % 45 - 8).cast("string"))
-    return hours.filter(hk % MISSING_EVERY != 0).select(
-        F.date_format("t", WEATHER_TS_FORMAT).alias("time"),
-        temp.alias("temperature_C"),
-        ((F.col("h") * 5 + F.col("k")) % 13).cast("string").alias("precipitation_mm"),
-        (F.lit(30) + (F.col("h") * 3 + F.col("k")) % 70).cast("string").alias("humidity_%"),
-        (F.col("k") + 1).alias("station_id"),
-        "latitude", "longitude",
-    )
+MICRO_DEGREES = 1_000_000
 
 
 def typed_weather(weather_text: DataFrame) -> DataFrame:
@@ -74,109 +30,100 @@ def typed_weather(weather_text: DataFrame) -> DataFrame:
     )
 
 
+# --- landed replies (A5-A7) ------------------------------------------------------------
 
-# --- landed API replies (A5, A7) ------------------------------------------------
+def station_coordinates(rides: DataFrame) -> DataFrame:
+    """The table that requests are made from: one row per station.
 
-def _field(name: str):
-    return lambda o: o.getField(name)
+    A station has the number that requests give it, its id plus one; of
+    several coordinates the smallest stands for the station.
+    """
+    return (rides.groupBy((F.col("station_complex_id").try_cast("long") + 1).alias("station_id"))
+            .agg(F.min(F.struct("latitude", "longitude")).alias("at")).filter("station_id is not null")
+            .select("station_id", "at.latitude", "at.longitude"))
 
 
-def replies_from_weather(weather_text: DataFrame) -> DataFrame:
-    """Group the hourly rows into one JSON reply per station and day.
+def read_reply_files(spark: SparkSession, path: str) -> DataFrame:
+    """Landed reply files with a fixed schema, one reply per file.
 
-    A reply holds at most 24 hours (bounded group). Some replies are failures
-    (status 500, no ``hourly``) by a fixed rule, to exercise rejection.
+    ``status``, ``station_id`` and ``start_date`` come from the folder names,
+    ``origin`` is the file; a body that is no JSON stands in ``unreadable``.
     """
-    w = typed_weather(weather_text)
-    per_day = (w.groupBy("station_id", "latitude", "longitude", F.to_date("weather_ts").alias("day"))
-               .agg(F.array_sort(F.collect_list(F.struct(
-                   F.date_format("weather_ts", WEATHER_TS_FORMAT).alias("time"),
-                   F.col("temperature_C").alias("temperature_2m"),
-                   F.col("precipitation_mm").alias("precipitation"),
-                   F.col("humidity_%").alias("relative_humidity_2m")))).alias("obs")))
-    failed = (F.dayofmonth("day") + F.col("station_id")) % FAILED_REPLY_EVERY == 0
-    hourly = F.struct(*[F.transform("obs", _field(f)).alias(f)
-                        for f in ["time", "temperature_2m", "precipitation", "relative_humidity_2m"]])
-    return per_day.select(
-        F.to_json(F.struct(
-            "station_id", F.date_format("day", "yyyy-MM-dd").alias("start_date"), "latitude", "longitude",
-            F.when(failed, F.lit(500)).otherwise(F.lit(200)).alias("status"),
-            F.when(~failed, hourly).alias("hourly"),
-        )).alias("reply"))
-
-
-def parse_replies(reply_text: DataFrame, col: str = "reply") -> DataFrame:
-    """JSON text column -> typed reply struct columns."""
-    return reply_text.select(F.from_json(F.col(col), WEATHER_REPLY).alias("r")).select("r.*")
+    body = spark.read.schema(WEATHER_REPLY_BODY).option("wholetext", False).option("columnNameOfCorruptRecord", "unreadable").json(path)
+    return body.select(F.col("station_id").cast("long").alias("station_id"), F.col("start_date").cast("string").alias("start_date"),
+                       F.col("status").cast("int").alias("status"), F.col("_metadata.file_path").alias("origin"),
+                       "hourly", "reason", "unreadable")
 
 
 def accepted(replies: DataFrame) -> Column:
     """Whether a reply is usable: never null, so each reply is accepted or rejected.
 
-    The status is metadata of the landing; a body without one is judged by its data.
+    A reply of unknown status is judged by its data.
     """
     return ((F.coalesce(F.col("status"), F.lit(200)) == 200) & F.col("hourly").isNotNull() & F.col("hourly.time").isNotNull())
 
 
-def flatten_replies(replies: DataFrame) -> DataFrame:
-    """Accepted replies -> one row per hour (A5): parallel arrays zipped, nulls kept."""
+def flatten_replies(replies: DataFrame, coordinates: DataFrame) -> DataFrame:
+    """Accepted replies -> one row per hour (A5): parallel arrays zipped, nulls kept.
+
+    Coordinates are those of the request's station, not the grid point of the
+    reply; a station that is not in the table has none.
+    """
     ok = replies.filter(accepted(replies))
-    zipped = ok.select("station_id", "latitude", "longitude",
-                       F.inline(F.arrays_zip("hourly.time", "hourly.temperature_2m",
-                                             "hourly.precipitation", "hourly.relative_humidity_2m")))
-    return zipped.select(
+    zipped = ok.select("station_id", F.inline(F.arrays_zip("hourly.time", "hourly.temperature_2m",
+                                                           "hourly.precipitation", "hourly.relative_humidity_2m")))
+    hours = zipped.select(
         "station_id", F.col("time"),
         F.col("temperature_2m").alias("temperature_C"),
         F.col("precipitation").alias("precipitation_mm"),
-        F.col("relative_humidity_2m").alias("humidity_%"),
-        "latitude", "longitude")
+        F.col("relative_humidity_2m").alias("humidity_%"))
+    return hours.join(coordinates.select("station_id", "latitude", "longitude"), "station_id", "left")
 
 
 def rejected_replies(replies: DataFrame) -> DataFrame:
     """Failed replies, reported instead of silently dropped."""
-    return replies.filter(~accepted(replies)).select("station_id", "start_date", "status")
+    why = F.coalesce("reason", F.when(F.col("unreadable").isNotNull(), F.lit("unreadable body")), F.lit("no hourly data"))
+    return replies.filter(~accepted(replies)).select("station_id", "start_date", "status", why.alias("reason"))
 
 
-def read_reply_files(spark, path: str) -> DataFrame:
-    """Landed reply files (JSON lines, one reply per line) with a fixed schema."""
-    return spark.read.schema(WEATHER_REPLY).json(path)
+def stations_without_reply(coordinates: DataFrame, replies: DataFrame) -> DataFrame:
+    """Stations of which no reply could be used, with the number of failed ones."""
+    good = replies.filter(accepted(replies)).select("station_id")
+    failed = replies.filter(~accepted(replies)).groupBy("station_id").agg(F.count(F.lit(1)).alias("n_failed"))
+    return (coordinates.join(good, "station_id", "left_anti").join(failed, "station_id", "left")
+            .withColumn("n_failed", F.coalesce("n_failed", F.lit(0))))
 
 
 # --- enrichment (J8, C1) -------------------------------------------------------------
 
-def enrich(rides_ts: DataFrame, weather_typed: DataFrame, check_rows: int | None = None) -> DataFrame:
+def micro_degrees(c: str) -> Column:
+    """A coordinate as a whole number of millionths of a degree: digits after the sixth place do not count."""
+    return F.round(F.col(c).cast("double") * MICRO_DEGREES).cast("long")
+
+
+def _keyed(df: DataFrame, hour: str) -> DataFrame:
+    return df.withColumns({"_lat": micro_degrees("latitude"), "_lon": micro_degrees("longitude"), "_hour": F.col(hour)})
+
+
+def enrich(rides_ts: DataFrame, weather_typed: DataFrame) -> DataFrame:
     """Left join the fact rows to hourly weather on coordinates and hour.
 
-    Unmatched rides keep null measures.  The weather table has stations x
-    hours rows, which grows with the span of the data, so no static broadcast
-    hint: AQE broadcasts it only when its measured size is under the adaptive
-    threshold, else the join is a shuffle join on (latitude, longitude, hour),
-    a key that spreads a busy station over all of its hours.  A landed weather
-    table that is cheap to count may pass ``check_rows`` for an explicit,
-    size-checked broadcast.
+    Coordinates are compared in millionths of a degree.  Unmatched rides keep
+    null measures.  The weather table has stations x hours rows, which grows
+    with the span of the data, so no static broadcast hint: AQE broadcasts it
+    only when its measured size is under the adaptive threshold, else the join
+    is a shuffle join on (coordinates, hour), a key that spreads a busy
+    station over all of its hours.
     """
-    w = weather_typed.select(
-        F.col("latitude").alias("weather_latitude"),
-        F.col("longitude").alias("weather_longitude"),
-        F.col("weather_ts"),
-        *[F.col(f"`{c}`") for c in WEATHER_MEASURES])
-    if check_rows is not None:
-        w = broadcast_if_bounded(w, check_rows)
-    main = rides_ts.alias("main")
-    joined = main.join(
-        w.alias("weather"),
-        (F.col("main.longitude") == F.col("weather.weather_longitude"))
-        & (F.col("main.latitude") == F.col("weather.weather_latitude"))
-        & (F.col("main.ts") == F.col("weather.weather_ts")),
-        "left")
-    return joined.drop("weather_longitude", "weather_latitude", "weather_ts", "Georeference")
-
-
-def enrich_from_files(rides_ts: DataFrame, weather_paths, check_rows: int | None = None) -> DataFrame:
+    keys = ["_lat", "_lon", "_hour"]
+    weather = _keyed(weather_typed, "weather_ts").select(*keys, *[F.col(f"`{c}`") for c in WEATHER_MEASURES])
+    return _keyed(rides_ts, "ts").join(weather, keys, "left").drop(*keys, "Georeference")
+
+
+def enrich_from_files(rides_ts: DataFrame, weather_paths) -> DataFrame:
     """J8 as a user runs it: ridership rows + yearly weather CSV files -> enriched rows.
 
     The weather files are read in one scan (union of years), typed, and
     left-joined on coordinates and hour.
     """
-    from turnstile.sources.files import read_weather_csv
-    return enrich(rides_ts, typed_weather(read_weather_csv(rides_ts.sparkSession, weather_paths)), check_rows)
+    return enrich(rides_ts, typed_weather(read_weather_csv(rides_ts.sparkSession, weather_paths)))

@@ -163,6 +163,23 @@ def selector_domains(spark, sf_dir):
     return daily.selector_domains(_orders(spark, sf_dir))
 
 
+@query("borough_stations", with_ctes("""
+SELECT DISTINCT station_complex AS value FROM od WHERE borough = 'REGION_2'""", "od"))
+def borough_stations(spark, sf_dir):
+    """The stations offered once a borough is chosen."""
+    return daily.stations_in(daily.selector_domains(_orders(spark, sf_dir)), "REGION_2")
+
+
+@query("series_with_rides", with_ctes(f"""
+SELECT station, EXISTS (SELECT 1 FROM ev WHERE station_complex = station AND year(ts) = {SERIES_YEAR}) AS has_rides
+FROM (VALUES ('{ALL_SERIES_STATION}'), ('Nowhere (0)')) s(station)""", "ev"))
+def series_with_rides(spark, sf_dir):
+    """Which stations have a chart to draw: the empty-result guard over the stored daily table."""
+    table = _daily_table(spark, sf_dir)
+    rows = [(s, not daily.is_empty(daily.series_from_daily(table, s, SERIES_YEAR))) for s in (ALL_SERIES_STATION, "Nowhere (0)")]
+    return spark.createDataFrame(rows, "station string, has_rides boolean")
+
+
 @query("year_domain", with_ctes("""
 SELECT DISTINCT CAST(year(ts) AS INTEGER) AS year FROM od WHERE year(ts) IS NOT NULL""", "od"))
 def year_domain(spark, sf_dir):

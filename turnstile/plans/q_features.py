@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from turnstile.functions import numeric
+from turnstile.functions.text import has_prefix
 from turnstile.operators import stats, features
 from turnstile.operators.ranking import with_ts
 from turnstile.plans.q_weather import enriched
@@ -42,6 +43,18 @@ def calendar_features(spark, sf_dir):
     return df.select("ride_id", "hour", "day_of_week", "month", "is_weekend", "is_holiday")
 
 
+@query("calendar_features_past", with_ctes("""
+SELECT ride_id, CAST(ts AS DATE) AS date, CASE WHEN CAST(ts AS DATE) IN (SELECT date FROM holidays) THEN 1 ELSE 0 END AS is_holiday,
+       (SELECT min(name) FROM holidays h WHERE h.date = CAST(od_past.ts AS DATE)) AS holiday
+FROM od_past""", "od_past", more=holiday_ctes("od_past")))
+def calendar_features_past(spark, sf_dir):
+    """The orders 27 years earlier, across the change of the holiday law: the rules of each year hold."""
+    past = _orders(spark, sf_dir).select("ride_id", F.add_months(F.to_date("ts"), -27 * 12).cast("timestamp_ntz").alias("ts"))
+    df = features.calendar_features(past).select("ride_id", F.to_date("ts").alias("date"), "is_holiday")
+    names = features.holidays_for(past).groupBy("date").agg(F.min("name").alias("holiday"))
+    return df.join(names, "date", "left").select("ride_id", "date", "is_holiday", "holiday")
+
+
 @query("ridership_lags", with_ctes("""
 SELECT ride_id, station_complex, ridership,
        lag(ridership, 1) OVER w AS ridership_lag1, lag(ridership, 24) OVER w AS ridership_lag24
@@ -104,6 +117,27 @@ def category_dictionary(spark, sf_dir):
     return features.category_dictionary(rides(spark, sf_dir, "events"), CATEGORICAL_FEATURES)
 
 
+@query("feature_name_counts", with_ctes(f"""
+SELECT "column", CAST(count(*) AS BIGINT) AS n_features, min(feature_name) AS first_feature
+FROM (SELECT "column", {_SLUG_SQL} AS feature_name FROM ({_DICT_SQL}) dd) n
+WHERE feature_name LIKE 'station_complex\\_Stop%' ESCAPE '\\' OR feature_name LIKE 'fare\\_class\\_category\\_OMNY%' ESCAPE '\\'
+GROUP BY "column\"""", "rides_events"))
+def feature_name_counts(spark, sf_dir):
+    """Feature names that begin with one of two prefixes, per column."""
+    d = features.category_dictionary(rides(spark, sf_dir, "events"), CATEGORICAL_FEATURES)
+    wanted = has_prefix("feature_name", "station_complex_Stop") | has_prefix("feature_name", "fare_class_category_OMNY")
+    return d.filter(wanted).groupBy("column").agg(F.count(F.lit(1)).alias("n_features"), F.min("feature_name").alias("first_feature"))
+
+
+@query("unique_columns", with_ctes("""
+SELECT ride_id, station_complex, ridership, borough FROM rides_events""", "rides_events"))
+def unique_columns(spark, sf_dir):
+    """Of equally named columns the first is kept."""
+    r = rides(spark, sf_dir, "events")
+    doubled = r.select("ride_id", "station_complex", "ridership", F.lit(-1).alias("ride_id"), "borough", F.upper("borough").alias("borough"))
+    return features.unique_columns(doubled)
+
+
 @query("one_hot_columns", with_ctes("SELECT r.ride_id, " + ", ".join(
     f"d{i}.category_index AS {c}_index, d{i}.feature_name AS {c}_feature" for i, c in enumerate(CATEGORICAL_FEATURES))
     + " FROM rides_events r " + " ".join(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnstile import fixtures
 from turnstile.operators import daily, ranking, weather
 from turnstile.plans.q_daily import DAILY_SQL
 from turnstile.plans.q_ranking import PER_BOROUGH_K, RANK_YEARS, TOP_K
@@ -49,11 +50,6 @@ def csv_ingest_top_stations(spark, sf_dir):
     return ranking.top_stations(ranking.in_years(ranking.with_ts(raw), RANK_YEARS), TOP_K)
 
 
-# Column order of the published ridership files.
-PUBLISHED_LAYOUT = ["transit_timestamp", "transit_mode", "station_complex_id", "station_complex", "borough",
-                    "payment_method", "fare_class_category", "ridership", "latitude", "longitude", "Georeference"]
-
-
 @query("csv_published_layout", with_ctes("""
 SELECT station_complex_id, station_complex, borough, CAST(count(*) AS BIGINT) AS n_rows,
        CAST(sum(ridership) AS BIGINT) AS total_ridership, min(latitude) AS latitude, min(longitude) AS longitude,
@@ -62,14 +58,35 @@ FROM rides_events GROUP BY station_complex_id, station_complex, borough""", "rid
 def csv_published_layout(spark, sf_dir):
     """Every row of a CSV in the published layout (other order, Georeference, no id) is read (A1)."""
     path = scratch_path(spark, "rides_published")
-    point = F.format_string("POINT (%s %s)", F.col("longitude").cast("string"), F.col("latitude").cast("string"))
-    files.write_csv(rides(spark, sf_dir, "events").withColumn("Georeference", point).select(*PUBLISHED_LAYOUT), path)
+    files.write_csv(fixtures.published(rides(spark, sf_dir, "events")), path)
     back = files.read_ridership_csv(spark, path)
     return back.groupBy("station_complex_id", "station_complex", "borough").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("ridership").alias("total_ridership"), F.min("latitude").alias("latitude"),
         F.min("longitude").alias("longitude"), F.min("transit_timestamp").alias("first_timestamp"))
 
 
+@query("csv_mixed_headers", with_ctes("""
+SELECT station_complex, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(ridership) AS BIGINT) AS total_ridership,
+       CAST(count(*) FILTER (WHERE ride_id % 3 <> 1) AS BIGINT) AS n_points, min(transit_timestamp) AS first_timestamp, max(longitude) AS longitude
+FROM rides_events WHERE NOT (ride_id % 3 = 2 AND ride_id % 7 = 0) GROUP BY station_complex""", "rides_events"))
+def csv_mixed_headers(spark, sf_dir):
+    """Files of two layouts and malformed lines in one read: every good row is there under its own columns (A1)."""
+    back = files.read_ridership_csv(spark, fixtures.land_mixed_csv(rides(spark, sf_dir, "events"), scratch_path(spark, "rides_mixed")))
+    return back.groupBy("station_complex").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("ridership").alias("total_ridership"), F.count("Georeference").alias("n_points"),
+        F.min("transit_timestamp").alias("first_timestamp"), F.max("longitude").alias("longitude"))
+
+
+@query("csv_rejected_lines", with_ctes("""
+SELECT 'broken' AS layout, CAST(count(*) AS BIGINT) AS n_lines, min(transit_timestamp) AS first_timestamp
+FROM rides_events WHERE ride_id % 3 = 2 AND ride_id % 7 = 0""", "rides_events"))
+def csv_rejected_lines(spark, sf_dir):
+    """Malformed lines by the folder that they came from (A1)."""
+    lines = files.rejected_csv_lines(spark, fixtures.land_mixed_csv(rides(spark, sf_dir, "events"), scratch_path(spark, "rides_mixed")))
+    return lines.groupBy(F.regexp_extract("file", "layout=([a-z]+)", 1).alias("layout")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.min(F.substring_index("line", ",", 1)).alias("first_timestamp"))
+
+
 EXPORT_SCHEMA = T.StructType([
     T.StructField("station_complex", T.StringType()),
     T.StructField("total_ridership", T.LongType()),
@@ -99,13 +116,11 @@ SELECT weather_ts, temperature_C, precipitation_mm, "humidity_%", station_id, la
 FROM weather_typed""", "weather_typed"))
 def weather_csv_round_trip(spark, sf_dir):
     """Weather text landed as one CSV folder per half-month, read back as one union scan."""
-    w = weather.derive_weather(ranking.with_ts(rides(spark, sf_dir, "events")))
+    w = fixtures.derive_weather(ranking.with_ts(rides(spark, sf_dir, "events")))
     period = F.concat(F.substring("time", 1, 7), F.when(F.substring("time", 9, 2).cast("int") <= 15, "a").otherwise("b"))
     base = scratch_path(spark, "weather_csv")
-    keyed = w.withColumn("period", period)
-    files.write_csv(keyed, base, by=["period"])
-    periods = [f"{base}/period={p}" for p in sorted(r[0] for r in keyed.select("period").distinct().collect())]
-    back = files.read_weather_csv(spark, periods)
+    files.write_csv(w.withColumn("period", period), base, by=["period"])
+    back = files.read_weather_csv(spark, [f"{base}/period=*a", f"{base}/period=*b"])
     return weather.typed_weather(back).select("weather_ts", "temperature_C", "precipitation_mm", "`humidity_%`",
                                               "station_id", "latitude", "longitude")
 
@@ -114,6 +129,6 @@ def weather_csv_round_trip(spark, sf_dir):
 def streaming_daily_ridership(spark, sf_dir):
     """The daily aggregate kept by a Structured Streaming query over landed files."""
     landing, out, ckpt = (scratch_path(spark, n) for n in ("landing", "daily_stream_out", "daily_stream_ckpt"))
-    streaming_daily.land_files(rides(spark, sf_dir, "events"), landing)
+    fixtures.land_files(rides(spark, sf_dir, "events"), landing)
     streaming_daily.run_daily(spark, landing, out, ckpt, files_per_trigger=2)
     return spark.read.parquet(out).select(*daily.DAILY_KEYS, "daily_ridership")

@@ -4,7 +4,7 @@ reduced_station_rows, reduction_counts)."""
 from __future__ import annotations
 
 
-from turnstile.operators import ranking
+from turnstile.operators import profile, ranking
 from turnstile.plans.registry import query
 from turnstile.plans.sqlparts import with_ctes
 from turnstile.sources.adapters import rides
@@ -79,3 +79,11 @@ sets AS (
 per_station AS (SELECT station_complex, count(*) AS n FROM od WHERE year IN (1996, 1997) GROUP BY station_complex)"""))
 def reduction_counts(spark, sf_dir):
     return ranking.reduction_counts(_ranked_orders(spark, sf_dir), REDUCTION_SETS)
+
+
+@query("ride_preview", with_ctes("""
+SELECT ride_id, transit_timestamp, station_complex, ridership FROM rides_events ORDER BY ride_id LIMIT 5""", "rides_events"))
+def ride_preview(spark, sf_dir):
+    """The first rows by id, as a reader looks at them."""
+    r = rides(spark, sf_dir, "events").select("ride_id", "transit_timestamp", "station_complex", "ridership")
+    return profile.preview(r.orderBy("ride_id"))

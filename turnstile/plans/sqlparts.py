@@ -38,6 +38,8 @@ CTES: dict[str, str] = {
   SELECT *, strptime(transit_timestamp, '%m/%d/%Y %I:%M:%S %p') AS ts,
          CAST(year(strptime(transit_timestamp, '%m/%d/%Y %I:%M:%S %p')) AS INTEGER) AS year
   FROM rides_events""",
+    "od_past": """
+  SELECT ride_id, CAST(CAST(ts AS DATE) - INTERVAL 27 YEAR AS TIMESTAMP) AS ts FROM od""",
     "od": """
   SELECT *, strptime(transit_timestamp, '%m/%d/%Y %I:%M:%S %p') AS ts,
          CAST(year(strptime(transit_timestamp, '%m/%d/%Y %I:%M:%S %p')) AS INTEGER) AS year
@@ -48,6 +50,7 @@ CTES: dict[str, str] = {
 DEPS: dict[str, list[str]] = {
     "ev": ["rides_events"],
     "od": ["rides_orders"],
+    "od_past": ["od"],
 }
 
 
@@ -115,30 +118,35 @@ register("enriched", """
     ON ev.longitude = w.longitude AND ev.latitude = w.latitude AND ev.ts = w.weather_ts""", ["ev", "weather_typed"])
 
 
-# --- holidays (same rules as functions/calendar.py) ---------------------------------------
+# --- holidays (written down apart from functions/calendar.py) -----------------------------
+# Name, month, day of month, ISO weekday (Monday 1), its place in the month (9 = last), first and last year.
+_HOLIDAY_RULES = """
+    ('New Year''s Day', 1, 1, NULL, NULL, 1871, 9999), ('Independence Day', 7, 4, NULL, NULL, 1871, 9999),
+    ('Christmas Day', 12, 25, NULL, NULL, 1871, 9999), ('Juneteenth National Independence Day', 6, 19, NULL, NULL, 2021, 9999),
+    ('Armistice Day', 11, 11, NULL, NULL, 1938, 1953), ('Veterans Day', 11, 11, NULL, NULL, 1954, 1970),
+    ('Veterans Day', 11, 11, NULL, NULL, 1978, 9999), ('Veterans Day', 10, NULL, 1, 4, 1971, 1977),
+    ('Memorial Day', 5, 30, NULL, NULL, 1888, 1970), ('Memorial Day', 5, NULL, 1, 9, 1971, 9999),
+    ('Washington''s Birthday', 2, 22, NULL, NULL, 1880, 1970), ('Washington''s Birthday', 2, NULL, 1, 3, 1971, 9999),
+    ('Martin Luther King Jr. Day', 1, NULL, 1, 3, 1986, 9999), ('Labor Day', 9, NULL, 1, 1, 1894, 9999),
+    ('Columbus Day', 10, NULL, 1, 2, 1971, 9999), ('Thanksgiving', 11, NULL, 4, 4, 1942, 9999),
+    ('Thanksgiving', 11, NULL, 4, 3, 1940, 1941), ('Thanksgiving', 11, NULL, 4, 4, 1939, 1939),
+    ('Thanksgiving', 11, NULL, 4, 9, 1871, 1938)"""
+
+
 def holiday_ctes(source: str) -> str:
     """``years``, ``holiday_rules``, ``holiday_actual``, ``holidays`` over the years of ``source``."""
-    from turnstile.functions.calendar import US_FEDERAL_HOLIDAYS
-
-    def lit(v):
-        if v is None:
-            return "NULL"
-        if isinstance(v, str):
-            return "'" + v.replace("'", "''") + "'"
-        return str(v)
-    values = ",\n    ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in US_FEDERAL_HOLIDAYS)
     return f"""years AS (
   SELECT unnest(range(min(year(ts)) - 1, max(year(ts)) + 2)) AS y FROM {source}),
 holiday_rules AS (
-  SELECT * FROM (VALUES
-    {values}) r(name, month, day, wd, nth, since)),
+  SELECT name, month, day, iso - 1 AS wd, CASE WHEN nth = 9 THEN -1 ELSE nth END AS nth, first_year, last_year
+  FROM (VALUES {_HOLIDAY_RULES}) r(name, month, day, iso, nth, first_year, last_year)),
 holiday_actual AS (
   SELECT name, day IS NOT NULL AS fixed,
          CASE WHEN day IS NOT NULL THEN make_date(y, month, day)
               WHEN nth = -1 THEN CAST(last_day(make_date(y, month, 1)) - CAST((isodow(last_day(make_date(y, month, 1))) - 1 - wd + 7) % 7 AS INTEGER) AS DATE)
               ELSE CAST(make_date(y, month, 1) + CAST((wd - (isodow(make_date(y, month, 1)) - 1) + 7) % 7 + (nth - 1) * 7 AS INTEGER) AS DATE)
          END AS date
-  FROM years, holiday_rules WHERE y >= since),
+  FROM years JOIN holiday_rules ON y BETWEEN first_year AND last_year),
 holidays AS (
   SELECT date, name FROM holiday_actual
   UNION ALL

@@ -39,20 +39,22 @@ WEATHER_TEXT = T.StructType([
 
 WEATHER_MEASURES = ["temperature_C", "precipitation_mm", "humidity_%"]
 
-# One landed hourly-weather reply (with the request's station and start date):
-# parallel arrays under "hourly".
-WEATHER_REPLY = T.StructType([
-    T.StructField("station_id", T.LongType()),
-    T.StructField("start_date", T.StringType()),
+# Body of one landed hourly-weather reply: parallel arrays under "hourly", or
+# an error; its station, start date and status are in the folder names.
+WEATHER_REPLY_BODY = T.StructType([
     T.StructField("latitude", T.DoubleType()),
     T.StructField("longitude", T.DoubleType()),
-    T.StructField("status", T.IntegerType()),
+    T.StructField("reason", T.StringType()),
     T.StructField("hourly", T.StructType([
         T.StructField("time", T.ArrayType(T.StringType())),
         T.StructField("temperature_2m", T.ArrayType(T.DoubleType())),
         T.StructField("precipitation", T.ArrayType(T.DoubleType())),
         T.StructField("relative_humidity_2m", T.ArrayType(T.DoubleType())),
     ])),
+    T.StructField("unreadable", T.StringType()),
+    T.StructField("status", T.IntegerType()),
+    T.StructField("station_id", T.LongType()),
+    T.StructField("start_date", T.StringType()),
 ])
 
 # Scoring request, in the units a user types them.

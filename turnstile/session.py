@@ -15,21 +15,6 @@ from pyspark.sql import SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-# Settings for a large cluster (about 100 TB of input): start with many shuffle
-# partitions and let AQE coalesce them to ~256 MB each and split skewed ones;
-# read splits of 256 MB; broadcast only tables AQE measures under 64 MB.
-CLUSTER_CONF = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
-    "spark.sql.shuffle.partitions": "20000",
-    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
-    "spark.sql.parquet.filterPushdown": "true",
-}
-
-
 def build_session(master: str | None = None, shuffle_partitions: int = 8,
                   app: str = "turnstile", extra: dict | None = None) -> SparkSession:
     """Local session with AQE on, UI off and a UTC session zone."""

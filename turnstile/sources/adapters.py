@@ -13,11 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile.functions.timefmt import format_transit_ts, hour_floor
-from turnstile.operators.joins import broadcast_if_bounded
 from turnstile.schemas import RIDE_COLUMNS
 from turnstile.session import materialize, scratch_path
 from turnstile.sources import files
-from turnstile.sources.tables import read_table, table_path
+from turnstile.sources.tables import read_table
 
 # Adapter constants.
 N_EVENT_STATIONS = 25
@@ -64,12 +63,9 @@ def rides_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders",
                         ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])
     customer = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey"])
-    # nation and region are tiny; their size is checked before broadcasting.
-    nation = broadcast_if_bounded(read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"]),
-                                  key=table_path(sf_dir, "nation"))
-    region = broadcast_if_bounded(read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"]),
-                                  key=table_path(sf_dir, "region"))
-    # orders x customer is fact x large dimension: a shuffle join on the key.
+    nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    region = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"])
+    # Spark picks each join from the tables' sizes: nation and region are tiny, orders x customer is a shuffle join.
     j = (orders.join(customer, orders.o_custkey == customer.c_custkey)
          .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
          .join(region, F.col("n_regionkey") == F.col("r_regionkey")))

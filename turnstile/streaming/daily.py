@@ -28,9 +28,10 @@ def run_daily(spark: SparkSession, landing_dir: str, output_dir: str, checkpoint
               files_per_trigger: int | None = None) -> None:
     """Process every landed file (``availableNow``) and leave the full daily table in ``output_dir``.
 
-    ``complete`` output re-emits the whole (small) aggregate each micro-batch;
-    ``foreachBatch`` overwrites the Parquet table so readers always see one
-    consistent version.
+    ``complete`` output re-emits the whole (small) aggregate each micro-batch
+    and ``foreachBatch`` overwrites the Parquet table with it.  The table is
+    whole when this returns; while a batch is written, readers may find it
+    empty or in part.
     """
     agg = daily_ridership(with_ts(ride_stream(spark, landing_dir, files_per_trigger)))
 
@@ -45,12 +46,6 @@ def run_daily(spark: SparkSession, landing_dir: str, output_dir: str, checkpoint
     q.awaitTermination()
 
 
-def land_files(rides: DataFrame, landing_dir: str, n_files: int = 4) -> None:
-    """Write rides as ``n_files`` Parquet files in time order (a stand-in for arriving data)."""
-    (rides.select(*[F.col(f.name) for f in RAW_RIDES.fields])
-     .repartitionByRange(n_files, "ride_id").write.mode("overwrite").parquet(landing_dir))
-
-
 def wallclock_instant(ts_ntz) -> "F.Column":
     """TIMESTAMP_NTZ wall clock -> TIMESTAMP instant at the same UTC wall clock.
 
