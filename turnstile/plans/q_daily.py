@@ -164,10 +164,10 @@ def selector_domains(spark, sf_dir):
 
 
 @query("borough_stations", with_ctes("""
-SELECT DISTINCT station_complex AS value FROM od WHERE borough = 'REGION_2'""", "od"))
+SELECT DISTINCT station_complex AS value FROM od WHERE borough = 'ASIA'""", "od"))
 def borough_stations(spark, sf_dir):
     """The stations offered once a borough is chosen."""
-    return daily.stations_in(daily.selector_domains(_orders(spark, sf_dir)), "REGION_2")
+    return daily.stations_in(daily.selector_domains(_orders(spark, sf_dir)), "ASIA")
 
 
 @query("series_with_rides", with_ctes(f"""

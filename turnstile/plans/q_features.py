@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnstile.functions import numeric
@@ -27,6 +28,18 @@ def _events(spark, sf_dir):
     return with_ts(rides(spark, sf_dir, "events"))
 
 
+# Feature tables by application and folder: written once, read by every query on them.
+_FEATURES: dict[tuple[str, str], DataFrame] = {}
+
+
+def feature_table(spark, sf_dir):
+    """Features of the enriched events before scaling, outliers cut, label added."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FEATURES:
+        _FEATURES[key] = features.feature_frame(enriched(spark, sf_dir), scale=False)
+    return _FEATURES[key]
+
+
 @query("holiday_calendar", with_ctes("SELECT date, name FROM holidays", "od", more=holiday_ctes("od")))
 def holiday_calendar(spark, sf_dir):
     return features.holidays_for(_orders(spark, sf_dir))
@@ -187,7 +200,7 @@ def iqr_fences_orders(spark, sf_dir):
 @query("scaled_features", with_ctes(f"SELECT ride_id, {_FEATURE_SQL_COLS} FROM feat_scaled", "enriched",
                                     more=feature_ctes("enriched")))
 def scaled_features(spark, sf_dir):
-    df = features.feature_frame(enriched(spark, sf_dir))
+    df = features.scale_columns(feature_table(spark, sf_dir))
     return df.select("ride_id", *_rounded(NUMERIC_FEATURES + ["label"]))
 
 
@@ -199,7 +212,7 @@ SELECT CAST(count(label) AS BIGINT) AS count, (round(avg(label), {ROUND}) + 0.0)
        (round(avg(ridership), {ROUND}) + 0.0) AS mean_ridership
 FROM feat_scaled""", "enriched", more=feature_ctes("enriched")))
 def target_summary(spark, sf_dir):
-    df = features.feature_frame(enriched(spark, sf_dir), scale=False)
+    df = feature_table(spark, sf_dir)
     q = [F.lit(x).cast("double") for x in stats.exact_quantiles(df, "label", [0.25, 0.5, 0.75])]
     return df.agg(
         F.count("label").cast("long").alias("count"), F.round(F.avg("label"), ROUND).alias("mean"),
