@@ -121,7 +121,7 @@ def test_units_do_not_cut_words(text):
     whole = Tokenizer.from_file(PATH) if not hasattr(test_units_do_not_cut_words, "tok") else test_units_do_not_cut_words.tok
     test_units_do_not_cut_words.tok = whole
     block = bpe.Block(PATH)
-    block.add([text])
+    block.add(pa.array([text]))
     pos, _ = block.positions()
     words = list(block.words)
     assert [t for p in pos for t in bpe.encode_words([words[p]], PATH)[0].tolist()] == whole.encode(text, add_special_tokens=False).ids

@@ -12,9 +12,11 @@ from __future__ import annotations
 import functools
 import itertools
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 import zstandard
@@ -25,6 +27,9 @@ from tokenizers import Tokenizer
 
 from turnstile.llm import textarrays as ta
 
+# A task has one core; the library's own threads would only take those of other tasks.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 # The characters with the Unicode property White_Space, and the word pattern of byte-level BPE.
 _WS = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS_PER_CALL = 256
@@ -77,6 +82,16 @@ def units(text: str) -> list[str]:
     return _UNIT.findall(text)
 
 
+def _small_unique(key: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` with its inverse for numbers below ``bound``, without sorting them."""
+    there = np.zeros(bound, bool)
+    there[key] = True
+    distinct = np.flatnonzero(there)
+    place = np.zeros(bound, np.int64)
+    place[distinct] = np.arange(len(distinct))
+    return distinct, place[key]
+
+
 class _Numbers(dict):
     """Numbers new keys in order of arrival."""
 
@@ -105,7 +120,7 @@ class Block:
         edges = np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
         size = np.diff(np.searchsorted(ends, edges, "right"), prepend=0)
         number = self.words
-        flat = np.fromiter((number[w] for w in words), np.int32, len(words))
+        flat = np.fromiter(map(number.__getitem__, words), np.int32, len(words))
         if len(joined) < len(fresh):
             others = [[u] if u in self.added_ids else _WORD.findall(u) for u, p in zip(fresh, plain) if not p]
             other_flat = np.array([number[w] for x in others for w in x], np.int32)
@@ -120,20 +135,56 @@ class Block:
         self.unit_words.append(flat)
         self.unit_sizes.append(size)
 
-    def add(self, texts: list[str]) -> None:
-        known, flat, lengths = self.units, [], []
-        done = len(known)
-        for text in texts:
-            if self.added is not None and any(x in text for x in self.added_ids):
-                parts = [u for x in self.added.split(text) for u in ([x] if x in self.added_ids else units(x))]
-            else:
-                parts = units(text)
-            flat += [known[u] for u in parts]
-            lengths.append(len(parts))
-        self.stream.append(np.array(flat, np.int32))
-        self.lengths.append(np.array(lengths, np.int64))
+    def add(self, texts: pa.Array) -> None:
+        """Numbers the units of some texts (null: empty).
+
+        Texts whose units are cut by blanks alone are split and numbered as
+        Arrow columns; only distinct units become Python strings.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        known, done = self.units, len(self.units)
+        odd = pc.match_substring_regex(texts, _WS_BEFORE_BLANK.pattern)
+        for token in self.added_ids:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        odd = odd.to_numpy(zero_copy_only=False)
+        flat, sizes = self._cut_by_blanks(texts.filter(pa.array(~odd)))
+        if odd.any():
+            parts = [[known[u] for u in self._cut(t)] for t in texts.filter(pa.array(odd)).to_pylist()]
+            all_sizes = np.empty(len(texts), np.int64)
+            all_sizes[~odd], all_sizes[odd] = sizes, [len(x) for x in parts]
+            whose = np.repeat(odd, all_sizes)
+            merged = np.empty(len(whose), np.int32)
+            merged[~whose], merged[whose] = flat, np.array([u for x in parts for u in x], np.int32)
+            flat, sizes = merged, all_sizes
+        self.stream.append(flat)
+        self.lengths.append(sizes)
         self._split_units(list(itertools.islice(reversed(known), len(known) - done))[::-1])
 
+    def _cut(self, text: str) -> list[str]:
+        if self.added is None:
+            return units(text)
+        return [u for x in self.added.split(text) for u in ([x] if x in self.added_ids else units(x))]
+
+    def _cut_by_blanks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Unit numbers of texts in which no white space stands before a blank, and units per text."""
+        pieces = pc.split_pattern(texts, " ")
+        sizes = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = pieces.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.cumsum(sizes) - sizes                     # every text has a piece; its first one has no blank before it
+        leads = np.zeros(len(code), bool)
+        leads[first] = True
+        key = code * 2 + leads
+        distinct, place = _small_unique(key, 2 * len(coded.dictionary))
+        strings, lead = coded.dictionary.take(pa.array(distinct // 2)), (distinct & 1).astype(bool)
+        known, number = self.units, np.empty(len(distinct), np.int32)
+        inner = pc.binary_join_element_wise(pa.scalar(" ", strings.type), strings.filter(pa.array(~lead)), pa.scalar("", strings.type))
+        number[~lead] = np.fromiter(map(known.__getitem__, inner.to_pylist()), np.int32, len(inner))
+        number[lead] = [known[s] if s else -1 for s in strings.filter(pa.array(lead)).to_pylist()]
+        flat = number[place]
+        sizes[flat[first] < 0] -= 1                          # a text that begins with a blank, or is empty
+        return flat[flat >= 0], sizes
+
     def positions(self) -> tuple[np.ndarray, np.ndarray]:
         """Word positions of all documents end to end, and words per document."""
         flat = np.concatenate(self.stream) if self.stream else np.zeros(0, np.int32)
@@ -161,7 +212,7 @@ def _blocks(batches, path):
         block = Block(path)
         _, offs = ta.text_buffer(b.column(1))
         for i, j in ta.chunks(offs, 4 << 20):
-            block.add([t or "" for t in b.column(1).slice(i, j - i).to_pylist()])
+            block.add(b.column(1).slice(i, j - i))
         seen = ids.fill_null(-1).to_numpy(zero_copy_only=False).tobytes()
         yield xxhash.xxh64_intdigest(seen, seed=(task << 20) + k) - (1 << 63), ids, block
 

@@ -22,6 +22,8 @@ from turnstile.llm import bpe
 from turnstile.llm import textarrays as ta
 from turnstile.llm.scratch import Scratch
 
+SPLIT_BYTES = 16 << 20  # text split and numbered at once; a longer document stands alone
+CUT_BYTES = 4 << 20     # text whose ids are laid out at once
 RANK_ROWS = 1000        # rows ranked together
 RANK_GROUPS = 100_000   # groups of a length at most: larger inputs rank more rows together
 
@@ -34,8 +36,8 @@ def _pieces(path, window, end_id, keep_ids):
             block = bpe.Block(path)
             done = 0
             start = size = values = np.zeros(0, np.int64)
-            for i, j in ta.chunks(offs, 4 << 20):
-                block.add([t or "" for t in b.column(1).slice(i, j - i).to_pylist()])
+            for i, j in ta.chunks(offs, SPLIT_BYTES):
+                block.add(b.column(1).slice(i, j - i))
                 pos, n_words = block.positions()
                 block.stream, block.lengths = [], []
                 fresh = list(itertools.islice(reversed(block.words), len(block.words) - done))[::-1]
@@ -44,7 +46,9 @@ def _pieces(path, window, end_id, keep_ids):
                 start = np.concatenate([start, len(values) + np.cumsum(n) - n])
                 size = np.concatenate([size, n])
                 values = np.concatenate([values, coded])
-                yield _cut(ids.slice(i, j - i), pos, n_words, start, size, values, window, end_id, keep_ids)
+                edge = np.concatenate([[0], np.cumsum(n_words)])
+                for k, m in ta.chunks(offs[i:j + 1] - offs[i], CUT_BYTES):
+                    yield _cut(ids.slice(i + k, m - k), pos[edge[k]:edge[m]], n_words[k:m], start, size, values, window, end_id, keep_ids)
     return run
 
 
