@@ -247,3 +247,23 @@ def test_license_scan_finds_every_notice(spark, edge_docs, no_docs):
     assert licenses.scan(df, templates={}).count() == 0
     whole = licenses.scan(df, templates={"w": " ".join(f"w{k}" for k in range(300, 420))}).collect()
     assert len({r.doc_id for r in whole}) >= len(rows) - 5 and all(r.containment >= 0.8 for r in whole)
+
+def test_rows_without_an_id_are_bridges(spark):
+    """1 ~ none ~ 2, with no link between 1 and 2 themselves."""
+    words = [f"w{k}" for k in range(120)]
+    left, right = ["a", "b", "c", "d"] + words[4:], words[:-4] + ["x", "y", "z", "q"]
+    df = spark.createDataFrame([(1, " ".join(left)), (None, " ".join(words)), (2, " ".join(right)), (None, "none has this text at all")],
+                               "doc_id long, text string")
+    for shown in (df, df.withColumn("doc_id", df.doc_id)):
+        got = ngram_join.jaccard_classes(shown, 3, (9, 10)).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (None, 1), (None, None)}
+
+
+def test_memory_is_released_and_results_stay(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(20)], "doc_id long, text string")
+    from turnstile.llm import textarrays
+    textarrays._powers(textarrays.CHUNK_BYTES * 3)
+    textarrays.release()
+    assert not textarrays._POWERS
+    assert packing.pack(docs, PATH, window=64, end_id=0).agg(F.sum("length")).first()[0] == sum(
+        len(Tokenizer.from_file(PATH).encode(f"text {i} " * 50, add_special_tokens=False).ids) + 1 for i in range(20))

@@ -226,7 +226,7 @@ def _words_of(path):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some, pa.string()), pa.array(np.full(len(some), name)),
                      pa.array(np.arange(a, a + len(some), dtype=np.int32))], names=["word", "block", "at"])
-    return run
+    return ta.tidy(run)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -247,7 +247,7 @@ def _documents_of(path):
                 [pa.array([name]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
                  pa.array([_planes(sizes)]), pa.array([_planes(flat)])],
                 names=["block", "doc_ids", "sizes", "positions"])
-    return run
+    return ta.tidy(run)
 
 
 def encode_words(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -285,14 +285,14 @@ def _encode_sorted(path):
                 last = b.column(0)[-1].as_py()
                 last_ids = table[last]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), packed.take(coded.indices)], names=["block", "at", "ids"])
-    return run
+    return ta.tidy(run)
 
 
 def _join_back(path, decoded):
     """Ids of a block's documents from the ids of its words; with their texts if asked for."""
     def run(coded: pa.Table, docs: pa.Table) -> pa.Table:
         return _documents(coded, docs, path, decoded)
-    return run
+    return ta.tidy_group(run)
 
 
 def _documents(coded: pa.Table, docs: pa.Table, path: str, decoded: bool) -> pa.Table:

@@ -210,7 +210,7 @@ def _emit_pairs(n_total: int, parts: int):
             rows["doc_ids"].append(None)
         return pa.table(rows, schema=pa.schema([("block", pa.int64()), ("part", pa.int32()), ("body", pa.binary()),
                                                 ("docs", pa.binary()), ("doc_ids", pa.list_(pa.int64()))]))
-    return run
+    return ta.tidy_group(run)
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +267,7 @@ def _count_part(n_total: int, d1: np.ndarray):
         out["hot"].append([{"h": int(hs[i]), "s": [float(s[i]) for s in stats]} for i in np.searchsorted(hs, split)])
         out["totals"].append([int((count == r).sum()) for r in range(GT_K + 2)])
         return pa.table(out, schema=_ANSWER)
-    return run
+    return ta.tidy_group(run)
 
 
 _ANSWER = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("body", pa.binary()),
@@ -312,7 +312,7 @@ def _score_block(n_total: int, n_types: int, parts: int, d1, d2, unknown: float,
                          "n_known": pa.array(np.add.reduceat(known[flat], starts, dtype=np.int64) if len(flat) else sizes),
                          "base_score": pa.array(np.add.reduceat(base, starts) if len(flat) else base),
                          "score": pa.array(np.add.reduceat(p, starts) if len(flat) else p)})
-    return run
+    return ta.tidy_group(run)
 
 
 def score(docs: DataFrame, is_train, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,9 +334,9 @@ def score(docs: DataFrame, is_train, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select("doc_id", "text", F.coalesce(is_train, F.lit(True)).alias("train"))
 
     # unigram table: every block's distinct words, dealt by word
-    dealt = rows.mapInArrow(_word_rows, "w long, block long, at int, n long").repartition("w")
+    dealt = rows.mapInArrow(ta.tidy(_word_rows), "w long, block long, at int, n long").repartition("w")
     counted = dealt.withColumn("c", F.sum("n").over(Window.partitionBy("w"))).sortWithinPartitions("w")
-    words = scratch.write(counted.mapInArrow(_number, "block long, at int, id long, c long, is_first boolean"), "unigrams")
+    words = scratch.write(counted.mapInArrow(ta.tidy(_number), "block long, at int, id long, c long, is_first boolean"), "unigrams")
     firsts = words.where("is_first and c > 0")
     stat = firsts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), *[F.sum((F.col("c") == r).cast("long")).alias(f"n{r}") for r in range(1, GT_K + 2)],
                       F.sum((F.col("c") > GT_K).cast("long")).alias("large")).first()
@@ -349,7 +349,7 @@ def score(docs: DataFrame, is_train, id_col: str = "doc_id", text_col: str = "te
 
     # bigram table: every block's distinct pairs, dealt by history
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_total // PART_TOKENS)
-    bodies = rows.mapInArrow(_doc_rows, "block long, doc_ids array<long>, body binary")
+    bodies = rows.mapInArrow(ta.tidy(_doc_rows), "block long, doc_ids array<long>, body binary")
     asked = (words.groupBy("block").cogroup(bodies.groupBy("block"))
              .applyInArrow(_emit_pairs(n_total, parts), "block long, part int, body binary, docs binary, doc_ids array<long>"))
     asked = scratch.write(asked, "pairs")

@@ -117,11 +117,12 @@ def fit(texts: list[str], langs: list[str], landmarks_per_language: int = 64, ri
     return model
 
 
-def _predict(model: LanguageModel):
+def _predict(model: LanguageModel, text_col: str):
     def run(batches):
         tables, names = model.tables(), np.array(model.languages, object)
         for b in batches:
-            data, offs = ta.text_buffer(b.column(1))
+            column = ta.struct_field(b.column(0), text_col)
+            data, offs = ta.text_buffer(column)
             for i, j in ta.chunks(offs):
                 for a in range(i, j, ROWS):
                     e = min(j, a + ROWS)
@@ -129,12 +130,12 @@ def _predict(model: LanguageModel):
                     f = x.astype(np.float32) @ model.weights / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) + model.bias
                     p = np.exp((f - f.max(1, keepdims=True)) * model.sharpness)
                     p /= p.sum(1, keepdims=True)
-                    texts = b.column(1).slice(a, e - a).to_pylist()
+                    texts = column.slice(a, e - a).to_pylist()
                     known = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool)
                     yield pa.RecordBatch.from_arrays(
                         [b.column(0).slice(a, e - a), pa.array(np.where(known, names[p.argmax(1)], "und"), pa.string()),
                          pa.array(np.where(known, p.max(1), 0.0).astype(float))], names=["row", "lang_pred", "score"])
-    return run
+    return ta.tidy(run)
 
 
 def training_sample(docs: DataFrame, per_language: int, max_chars: int, text_col: str, lang_col: str) -> list:
@@ -164,9 +165,9 @@ def identify(docs: DataFrame, train: DataFrame, per_language: int = 400, max_cha
     gives none.  Ties go to the language that sorts first.  ``score`` is the
     predicted language's share (0 to 1).
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))         # each text goes to Python once, in its row
     sample = training_sample(train, per_language, max_chars, text_col, lang_col)
     if not sample:
         return rows.select("row", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     model = fit([r["text"] for r in sample], [r["lang"] for r in sample], landmarks_per_language)
-    return rows.mapInArrow(_predict(model), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(_predict(model, text_col), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double")

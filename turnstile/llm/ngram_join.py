@@ -128,7 +128,7 @@ def _describe(width):
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), pa.array(sizes), pa.array(a), pa.array(c)],
                     names=["doc_id", "n_shingles", "set_id", "set_check"])
-    return run
+    return ta.tidy(run)
 
 
 def _sign(width, num, den):
@@ -141,7 +141,7 @@ def _sign(width, num, den):
                 once[np.unique(a, return_index=True)[1]] = True         # copies in a chunk sign once
                 sig, of = sig[once[of]], of[once[of]]
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(a[of])], names=["sig", "id"])
-    return run
+    return ta.tidy(run)
 
 
 def _shared(batches):
@@ -183,7 +183,7 @@ def _elements(width, num, den):
                     [pa.array(a), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64))),
                      pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sketch.view(np.int64)))],
                     names=["id", "elements", "sketch"])
-    return run
+    return ta.tidy(run)
 
 
 def parity_sketches(elements: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,8 +224,8 @@ def jaccard_classes(docs: DataFrame, width: int = 3, similarity: tuple[int, int]
     than ``width`` words is one shingle of all its words; a null, empty or
     blank text has no shingles, links with nothing and is its own class.
     Rows that share an id are kept as separate rows and take part with their
-    own texts; a row with a null id belongs to the class of the rows with an
-    equal set, or is alone (component_id null).  Other columns are ignored.
+    own texts; so do rows with a null id, which belong to the class that they
+    link with and are null in ``component_id`` if it has no id.  Other columns are ignored.
     An empty table gives an empty result.  Long texts are taken whole.
     """
     num, den = similarity
@@ -243,7 +243,9 @@ def jaccard_classes(docs: DataFrame, width: int = 3, similarity: tuple[int, int]
 
     live = scratch.write(held.select("id").distinct(), "live")
     some = with_words.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(live, F.col("set_id") == F.col("id"), "left_semi")
-    sets = (texts.where("text is not null").join(some.select("doc_id"), "doc_id", "left_semi")
+    # a set is built from the text of its smallest id; rows without an id may hold sets that no other row has
+    firsts = texts.where("text is not null").join(some.select("doc_id"), "doc_id", "left_semi")
+    sets = (firsts.union(texts.where("text is not null and doc_id is null"))
             .mapInArrow(_elements(width, num, den), "id long, elements array<long>, sketch array<long>"))
     sets = scratch.write(sets.join(live, "id", "left_semi").dropDuplicates(["id"]), "sets")
 

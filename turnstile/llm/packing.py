@@ -49,7 +49,7 @@ def _pieces(path, window, end_id, keep_ids):
                 edge = np.concatenate([[0], np.cumsum(n_words)])
                 for k, m in ta.chunks(offs[i:j + 1] - offs[i], CUT_BYTES):
                     yield _cut(ids.slice(i + k, m - k), pos[edge[k]:edge[m]], n_words[k:m], start, size, values, window, end_id, keep_ids)
-    return run
+    return ta.tidy(run)
 
 
 def _cut(ids, pos, n_words, start, size, values, window, end_id, keep_ids):

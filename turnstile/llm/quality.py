@@ -221,11 +221,14 @@ def _surest(weights, offset: float, taken: np.ndarray, n: int, sure: float):
 def _scores(model: QualityModel):
     def run(batches):
         for b in batches:
-            for part, content, meta in _views(b):
+            row = b.column(0)
+            columns = [row] + [ta.struct_field(row, n) for n in ("text", "source", "lang", "n_chars")]
+            named = pa.RecordBatch.from_arrays(columns, names=["row", "text", "source", "lang", "n_chars"])
+            for part, content, meta in _views(named):
                 p, q, both = model.score(content, meta)
                 yield pa.RecordBatch.from_arrays([part["row"], pa.array(p), pa.array(q), pa.array(both)],
                                                  names=["row", "content_score", "meta_score", "score"])
-    return run
+    return ta.tidy(run)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -248,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, n_labelled: int = 4000, max_chars: i
     # at most n_labelled ids of each class, so the broadcast has a fixed bound
     picked = one.where("label = 0").orderBy("h").limit(n_labelled).union(one.where("label = 1").orderBy("h").limit(n_labelled))
     sample = (short.join(F.broadcast(picked.drop("label")), ["doc_id", "h"]).dropDuplicates(["h"])
-              .mapInArrow(_features, _FEATURES).join(F.broadcast(picked.select("h", "label")), "h")
+              .mapInArrow(ta.tidy(_features), _FEATURES).join(F.broadcast(picked.select("h", "label")), "h")
               .orderBy("h").limit(2 * n_labelled).select("label", "content", "meta").toArrow())
     label = np.array(sample.column("label").to_pylist(), float)
     pool = None
@@ -257,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, n_labelled: int = 4000, max_chars: i
         nonlocal pool
         if pool is None:
             unlabelled = one.where("label is null").select("doc_id", "h")
-            pool = scratch.write(short.mapInArrow(_features, _FEATURES).join(unlabelled, ["doc_id", "h"]).select("h", "content", "meta"), "pool")
+            pool = scratch.write(short.mapInArrow(ta.tidy(_features), _FEATURES).join(unlabelled, ["doc_id", "h"]).select("h", "content", "meta"), "pool")
         best = scratch.write(pool.mapInArrow(_surest(weights, offset, taken, n, sure), _SUREST), "surest")
         out = {}
         for v in (0, 1):
@@ -274,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, n_labelled: int = 4000, max_chars: i
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """``classify`` with a model that is fitted already."""
-    rows = _rows(docs).drop("doc_id")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))         # each text goes to Python once, in its row
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_scores(model), f"row {kind}, content_score double, meta_score double, score double")
 

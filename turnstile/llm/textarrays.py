@@ -7,6 +7,8 @@ numpy passes, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +27,53 @@ _BYTE = np.random.default_rng(20240117).integers(1, 1 << 63, 256, dtype=np.uint6
 _POWERS: list[np.ndarray] = []
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Gives freed memory back to the system; a Python worker outlives its tasks and serves other stages."""
+    if _POWERS and len(_POWERS[0]) > CHUNK_BYTES + 1:
+        _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def tidy(run):
+    """A task function over batches that releases its memory at its end."""
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return tidied
+
+
+def tidy_group(run):
+    """A function of one group that releases its memory at its end."""
+    if run.__code__.co_argcount == 1:
+        def tidied(group):
+            try:
+                return run(group)
+            finally:
+                release()
+    else:
+        def tidied(left, right):
+            try:
+                return run(left, right)
+            finally:
+                release()
+    return tidied
+
+
+def struct_field(rows: pa.StructArray, name: str) -> pa.Array:
+    """One column of rows carried as structs, found as Spark finds it: by its name in any case."""
+    names = [rows.type.field(i).name for i in range(rows.type.num_fields)]
+    at = names.index(name) if name in names else [n.lower() for n in names].index(name.lower())
+    return rows.field(at)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit mixing; equal inputs and only these give equal outputs."""
     x = x.astype(np.uint64, copy=True)
