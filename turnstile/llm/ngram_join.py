@@ -240,8 +240,6 @@ def jaccard_classes(docs: DataFrame, width: int = 3, similarity: tuple[int, int]
     signed = texts.select("doc_id", "text").mapInArrow(_sign(width, num, den), "sig long, id long")
     held = signed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_shared, "sig long, id long, first long")
     held = scratch.write(held, "held")
-    del signed
-    scratch.forget_shuffles()
 
     live = scratch.write(held.select("id").distinct(), "live")
     some = with_words.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(live, F.col("set_id") == F.col("id"), "left_semi")
@@ -250,14 +248,11 @@ def jaccard_classes(docs: DataFrame, width: int = 3, similarity: tuple[int, int]
     sets = (firsts.union(texts.where("text is not null and doc_id is null"))
             .mapInArrow(_elements(width, num, den), "id long, elements array<long>, sketch array<long>"))
     sets = scratch.write(sets.join(live, "id", "left_semi").dropDuplicates(["id"]), "sets")
-    scratch.forget_shuffles()
 
     links = scratch.write(_verified(_star_pairs(held, sets, num, den), sets, num, den), "links-star")
-    scratch.forget_shuffles()
     merged = connected_components(links)
     for share in (16, 1):
         found = scratch.write(_verified(_open_pairs(held, merged, sets, share, num, den), sets, num, den), f"links-{share}")
-        scratch.forget_shuffles()
         if not found.isEmpty():
             links = scratch.write(links.union(found), "links")
             merged = connected_components(links)

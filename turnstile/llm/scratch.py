@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, SparkSession
 
 from turnstile.session import scratch_path
@@ -26,15 +24,6 @@ class Scratch:
         self.paths[id(out)] = (out, path)
         return out
 
-    def forget_shuffles(self) -> None:
-        """Lets Spark delete the shuffle files behind tables that are written.
-
-        It deletes them once the driver has collected the plans that made
-        them, which it otherwise does when its memory happens to be full.
-        """
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             _, path = self.paths.pop(id(df))
