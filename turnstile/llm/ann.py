@@ -160,6 +160,15 @@ def build(nodes: DataFrame, largest: float, scratch: Scratch, seed: int = 7) ->
     return graph
 
 
+def both_ways(graph: DataFrame) -> DataFrame:
+    """Ways ``u, v`` of a walk: a node's neighbours, and the DEGREE nearest of those that name it.
+
+    A node that no other holds for near (a very long vector, say) is reached from its own neighbours.
+    """
+    back = _strongest(graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "near"), "u", DEGREE)
+    return graph.select("u", "v").union(back.select("u", "v")).distinct()
+
+
 def _score(batches):
     for b in batches:
         if b.num_rows:
@@ -170,7 +179,7 @@ def _score(batches):
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, entries: DataFrame, scratch: Scratch, k: int) -> DataFrame:
     """Greedy search: ``query, node, score`` of the best nodes found.
 
-    ``nodes(id, vector)``, ``queries(query, q)``, ``entries(query, node)``.
+    ``graph(u, v)``, ``nodes(id, vector)``, ``queries(query, q)``, ``entries(query, node)``.
     In each step a query expands its EXPAND best nodes that it has not
     expanded, of its best BEAM; it stops when there are none.
     """
@@ -203,40 +212,45 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     """``query_id, rank, vec_id, score``: each query's ``k`` nearest found.
 
     ``is_query`` is a condition on column ``id``.  All usable rows are indexed
-    and are candidates, but for the query's own row.  Score is the inner
-    product in double precision; ties go to the smaller id.  Rows with a null
-    id, or a vector that is null, empty, zero or holds a null or non-finite
-    component, take no part; rows that repeat an id count once (smallest
-    vector).  Only the commonest dimension is indexed.  Other columns are
-    ignored; an empty table gives none.
+    and are candidates, but for those of the query's own id.  Score is the
+    inner product in double precision; ties go to the smaller id.  Rows with a
+    null id, or a vector that is null, empty, zero or holds a null or
+    non-finite component, take no part.  Rows that repeat an id and its vector
+    count once; rows that repeat an id with other vectors are all candidates,
+    and as queries share the ``k`` places of their id.  Vectors are searched
+    among those of their own dimension, in a graph for each dimension.  Other
+    columns are ignored; an empty table gives none.
     """
     scratch = Scratch(vectors.sparkSession, "ann")
-    rows = usable(vectors, id_col, vector_col, "float").where(F.exists("vector", lambda x: x != 0))
+    rows = usable(vectors, id_col, vector_col, "float").where(F.exists("vector", lambda x: x != 0)).distinct()
     rows = scratch.write(rows.withColumn("dim", F.size("vector")), "rows")
-    dims = rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    if dims is None:
-        return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
-    rows = rows.where(F.col("dim") == dims["dim"]).drop("dim")
+    found = rows.select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).where(F.lit(False))
+    for r in rows.groupBy("dim").count().orderBy("dim").collect():          # one row per dimension
+        found = found.union(_nearest_of_one_dimension(rows.where(F.col("dim") == r["dim"]).drop("dim"), is_query, k, scratch))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
 
-    # a node for each distinct vector; only its k + 1 smallest ids can be in a result
+def _nearest_of_one_dimension(rows: DataFrame, is_query, k: int, scratch: Scratch) -> DataFrame:
+    """``query_id, vec_id, score`` of at least the ``k`` nearest found, among vectors of one dimension."""
+    # a node for each distinct vector, numbered as written; only its k + 1 smallest ids can be in a result
     member = Window.partitionBy("vector").orderBy("id")
     firsts = rows.withColumn("place", F.row_number().over(member)).where(F.col("place") <= k + 1)
-    classes = rows.groupBy("vector").agg(F.min("id").alias("node"))
-    nodes = scratch.write(classes.select(F.col("node").alias("id"), "vector"), "nodes")
+    nodes = scratch.write(rows.select("vector").distinct().select(F.monotonically_increasing_id().alias("id"), "vector"), "nodes")
+    classes = nodes.withColumnRenamed("id", "node")
     members = scratch.write(firsts.join(classes, "vector").select("node", "id"), "members")
     largest = nodes.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()[0] ** 0.5
-    graph = build(nodes.select("id", F.col("vector").alias("x")), largest, scratch)
+    graph = scratch.write(both_ways(build(nodes.select("id", F.col("vector").alias("x")), largest, scratch)), "ways")
+    # rows of the query's own id are left out at the end: one, or more where ids repeat (a beam holds no more than BEAM)
+    own = min(BEAM, rows.groupBy("id").count().agg(F.max("count")).first()[0])
 
     # queries with equal vectors walk together; they enter at their own node
     asked = rows.where(is_query).join(classes, "vector").select(F.col("id").alias("query_id"), F.col("node").alias("query"))
     asked = scratch.write(asked, "asked")
     walks = asked.select("query").distinct()
     queries = scratch.write(walks.join(nodes, F.col("query") == F.col("id")).select("query", F.col("vector").alias("q")), "queries")
-    found = scratch.write(search(graph, nodes, queries, walks.select("query", F.col("query").alias("node")), scratch, k + 1), "found")
+    found = scratch.write(search(graph, nodes, queries, walks.select("query", F.col("query").alias("node")), scratch, k + own), "found")
     found = found.join(members, "node").select("query", F.col("id").alias("vec_id"), "score")
     place = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    found = found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1).drop("place")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (asked.join(found, "query").where(F.col("vec_id") != F.col("query_id"))
-            .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    found = found.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + own).drop("place")
+    return asked.join(found, "query").where(F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", "score")

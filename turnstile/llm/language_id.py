@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from turnstile.llm import textarrays as ta
 
 ORDERS = (1, 2, 3)
-MAX_NGRAMS = 32_000          # so that n-gram numbers fit 16 bits
-ROWS = 512
+CELLS = 1 << 24              # of a presence matrix: texts at once times n-grams
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = ta._LOWER.copy()     # A-Z to a-z, other ASCII non-letters to blank
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
@@ -39,8 +38,9 @@ class LanguageModel:
 
     def tables(self) -> list[np.ndarray]:
         out, first = [], 0
+        narrow = sum(map(len, self.grams)) <= np.iinfo(np.int16).max
         for n, codes in zip(ORDERS, self.grams):
-            table = np.full(256 ** n, -1, np.int16)
+            table = np.full(256 ** n, -1, np.int16 if narrow else np.int32)
             table[codes] = np.arange(first, first + len(codes))
             first += len(codes)
             out.append(table)
@@ -72,6 +72,11 @@ def presence(data: np.ndarray, offs: np.ndarray, tables: list[np.ndarray], n_gra
     return out
 
 
+def _at_once(n_grams: int) -> int:
+    """How many texts a presence matrix holds."""
+    return max(1, min(512, CELLS // max(1, n_grams)))
+
+
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ta.text_buffer(pa.array(texts, pa.string()))
 
@@ -83,15 +88,10 @@ def fit(texts: list[str], langs: list[str], landmarks_per_language: int = 64, ri
     picked = [i for name in names for i in [k for k, x in enumerate(langs) if x == name][:landmarks_per_language]]
     data, offs = _joined([texts[i] for i in picked])
     rows = np.repeat(np.arange(len(picked)), np.diff(offs))
-    room, grams = MAX_NGRAMS, []
-    for code, row in _codes(data, rows):
-        pairs = np.unique(code.astype(np.int64) << 20 | row)
-        values, shared = np.unique(pairs >> 20, return_counts=True)
-        keep = np.sort(values[np.argsort(-shared, kind="stable")[:room]])
-        room -= len(keep)
-        grams.append(keep)
+    grams = [np.unique(code) for code, _ in _codes(data, rows)]
     model = LanguageModel(names, grams, np.zeros(0), np.zeros(0), sharpness)
-    tables, n_grams = model.tables(), MAX_NGRAMS - room
+    tables, n_grams = model.tables(), sum(map(len, grams))
+    step = _at_once(n_grams)
 
     def unit(x):
         x = x.astype(np.float32)
@@ -99,8 +99,8 @@ def fit(texts: list[str], langs: list[str], landmarks_per_language: int = 64, ri
 
     marks = unit(presence(data, offs, tables, n_grams))
     kernel = []
-    for i in range(0, len(texts), ROWS):
-        kernel.append(unit(presence(*_joined(texts[i:i + ROWS]), tables, n_grams)) @ marks.T)
+    for i in range(0, len(texts), step):
+        kernel.append(unit(presence(*_joined(texts[i:i + step]), tables, n_grams)) @ marks.T)
     kernel = np.concatenate(kernel).astype(float)
     value, vector = np.linalg.eigh((marks @ marks.T).astype(float))
     good = value > 1e-6 * value.max()
@@ -120,12 +120,13 @@ def fit(texts: list[str], langs: list[str], landmarks_per_language: int = 64, ri
 def _predict(model: LanguageModel, text_col: str):
     def run(batches):
         tables, names = model.tables(), np.array(model.languages, object)
+        step = _at_once(len(model.weights))
         for b in batches:
             column = ta.struct_field(b.column(0), text_col)
             data, offs = ta.text_buffer(column)
             for i, j in ta.chunks(offs):
-                for a in range(i, j, ROWS):
-                    e = min(j, a + ROWS)
+                for a in range(i, j, step):
+                    e = min(j, a + step)
                     x = presence(data[offs[a]:offs[e]], offs[a:e + 1] - offs[a], tables, len(model.weights))
                     f = x.astype(np.float32) @ model.weights / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)) + model.bias
                     p = np.exp((f - f.max(1, keepdims=True)) * model.sharpness)

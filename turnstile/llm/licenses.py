@@ -78,10 +78,13 @@ class Templates:
         if len(texts) > MAX_TEMPLATES:
             raise ValueError(f"at most {MAX_TEMPLATES} templates in a scan")
         self.names = sorted(n for n in texts if texts[n] is not None and re.search(r"\w", texts[n]))
-        self.sets, self.steps = [], []
+        self.sets, self.places, self.lengths, self.steps = [], [], [], []
         for name in self.names:
             h, _ = _shingles(*ta.text_buffer(pa.array([texts[name]])))
-            self.sets.append(np.unique(h))
+            values, first, times = np.unique(h, return_index=True, return_counts=True)
+            self.sets.append(values)
+            self.places.append(np.where(times == 1, first, -1))      # -1: in several places
+            self.lengths.append(len(h))
             self.steps.append(next(s for s in STRETCHES if s >= len(h)))
         if sum(map(len, self.sets)) > MAX_TEMPLATES * 100 or max(map(len, self.sets), default=0) > MAX_TEMPLATE_SHINGLES:
             raise ValueError("templates are too long for one scan")
@@ -123,6 +126,47 @@ class Templates:
                     yield int(row[w]), t, share, int(where[0]), int(where[-1]) + 1
 
 
+    def occurrences(self, h: np.ndarray, t: int, begin: int, threshold: float):
+        """(containment, first, end) of each occurrence of a template in a stretch of shingles that starts at ``begin``.
+
+        Where a shingle lies, less its place in the template, is where the
+        occurrence would start.  A new one begins where the template's places
+        go back or the start moves by half a template or more; a shingle that
+        the template repeats goes with the one before it.  Neighbouring
+        pieces that reach the threshold only together (a notice with a long
+        insertion or in another order) are one occurrence.
+        """
+        known, m = self.sets[t], len(self.sets[t])
+        slot = np.minimum(np.searchsorted(known, h), m - 1)
+        at = np.flatnonzero(known[slot] == h)
+        place = self.places[t][slot[at]]
+        cuts, start, last = [0], None, -1
+        for i in np.flatnonzero(place >= 0):
+            here = at[i] - place[i]
+            if start is not None and (place[i] <= last or abs(here - start) * 2 >= max(2, self.lengths[t])):
+                cuts.append(int(i))
+                start = None
+            start, last = here if start is None else start, place[i]
+
+        def found(i, j):
+            share = len(np.unique(slot[at[i:j]])) / m
+            return share, begin + int(at[i]), begin + int(at[j - 1]) + 1
+
+        out, open_from = [], None
+        for i, j in zip(cuts, [*cuts[1:], len(at)]):
+            one = found(i, j)
+            if one[0] >= threshold:
+                out.append(one)
+                open_from = None
+                continue
+            open_from = i if open_from is None else open_from
+            both = found(open_from, j)
+            if both[0] >= threshold:
+                out.append(both)
+                open_from = None
+        return out
+
+
 def _scan(templates: Templates, threshold: float):
     def run(batches):
         for b in batches:
@@ -134,7 +178,8 @@ def _scan(templates: Templates, threshold: float):
                 for row, t, inside, first, end in templates.matches(h, edge, threshold):
                     spans.setdefault((row, t), []).append((inside, first, end))
                 out = [(i + row, templates.names[t], inside, first, end + WIDTH - 1)
-                       for (row, t), found in sorted(spans.items()) for inside, first, end in _merge(found)]
+                       for (row, t), found in sorted(spans.items()) for _, begin, stop in _merge(found)
+                       for inside, first, end in templates.occurrences(h[edge[row] + begin:edge[row] + stop], t, begin, threshold)]
                 cols = list(zip(*out)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.float64()),
@@ -144,7 +189,7 @@ def _scan(templates: Templates, threshold: float):
 
 
 def _merge(spans):
-    """Overlapping spans of a template as one occurrence with the highest containment."""
+    """Overlapping spans of a template as one stretch with the highest containment."""
     out = []
     for inside, first, end in sorted(spans, key=lambda s: s[1]):
         if out and first < out[-1][2]:
@@ -161,11 +206,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     Words are runs of letters, digits and non-ASCII characters, A-Z
     lower-cased; a template with fewer than five words is one shingle and is
     found where a text consists of it.  Containment is the share of the
-    template's distinct five-word shingles in the window; ``end_word`` is
-    past the last word of the last shingle.  Null and empty texts have no
+    template's distinct five-word shingles in the occurrence; ``end_word`` is
+    past the last word of the last shingle.  Repeated notices are told apart
+    also where they adjoin.  A threshold under 0.8 is refused, because the
+    bands would no longer be sure to retrieve every template.  Null and empty texts have no
     rows; repeated rows and null ids stay; other columns are ignored; empty
     tables and no templates give none.  A text is read whole, chunk by chunk.
     """
+    if threshold < 0.8:
+        raise ValueError("the bands retrieve occurrences with a containment of 0.8 or more")
     ready = Templates(NOTICES if templates is None else templates)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(_scan(ready, threshold),

@@ -242,15 +242,16 @@ def fit(docs: DataFrame, labels: DataFrame, n_labelled: int = 4000, max_chars: i
     scratch = Scratch(docs.sparkSession, "quality")
     judged = (labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
               .agg((F.avg("quality") >= 0.5).cast("double").alias("label")))
-    short = _rows(docs).drop("row").where((F.length("text") <= max_chars) & F.col("doc_id").isNotNull()).withColumn("h", F.xxhash64("text"))
-    keyed = short.select("doc_id", "h").join(judged, "doc_id", "left")
-    one = keyed.groupBy("h").agg(F.min(F.struct(F.col("label").isNull().alias("u"), "doc_id", "label")).alias("x"))
-    one = scratch.write(one.select("h", "x.doc_id", "x.label"), "texts")
+    texts = _rows(docs).drop("row").where("text is not null and doc_id is not null").withColumn("h", F.xxhash64("text"))
+    keyed = texts.select("doc_id", "h", (F.length("text") > max_chars).alias("long")).join(judged, "doc_id", "left")
+    one = keyed.groupBy("h").agg(F.min(F.struct(F.col("label").isNull().alias("u"), "doc_id", "label", "long")).alias("x"))
+    one = scratch.write(one.select("h", "x.doc_id", "x.label", "x.long"), "texts")
     n = {r["label"]: r["n"] for r in one.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
     totals = np.array([n.get(0.0, 0), n.get(1.0, 0)], float)
     # at most n_labelled ids of each class, so the broadcast has a fixed bound
-    picked = one.where("label = 0").orderBy("h").limit(n_labelled).union(one.where("label = 1").orderBy("h").limit(n_labelled))
-    sample = (short.join(F.broadcast(picked.drop("label")), ["doc_id", "h"]).dropDuplicates(["h"])
+    short = one.where("not long").drop("long")
+    picked = short.where("label = 0").orderBy("h").limit(n_labelled).union(short.where("label = 1").orderBy("h").limit(n_labelled))
+    sample = (texts.join(F.broadcast(picked.drop("label")), ["doc_id", "h"]).dropDuplicates(["h"])
               .mapInArrow(ta.tidy(_features), _FEATURES).join(F.broadcast(picked.select("h", "label")), "h")
               .orderBy("h").limit(2 * n_labelled).select("label", "content", "meta").toArrow())
     label = np.array(sample.column("label").to_pylist(), float)
@@ -260,7 +261,7 @@ def fit(docs: DataFrame, labels: DataFrame, n_labelled: int = 4000, max_chars: i
         nonlocal pool
         if pool is None:
             unlabelled = one.where("label is null").select("doc_id", "h")
-            pool = scratch.write(short.mapInArrow(ta.tidy(_features), _FEATURES).join(unlabelled, ["doc_id", "h"]).select("h", "content", "meta"), "pool")
+            pool = scratch.write(texts.mapInArrow(ta.tidy(_features), _FEATURES).join(unlabelled, ["doc_id", "h"]).select("h", "content", "meta"), "pool")
         best = scratch.write(pool.mapInArrow(_surest(weights, offset, taken, n, sure), _SUREST), "surest")
         out = {}
         for v in (0, 1):
@@ -287,10 +288,10 @@ def classify(docs: DataFrame, labels: DataFrame, n_labelled: int = 4000, max_cha
 
     ``docs`` has ``doc_id, text, lang, source, n_chars``; ``labels`` has
     ``doc_id, quality`` (1 good, 0 bad).  ``score`` is the probability of
-    good.  The models are fitted on distinct texts of at most ``max_chars``
-    characters: at most ``n_labelled`` labelled ones of each class, chosen by
-    a hash of the text (the odds are those of all labels), and the surest of all
-    unlabelled ones, scored anew in each round.  Scoring reads every row's
+    good.  The models are fitted on distinct texts: at most ``n_labelled``
+    labelled ones of each class and of at most ``max_chars`` characters, chosen
+    by a hash of the text (the odds are those of all labels), and the surest of
+    all unlabelled ones of any length, scored anew in each round.  Scoring reads every row's
     whole text.  Null labels are ignored, and of several labels of a document
     the mean decides (a half counts as good).  A null text is empty, null
     metadata has a value of its own.  Without labels of both classes all

@@ -152,7 +152,8 @@ def _thresholds(k: int):
                 got = search(buckets, one)
                 for q, s in zip(got.column("query_id").to_pylist(), got.column("score").to_pylist()):
                     cut[q] = [*cut[q], s]
-            least = [float(min(cut[q])) if len(cut[q]) == k else -np.inf for q in q_ids.tolist()]
+            # rows that repeat a query's id share its k places, so the k-th best of them all is a bound too
+            least = [float(sorted(cut[q])[-k]) if len(cut[q]) >= k else -np.inf for q in q_ids.tolist()]
             for n in out:
                 out[n].append(np.array(least, "<f8").tobytes() if n == "thresholds" else block[n])
         return pa.table(out, schema=pa.schema([("blob", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()),
@@ -173,12 +174,13 @@ def top_products(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_
                  vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` largest integer inner products.
 
-    ``is_query`` is a condition on column ``id``.  Candidates are all rows but
-    the query's own, ties go to the smaller id, and fewer than ``k``
-    candidates are all returned.  Rows with a null id, a null or empty vector
-    or a null or non-finite component take no part; rows that repeat an id
-    count once (smallest vector); only vectors of equal dimension are
-    compared; zero vectors score 0.  Other columns are ignored; an empty
+    ``is_query`` is a condition on column ``id``.  Candidates are all rows of
+    other ids, ties go to the smaller id, and fewer than ``k`` candidates are
+    all returned.  Rows with a null id, a null or empty vector or a null or
+    non-finite component take no part.  Rows that repeat an id are all
+    candidates, each on its own; as queries they share the ``k`` places of
+    their id, which hold the best products of any of them.  Only vectors of
+    equal dimension are compared; zero vectors score 0.  Other columns are ignored; an empty
     table gives none.  A task holds one group of buckets and one query block.
     """
     spark = vectors.sparkSession

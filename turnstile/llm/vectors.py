@@ -9,14 +9,11 @@ from pyspark.sql import functions as F
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, element: str) -> DataFrame:
-    """``id, vector`` of rows with an id and a vector of finite components.
-
-    Rows that repeat an id count once, with the smallest vector.
-    """
+    """``id, vector`` of all rows with an id and a vector of finite components; rows that repeat an id stay."""
     v = F.col("vector")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{element}>").alias("vector"))
-    return rows.where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite).groupBy("id").agg(F.min(v).alias("vector"))
+    return rows.where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite)
 
 
 def matrix(column) -> np.ndarray:
