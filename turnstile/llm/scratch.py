@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from turnstile.session import scratch_path
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Writes tables under ``spark.checkpoint.dir`` and drops spent ones.
 
@@ -19,7 +22,12 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, f"{self.job}-{name}")
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEAN_UP, "false")
+        self.spark.conf.set(CLEAN_UP, "true")        # what the write shuffled is of no use once it is written
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN_UP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
