@@ -7,7 +7,7 @@ last return the columns of ``documents``.  Any column may hold nulls.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnstile.llm import language_id, ngram_join, packing, quality
@@ -40,19 +40,22 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near duplicates.
+    """Keeps one row of each class of near duplicates: the one with the smallest id.
 
-    Classes join documents with a Jaccard similarity of 0.8 or more over
-    five-word shingles.  Of rows that repeat an id one stays (smallest hash
-    of the text); rows without an id are not compared and stay.
+    Classes join rows with a Jaccard similarity of 0.8 or more over five-word
+    shingles.  Rows are told apart by a hash of all their columns, not by id:
+    rows that share an id, or have none, are compared like any others and all
+    stay unless their texts are near duplicates or the rows are equal.  An id
+    is preferred to none.
     """
-    classes = ngram_join.jaccard_classes(docs.where("doc_id is not null"), width=5, similarity=(8, 10))
-    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    once = Window.partitionBy("row.doc_id").orderBy(F.xxhash64("row.text"), F.xxhash64("row"))
-    kept = (rows.join(first, F.col("row.doc_id") == F.col("kept"), "left_semi")
-            .withColumn("place", F.row_number().over(once)).where("place = 1").select("row"))
-    return kept.union(rows.where("row.doc_id is null")).select("row.*")
+    rows = docs.select(F.xxhash64(*docs.columns).alias("key"), F.struct(*docs.columns).alias("row"))
+    named = rows.select("key", F.col("row.text").alias("text"))
+    classes = ngram_join.jaccard_classes(named, width=5, similarity=(8, 10), id_col="key").select(F.col("doc_id").alias("key"), "component_id")
+    ids = rows.select("key", F.col("row.doc_id").alias("doc_id")).distinct()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
+    kept = classes.distinct().join(ids, "key").groupBy("component_id").agg(best).select("best.key")
+    # equal rows meet before they are shuffled
+    return rows.dropDuplicates(["key"]).join(kept, "key", "left_semi").select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
