@@ -249,10 +249,19 @@ def jaccard_classes(docs: DataFrame, width: int = 3, similarity: tuple[int, int]
             .mapInArrow(_elements(width, num, den), "id long, elements array<long>, sketch array<long>"))
     sets = scratch.write(sets.join(live, "id", "left_semi").dropDuplicates(["id"]), "sets")
 
-    links = scratch.write(_verified(_star_pairs(held, sets, num, den), sets, num, den), "links-star")
+    scratch.drop(live)
+
+    def verified(pairs, name):
+        """Links of the possible pairs; what finding these shuffled is gone before elements move."""
+        pairs = scratch.write(pairs, f"pairs-{name}")
+        links = scratch.write(_verified(pairs, sets, num, den), f"links-{name}")
+        scratch.drop(pairs)
+        return links
+
+    links = verified(_star_pairs(held, sets, num, den), "star")
     merged = connected_components(links)
     for share in (16, 1):
-        found = scratch.write(_verified(_open_pairs(held, merged, sets, share, num, den), sets, num, den), f"links-{share}")
+        found = verified(_open_pairs(held, merged, sets, share, num, den), str(share))
         if not found.isEmpty():
             links = scratch.write(links.union(found), "links")
             merged = connected_components(links)
