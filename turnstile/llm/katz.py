@@ -39,6 +39,7 @@ BLOCK_BYTES = 12 << 20       # text of a block; a longer document is a block of
 PART_TOKENS = 1_000_000      # training tokens of a history partition
 END = np.uint64(0x5F656E645F)
 START = -1
+PAIRS_AT_ONCE = 1 << 18      # pairs, or tokens of whole documents, that one step of a block computes with
 
 
 def dump(*arrays: np.ndarray) -> bytes:
@@ -153,29 +154,49 @@ def _pairs(flat, sizes, train, ids, c, n_total, parts):
 
     Returns the pairs' arrays (partition, history, word, training count,
     whether the history is split), each token's position among the pairs (-1
-    after an unknown word), and each token's history.
+    after an unknown word), and each token's history.  Positions are 32-bit,
+    and what a step needs alone is freed with it: a block's arrays decide the
+    memory of a worker.
     """
     n_words = len(ids)
     starts = np.cumsum(sizes) - sizes
-    history = np.empty_like(flat)
+    history = np.empty(len(flat), np.int32)
     history[1:] = flat[:-1]
     history[starts] = n_words                                   # the start of a document
-    known = np.append(c > 0, True)
-    use = known[history]
-    code, token = np.unique(history[use].astype(np.int64) * (n_words + 1) + flat[use], return_inverse=True)
-    n_train = np.bincount(token, weights=np.repeat(train, sizes)[use], minlength=len(code)).astype(np.int64)
-    h, w = code // (n_words + 1), code % (n_words + 1)
-    h_id = np.append(ids, START)
+    use = np.append(c > 0, True)[history]
+    code = history[use].astype(np.int64)
+    code *= n_words + 1
+    code += flat[use]
+    by = np.argsort(code)
+    code = code[by]
+    new = np.ones(len(code), bool)
+    new[1:] = code[1:] != code[:-1]
+    code = code[new]
+    token = np.empty(len(by), np.int32)                         # each token's pair
+    token[by] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    del by, new
+    n_train = np.bincount(token[np.repeat(train, sizes)[use]], minlength=len(code)).astype(np.int32)
     n_starts = c[flat[sizes[0] - 1]] if len(sizes) else 0       # as many as ends
-    splits = 1 + np.append(c, n_starts)[h] * HOT_SHARE // max(n_total, 1)
-    salt = np.where(splits > 1, ids[w] % splits, 0) if len(w) else w
-    part = (ta.mix64((h_id[h].astype(np.uint64) << np.uint64(20)) + salt.astype(np.uint64)) >> np.uint64(11)).astype(np.int64) % parts
-    order = np.lexsort((code, part))
+    splits = 1 + np.append(c, n_starts) * HOT_SHARE // max(n_total, 1)       # of each history
+    h_id = np.append(ids, START)
+    part, hot = np.empty(len(code), np.int32), np.empty(len(code), bool)
+    for a in range(0, len(code), PAIRS_AT_ONCE):
+        s = slice(a, a + PAIRS_AT_ONCE)
+        h, w = np.divmod(code[s], n_words + 1)
+        salt = np.where(splits[h] > 1, ids[w] % splits[h], 0)
+        mixed = ta.mix64((h_id[h].astype(np.uint64) << np.uint64(20)) + salt.astype(np.uint64))
+        part[s] = (mixed >> np.uint64(11)).astype(np.int64) % parts
+        hot[s] = splits[h] > 1
+    order = np.argsort(part, kind="stable").astype(np.int32)                 # pairs are in order already
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order), dtype=np.int32)
     token_pair = np.full(len(flat), -1, np.int32)
     token_pair[use] = place[token]
-    return part[order], h[order], w[order], n_train[order], (splits > 1)[order], token_pair, history
+    del place, token, use
+    code = code[order]
+    h = (code // (n_words + 1)).astype(np.int32)
+    w = (code % (n_words + 1)).astype(np.int32)
+    return part[order], h, w, n_train[order], hot[order], token_pair, history
 
 
 def _read_documents(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -280,8 +301,9 @@ def _score_block(n_total: int, n_types: int, parts: int, d1, d2, unknown: float,
         sizes, train, flat = _read_documents(questions.column("docs")[0].as_py())
         part, h, w, _, _, token_pair, history = _pairs(flat, sizes, train, ids, c, n_total, parts)
         cut = np.searchsorted(part, np.arange(parts + 1))
-        count = np.zeros(len(part), np.int64)
+        count = np.zeros(len(part), np.uint32)
         stats = np.zeros((GT_K + 3, len(ids) + 1))              # of each history
+        del part, w
         for p, raw in zip(answers.column("part").to_pylist(), answers.column("body").to_pylist()):
             got = load(raw)
             s = slice(cut[p], cut[p + 1])
@@ -299,19 +321,26 @@ def _score_block(n_total: int, n_types: int, parts: int, d1, d2, unknown: float,
             weight = np.where(c_h > 0, (1 - mass / np.maximum(c_h, 1)) / (1 - stats[GT_K + 2]), 1.0)
         known = c > 0
         p_word = np.where(known, _unigram(c, n_total, d1), unknown)
-        p = weight[history] * p_word[flat]                      # back off
-        seen = token_pair >= 0
-        seen[seen] = count[token_pair[seen]] > 0
-        there = token_pair[seen]
-        p[seen] = discounted(count[there], d2) / c_h[h[there]]
-        del token_pair, history, seen, there
-        np.log10(p, out=p)
-        starts = np.cumsum(sizes) - sizes
-        base = np.log10((c + 0.5) / (n_total + 0.5 * (n_types + 1)))[flat]
+        p_pair = np.empty(len(count))                           # of a pair that was seen
+        for a in range(0, len(count), PAIRS_AT_ONCE):
+            s = slice(a, a + PAIRS_AT_ONCE)
+            p_pair[s] = discounted(count[s], d2) / np.maximum(c_h[h[s]], 1)
+        base = np.log10((c + 0.5) / (n_total + 0.5 * (n_types + 1)))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        n_known, base_score, total = np.zeros(len(sizes), np.int64), np.zeros(len(sizes)), np.zeros(len(sizes))
+        for i, j in ta.chunks(ends, PAIRS_AT_ONCE):
+            t = slice(ends[i], ends[j])
+            starts, word, pair = ends[i:j] - ends[i], flat[t], token_pair[t]
+            p = weight[history[t]] * p_word[word]               # back off
+            seen = pair >= 0
+            seen[seen] = count[pair[seen]] > 0
+            p[seen] = p_pair[pair[seen]]
+            np.log10(p, out=p)
+            n_known[i:j] = np.add.reduceat(known[word], starts, dtype=np.int64)
+            base_score[i:j] = np.add.reduceat(base[word], starts)
+            total[i:j] = np.add.reduceat(p, starts)
         return pa.table({"doc_id": questions.column("doc_ids").combine_chunks().flatten(), "n_tokens": pa.array(sizes),
-                         "n_known": pa.array(np.add.reduceat(known[flat], starts, dtype=np.int64) if len(flat) else sizes),
-                         "base_score": pa.array(np.add.reduceat(base, starts) if len(flat) else base),
-                         "score": pa.array(np.add.reduceat(p, starts) if len(flat) else p)})
+                         "n_known": pa.array(n_known), "base_score": pa.array(base_score), "score": pa.array(total)})
     return ta.tidy_group(run)
 
 
