@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from turnstile.llm import katz
+from turnstile.llm import katz, quality
 
 
 def _peak(run):
@@ -51,3 +51,22 @@ def test_katz_blocks_take_few_bytes_a_token():
     assert peak < 50 * n
     assert scored.column("n_tokens").to_pylist() == [1000] * 400
     assert np.isfinite(scored.column("score").to_numpy()).all()
+
+
+def test_features_and_the_surest_texts_take_few_bytes():
+    words = ["alpha", "be", "Gamma,", "delta-9", "x"]
+    texts = [" ".join(words[(i + k * k) % 5] for k in range(180)) for i in range(4000)]
+    size = sum(map(len, texts))
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "lang": ["en"] * len(texts),
+                             "source": ["a"] * len(texts), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+                             "h": pa.array(range(len(texts)), pa.int64())})
+    views = lambda: [content.shape for _, content, _ in quality._views(batch)]       # noqa: E731
+    shapes, peak = _peak(views)
+    assert sum(n for n, _ in shapes) == len(texts) and size > 3 << 20
+    assert peak < 42 << 20
+    rows = pa.Table.from_batches(list(quality._features([batch]))).combine_chunks().to_batches()[0]
+    rows = pa.RecordBatch.from_arrays([rows.column(c) for c in ("h", "content", "meta")], names=["h", "content", "meta"])
+    weights = [np.zeros(quality.N_CONTENT + 1), np.zeros(quality.N_META + 1)]
+    best, peak = _peak(lambda: list(quality._surest(weights, 0.0, np.zeros(0, np.int64), 50, 0.5)([rows])))
+    assert peak < 9 << 20
+    assert all(b.column("h").to_pylist() == list(range(50)) for b in best) and len(best) == 4

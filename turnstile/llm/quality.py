@@ -25,6 +25,8 @@ N_STATS = 12
 N_CONTENT = 256 + N_STATS
 SOURCE_SLOTS, LANG_SLOTS, SIZE_SLOTS = 64, 16, 16
 N_META = SOURCE_SLOTS + LANG_SLOTS + SIZE_SLOTS
+ROWS_AT_ONCE = 2048          # rows of features that are a matrix at once
+VIEW_BYTES = 1 << 18         # text that is turned into features at once; a longer one stands alone
 
 
 def content_features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -32,8 +34,10 @@ def content_features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     n = len(offs) - 1
     size = np.diff(offs)
     out = np.zeros((n, N_CONTENT), np.float32)
-    rows = np.repeat(np.arange(n), size)
-    counts = np.bincount(rows * 256 + data, minlength=n * 256).reshape(n, 256)
+    code = np.repeat(np.arange(n) * 256, size)
+    code += data
+    counts = np.bincount(code, minlength=n * 256).reshape(n, 256)
+    del code                                                # 8 bytes for each of the text
     out[:, :256] = np.sqrt(counts / np.maximum(size, 1)[:, None])
     s, e, row = ta.words(data, offs)
     h = ta.word_hashes(ta.lower_ascii(data), s, e)
@@ -51,7 +55,9 @@ def content_features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     odd = ~letter & ~ta._SPACE[data]
     mark = np.bincount(row, weights=odd[s], minlength=n) / some if len(s) else np.zeros(n)
     tail = np.bincount(row, weights=odd[e - 1], minlength=n) / some if len(s) else np.zeros(n)
-    share = np.bincount(rows, weights=letter, minlength=n) / np.maximum(size, 1)
+    letters = np.concatenate([[0], np.cumsum(letter)])
+    share = (letters[offs[1:]] - letters[offs[:-1]]) / np.maximum(size, 1)
+    del letters
     lines = counts[:, 10] / some
     stats = [again / some, np.sqrt(again / some), distinct / some, mean / 10, np.sqrt(np.maximum(square - mean ** 2, 0)) / 10,
              one, mark, tail, share, lines, np.log1p(n_words) / 10, n_words == 0]
@@ -169,8 +175,9 @@ def _views(b: pa.RecordBatch):
     data, offs = ta.text_buffer(b.column("text"))
     for i, j in ta.chunks(offs):
         part = {n: b.column(n).slice(i, j - i) for n in b.schema.names}
-        yield part, content_features(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i]), meta_features(
-            part["source"].to_pylist(), part["lang"].to_pylist(), part["n_chars"].to_pylist())
+        at = offs[i:j + 1]
+        content = [content_features(data[at[k]:at[m]], at[k:m + 1] - at[k]) for k, m in ta.chunks(at - at[0], VIEW_BYTES)]
+        yield part, np.concatenate(content), meta_features(part["source"].to_pylist(), part["lang"].to_pylist(), part["n_chars"].to_pylist())
 
 
 def _features(batches):
@@ -193,9 +200,7 @@ def _surest(weights, offset: float, taken: np.ndarray, n: int, sure: float):
     """The ``n`` surest distinct texts of a partition for each view and class (kind 2 * view + class)."""
     def run(batches):
         kept = {}
-        for b in batches:
-            if b.num_rows == 0:
-                continue
+        for b in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
             h = b.column("h").to_numpy()
             free = ~np.isin(h, taken)
             for v, (name, width) in enumerate((("content", N_CONTENT), ("meta", N_META))):
@@ -215,7 +220,7 @@ def _surest(weights, offset: float, taken: np.ndarray, n: int, sure: float):
                     kept[v, y] = rows
         for rows in kept.values():
             yield from rows.combine_chunks().to_batches()
-    return run
+    return ta.tidy(run)
 
 
 def _scores(model: QualityModel):

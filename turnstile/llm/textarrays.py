@@ -143,8 +143,16 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of byte ranges (equal bytes give equal hashes)."""
     up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    terms = _BYTE[data]
+    terms *= up[:len(data)]
+    np.cumsum(terms, out=total[1:])
+    del terms                                               # 8 bytes for each of the text
+    out = total[ends]
+    out -= total[starts]
+    del total
+    out *= down[starts]
+    out += (ends - starts).astype(np.uint64)
+    return mix64(out)
 
 
 def shingles(hashes: np.ndarray, rows: np.ndarray, n_rows: int, width: int) -> tuple[np.ndarray, np.ndarray]:
