@@ -17,7 +17,11 @@ different classes are compared further.  All comparisons start with parity
 sketches, the later ones inside the join: bit ``h(x) mod m``
 flips for each element ``x``, so two sketches differ in at most as many bits
 as the sets differ in elements, and a larger distance rules a pair out
-without a row being made for it.
+without a row being made for it.  A pair meets at every signature that it
+shares, so a share of the signatures is tried first, and what that links is
+not compared again; where a signature has many sets outside its main class,
+longer sketches of these sets rule out most of the pairs just below the
+similarity too.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ from turnstile.llm.scratch import Scratch
 
 BAND_RATIO = 1.25
 CELLS = 3
+CROWD = 16             # sets outside a signature's main class; of more, longer sketches are compared
+FINE = 8               # how many times as long these are
 
 
 def size_bands(largest: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,14 +192,28 @@ def _elements(width, num, den):
     return ta.tidy(run)
 
 
-def parity_sketches(elements: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def _fine_sketches(num, den):
+    """Sketches of FINE times the length, from the sets' elements."""
+    def run(batches):
+        for b in batches:
+            held = b.column("elements")
+            h = held.flatten().to_numpy().view(np.uint64)
+            sketch, bounds = parity_sketches(h, held.value_lengths().to_numpy().astype(np.int64), num, den, FINE)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sketch.view(np.int64)))],
+                names=["id", "fine"])
+    return ta.tidy(run)
+
+
+def parity_sketches(elements: np.ndarray, sizes: np.ndarray, num: int, den: int, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Parity bits of each set, as 64-bit words end to end, and their bounds.
 
     The number of words is a power of two of about six bits per difference
-    allowed, so that sketches of neighbouring lengths fold onto each other.
+    allowed, or ``times`` (a power of two) as many, so that sketches of
+    neighbouring lengths fold onto each other.
     """
     need = np.maximum(4, sizes * 12.0 * (den - num) / (den + num) / 64)
-    n_words = (2 ** np.ceil(np.log2(need))).astype(np.int64)
+    n_words = (2 ** np.ceil(np.log2(need))).astype(np.int64) * times
     bounds = np.concatenate([[0], np.cumsum(n_words)])
     of = np.repeat(np.arange(len(sizes)), sizes)
     place = ta.mix64(elements + np.uint64(0xB17))
@@ -261,7 +281,9 @@ def jaccard_classes(docs: DataFrame, width: int = 3, similarity: tuple[int, int]
     links = verified(_star_pairs(held, sets, num, den), "star")
     merged = connected_components(links)
     for share in (16, 1):
-        found = verified(_open_pairs(held, merged, sets, share, num, den), str(share))
+        mixed = scratch.write(_mixed(held, merged, share), "mixed")
+        found = verified(_open_pairs(mixed, sets, num, den), str(share))
+        scratch.drop(mixed)
         if not found.isEmpty():
             links = scratch.write(links.union(found), "links")
             merged = connected_components(links)
@@ -293,27 +315,44 @@ def _star_pairs(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return near.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("best")).select("best.a", "b")
 
 
-def _open_pairs(held: DataFrame, merged: DataFrame, sets: DataFrame, share: int, num: int, den: int) -> DataFrame:
-    """Possible links between sets that share a signature but not yet a class.
+def _mixed(held: DataFrame, merged: DataFrame, share: int) -> DataFrame:
+    """Holders of signatures with sets of several classes: ``sig, id, class, main, crowded``.
 
-    In each signature the most frequent class needs no pairs within itself,
-    so every open pair has a member outside it.  Of these members, one in
-    ``share`` by hash is tried against all sets of other classes; with 1, all.
+    ``main`` is a signature's most frequent class; ``crowded`` tells whether
+    more than CROWD sets are outside it.  One signature in ``share`` by hash
+    is taken; with 1, all.
     """
+    if share > 1:
+        held = held.where(F.pmod(F.xxhash64("sig"), F.lit(share)) == 0)
     now = held.join(merged, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("class"))
     counts = now.groupBy("sig", "class").agg(F.count("*").alias("n"))
-    main = counts.groupBy("sig").agg(F.max(F.struct("n", "class")).alias("top"), F.count("*").alias("kinds"))
-    main = main.where("kinds > 1").select("sig", F.col("top.class").alias("main"))
-    sketches = sets.select("id", F.size("elements").cast("long").alias("n"), "sketch")
-    mixed = now.join(main, "sig").join(sketches, "id")
-    outside = mixed.where(F.col("class") != F.col("main"))
-    if share > 1:
-        outside = outside.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
-    x, y = outside.alias("x"), mixed.alias("y")
-    return (x.join(y, F.expr(f"""x.sig = y.sig and x.class <> y.class
-                and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}
-                and {_distance('x.sketch', 'y.sketch')} * {num + den} <= (x.n + y.n) * {den - num}"""))
-            .select(F.expr("least(x.id, y.id) a"), F.expr("greatest(x.id, y.id) b")).distinct())
+    main = counts.groupBy("sig").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("kinds"))
+    main = main.where("kinds > 1").select("sig", F.col("top.class").alias("main"), (F.col("all") - F.col("top.n") > CROWD).alias("crowded"))
+    return now.join(main, "sig")
+
+
+def _open_pairs(mixed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Possible links between sets that share a signature but not yet a class.
+
+    In each signature the most frequent class needs no pairs within itself,
+    so every open pair has a member outside it: each such member is tried
+    against all sets of other classes.  In crowded signatures, longer
+    sketches are compared too.
+    """
+    small = sets.select("id", F.size("elements").cast("long").alias("n"), "sketch")
+    loose, crowd = (mixed.where(c).join(small, "id") for c in ("not crowded", "crowded"))
+    fine = (sets.select("id", "elements").join(mixed.where("crowded").select("id").distinct(), "id", "left_semi")
+            .mapInArrow(_fine_sketches(num, den), "id long, fine array<long>"))
+    return _near_pairs(loose, ["sketch"], num, den).union(_near_pairs(crowd.join(fine, "id"), ["sketch", "fine"], num, den)).distinct()
+
+
+def _near_pairs(mixed: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different classes in a signature that none of the sketches ``by`` rules out."""
+    x, y = mixed.where(F.col("class") != F.col("main")).alias("x"), mixed.alias("y")
+    near = " and ".join(f"{_distance(f'x.{c}', f'y.{c}')} * {num + den} <= (x.n + y.n) * {den - num}" for c in by)
+    return (x.join(y, F.expr(f"""x.sig = y.sig and x.class <> y.class and (y.class = y.main or x.id < y.id)
+                and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num} and {near}"""))
+            .select(F.expr("least(x.id, y.id) a"), F.expr("greatest(x.id, y.id) b")))
 
 
 def _distance(x: str, y: str) -> str:
