@@ -21,11 +21,13 @@ without a row being made for it.  A pair meets at every signature that it
 shares, so a share of the signatures is tried first, and what that links is
 not compared again; where a signature has many sets outside its main class,
 longer sketches of these sets rule out most of the pairs just below the
-similarity too.
+similarity too.  Sketches are joined to the signatures slice by slice, so only
+a part of these rows is on disk at a time.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -41,6 +43,7 @@ BAND_RATIO = 1.25
 CELLS = 3
 CROWD = 16             # sets outside a signature's main class; of more, longer sketches are compared
 FINE = 8               # how many times as long these are
+SLICES = 4             # parts of all signatures whose sketches move one after the other
 
 
 def size_bands(largest: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -280,13 +283,17 @@ def jaccard_classes(docs: DataFrame, width: int = 3, similarity: tuple[int, int]
 
     links = verified(_star_pairs(held, sets, num, den), "star")
     merged = connected_components(links)
-    for share in (16, 1):
+    fine = scratch.write(sets.select("id", "elements").mapInArrow(_fine_sketches(num, den), "id long, fine array<long>"), "fine")
+    for share, slices in ((16, 1), (1, SLICES)):
         mixed = scratch.write(_mixed(held, merged, share), "mixed")
-        found = verified(_open_pairs(mixed, sets, num, den), str(share))
-        scratch.drop(mixed)
+        # a set's sketches move with each of its signatures: what one slice shuffled is gone before the next
+        pairs = [scratch.write(_open_pairs(_slice(mixed, k, slices), sets, fine, num, den), f"open-{share}-{k}") for k in range(slices)]
+        found = verified(functools.reduce(DataFrame.union, pairs).distinct(), str(share))
+        scratch.drop(mixed, *pairs)
         if not found.isEmpty():
             links = scratch.write(links.union(found), "links")
             merged = connected_components(links)
+    scratch.drop(fine)
 
     classes = (with_words.join(merged, F.col("set_id") == F.col("id"), "left")
                .withColumn("class", F.coalesce("component", "set_id"))
@@ -331,7 +338,12 @@ def _mixed(held: DataFrame, merged: DataFrame, share: int) -> DataFrame:
     return now.join(main, "sig")
 
 
-def _open_pairs(mixed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _slice(mixed: DataFrame, k: int, slices: int) -> DataFrame:
+    """The ``k``-th of ``slices`` parts by signature; each signature is whole in one."""
+    return mixed.where(F.pmod(F.xxhash64("sig"), F.lit(slices)) == k) if slices > 1 else mixed
+
+
+def _open_pairs(mixed: DataFrame, sets: DataFrame, fine: DataFrame, num: int, den: int) -> DataFrame:
     """Possible links between sets that share a signature but not yet a class.
 
     In each signature the most frequent class needs no pairs within itself,
@@ -341,8 +353,6 @@ def _open_pairs(mixed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     """
     small = sets.select("id", F.size("elements").cast("long").alias("n"), "sketch")
     loose, crowd = (mixed.where(c).join(small, "id") for c in ("not crowded", "crowded"))
-    fine = (sets.select("id", "elements").join(mixed.where("crowded").select("id").distinct(), "id", "left_semi")
-            .mapInArrow(_fine_sketches(num, den), "id long, fine array<long>"))
     return _near_pairs(loose, ["sketch"], num, den).union(_near_pairs(crowd.join(fine, "id"), ["sketch", "fine"], num, den)).distinct()
 
 
