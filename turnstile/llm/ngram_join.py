@@ -43,7 +43,7 @@ BAND_RATIO = 1.25
 CELLS = 3
 CROWD = 16             # sets outside a signature's main class; of more, longer sketches are compared
 FINE = 8               # how many times as long these are
-SLICES = 4             # parts of all signatures whose sketches move one after the other
+SLICES = 8             # parts of all signatures whose sketches move one after the other
 
 
 def size_bands(largest: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
