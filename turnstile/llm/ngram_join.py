@@ -23,6 +23,10 @@ not compared again; where a signature has many sets outside its main class,
 longer sketches of these sets rule out most of the pairs just below the
 similarity too.  Sketches are joined to the signatures slice by slice, so only
 a part of these rows is on disk at a time.
+
+There are many short jobs here, so what they leave in the driver adds up: joins
+whose sides have been shuffled anyway are hinted to merge, as a broadcast would
+save nothing on large tables and passes the driver on small ones.
 """
 
 from __future__ import annotations
@@ -43,7 +47,8 @@ BAND_RATIO = 1.25
 CELLS = 3
 CROWD = 16             # sets outside a signature's main class; of more, longer sketches are compared
 FINE = 8               # how many times as long these are
-SLICES = 8             # parts of all signatures whose sketches move one after the other
+SLICES = 8             # parts of all signatures whose sketches move one after the other, at most
+SLICE_ROWS = 1 << 19   # rows of signatures that need no more parts
 
 
 def size_bands(largest: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,16 +200,18 @@ def _elements(width, num, den):
     return ta.tidy(run)
 
 
-def _fine_sketches(num, den):
-    """Sketches of FINE times the length, from the sets' elements."""
+def _sketches(num, den):
+    """Sizes and sketches of sets, and sketches of FINE times the length from their elements."""
     def run(batches):
         for b in batches:
             held = b.column("elements")
             h = held.flatten().to_numpy().view(np.uint64)
-            sketch, bounds = parity_sketches(h, held.value_lengths().to_numpy().astype(np.int64), num, den, FINE)
+            sizes = held.value_lengths().to_numpy().astype(np.int64)
+            fine, bounds = parity_sketches(h, sizes, num, den, FINE)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(sketch.view(np.int64)))],
-                names=["id", "fine"])
+                [b.column("id"), pa.array(sizes), b.column("sketch"),
+                 pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(fine.view(np.int64)))],
+                names=["id", "n", "sketch", "fine"])
     return ta.tidy(run)
 
 
@@ -283,23 +290,24 @@ def jaccard_classes(docs: DataFrame, width: int = 3, similarity: tuple[int, int]
 
     links = verified(_star_pairs(held, sets, num, den), "star")
     merged = connected_components(links)
-    fine = scratch.write(sets.select("id", "elements").mapInArrow(_fine_sketches(num, den), "id long, fine array<long>"), "fine")
-    for share, slices in ((16, 1), (1, SLICES)):
+    sketches = scratch.write(sets.mapInArrow(_sketches(num, den), "id long, n long, sketch array<long>, fine array<long>"), "sketches")
+    for share, least, most in ((16, 1, 1), (1, 3, SLICES)):
         mixed = scratch.write(_mixed(held, merged, share), "mixed")
+        slices = min(most, max(least, -(-mixed.count() // SLICE_ROWS))) if most > least else most
         # a set's sketches move with each of its signatures: what one slice shuffled is gone before the next
-        pairs = [scratch.write(_open_pairs(_slice(mixed, k, slices), sets, fine, num, den), f"open-{share}-{k}") for k in range(slices)]
+        pairs = [scratch.write(_open_pairs(_slice(mixed, k, slices), sketches, num, den), f"open-{share}-{k}") for k in range(slices)]
         found = verified(functools.reduce(DataFrame.union, pairs).distinct(), str(share))
         scratch.drop(mixed, *pairs)
         if not found.isEmpty():
             links = scratch.write(links.union(found), "links")
             merged = connected_components(links)
-    scratch.drop(fine)
+    scratch.drop(sketches)
 
-    classes = (with_words.join(merged, F.col("set_id") == F.col("id"), "left")
+    classes = (with_words.join(merged.hint("merge"), F.col("set_id") == F.col("id"), "left")
                .withColumn("class", F.coalesce("component", "set_id"))
                .withColumn("check", F.when(F.col("component").isNull(), F.col("set_check"))))
     sized = classes.groupBy("class", "check").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("class_size"))
-    named = (classes.join(sized.withColumnsRenamed({"class": "class_", "check": "check_"}),
+    named = (classes.join(sized.withColumnsRenamed({"class": "class_", "check": "check_"}).hint("merge"),
                           (F.col("class") == F.col("class_")) & F.col("check").eqNullSafe(F.col("check_")))
              .select("doc_id", "n_shingles", "component_id", "class_size"))
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"),
@@ -314,8 +322,8 @@ def _star_pairs(held: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     """
     small = sets.select("id", F.size("elements").cast("long").alias("n"), "sketch")
     pairs = held.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    both = (pairs.join(small.withColumnsRenamed({"id": "a", "n": "na", "sketch": "sa"}), "a")
-            .join(small.withColumnsRenamed({"id": "b", "n": "nb", "sketch": "sb"}), "b")
+    both = (pairs.join(small.withColumnsRenamed({"id": "a", "n": "na", "sketch": "sa"}).hint("merge"), "a")
+            .join(small.withColumnsRenamed({"id": "b", "n": "nb", "sketch": "sb"}).hint("merge"), "b")
             .where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
             .withColumn("apart", F.expr(_distance("sa", "sb"))))
     near = both.where(F.col("apart") * (num + den) <= (F.col("na") + F.col("nb")) * (den - num))
@@ -331,11 +339,11 @@ def _mixed(held: DataFrame, merged: DataFrame, share: int) -> DataFrame:
     """
     if share > 1:
         held = held.where(F.pmod(F.xxhash64("sig"), F.lit(share)) == 0)
-    now = held.join(merged, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("class"))
+    now = held.join(merged.hint("merge"), "id", "left").select("sig", "id", F.coalesce("component", "id").alias("class"))
     counts = now.groupBy("sig", "class").agg(F.count("*").alias("n"))
     main = counts.groupBy("sig").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("kinds"))
     main = main.where("kinds > 1").select("sig", F.col("top.class").alias("main"), (F.col("all") - F.col("top.n") > CROWD).alias("crowded"))
-    return now.join(main, "sig")
+    return now.join(main.hint("merge"), "sig")
 
 
 def _slice(mixed: DataFrame, k: int, slices: int) -> DataFrame:
@@ -343,26 +351,22 @@ def _slice(mixed: DataFrame, k: int, slices: int) -> DataFrame:
     return mixed.where(F.pmod(F.xxhash64("sig"), F.lit(slices)) == k) if slices > 1 else mixed
 
 
-def _open_pairs(mixed: DataFrame, sets: DataFrame, fine: DataFrame, num: int, den: int) -> DataFrame:
-    """Possible links between sets that share a signature but not yet a class.
+def _open_pairs(mixed: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """Possible links (a, b) between sets that share a signature but not yet a class, and that no sketch rules out.
 
     In each signature the most frequent class needs no pairs within itself,
     so every open pair has a member outside it: each such member is tried
     against all sets of other classes.  In crowded signatures, longer
-    sketches are compared too.
+    sketches are compared too; the others do not carry them.  All signatures
+    go through one plan of merge joins: this runs for every slice, and each
+    join that is broadcast, like each stage, costs the driver memory.
     """
-    small = sets.select("id", F.size("elements").cast("long").alias("n"), "sketch")
-    loose, crowd = (mixed.where(c).join(small, "id") for c in ("not crowded", "crowded"))
-    return _near_pairs(loose, ["sketch"], num, den).union(_near_pairs(crowd.join(fine, "id"), ["sketch", "fine"], num, den)).distinct()
-
-
-def _near_pairs(mixed: DataFrame, by: list[str], num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different classes in a signature that none of the sketches ``by`` rules out."""
-    x, y = mixed.where(F.col("class") != F.col("main")).alias("x"), mixed.alias("y")
-    near = " and ".join(f"{_distance(f'x.{c}', f'y.{c}')} * {num + den} <= (x.n + y.n) * {den - num}" for c in by)
-    return (x.join(y, F.expr(f"""x.sig = y.sig and x.class <> y.class and (y.class = y.main or x.id < y.id)
-                and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num} and {near}"""))
-            .select(F.expr("least(x.id, y.id) a"), F.expr("greatest(x.id, y.id) b")))
+    held = mixed.join(sketches.hint("merge"), "id").withColumn("fine", F.when(F.col("crowded"), F.col("fine")))
+    x, y = held.where(F.col("class") != F.col("main")).alias("x"), held.alias("y")
+    near, finer = (f"{_distance(f'x.{c}', f'y.{c}')} * {num + den} <= (x.n + y.n) * {den - num}" for c in ("sketch", "fine"))
+    return (x.join(y.hint("merge"), F.expr(f"""x.sig = y.sig and x.class <> y.class and (y.class = y.main or x.id < y.id)
+                and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num} and {near} and (not x.crowded or {finer})"""))
+            .select(F.expr("least(x.id, y.id) a"), F.expr("greatest(x.id, y.id) b")).distinct())
 
 
 def _distance(x: str, y: str) -> str:
